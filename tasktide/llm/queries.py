@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import line_dedup
+from .decontaminate import Decontamination
 from .language_id import LanguageId, held_out
 from .near_dedup import near_duplicates
 
@@ -30,6 +33,23 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.predict(docs, ["doc_id", held_out(5, 0).alias("held_out")])
 
 
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are sources; a line in more than a tenth of a source's documents is boilerplate."""
+    return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("source")
+
+
+SQL["op4_line_dedup"] = line_dedup.sql()
+
+
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 13 words; the items found are given as a digest."""
+    found = Decontamination().judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
+
+
 @query
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles, similarity of 80 in 100."""
