@@ -1,14 +1,55 @@
-"""Corpus preparation: language identification, line dedup, near-duplicate removal, decontamination, packing."""
+"""Corpus preparation for training: language identification, line dedup, near-duplicate removal, benchmark
+decontamination and packing. Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all
+but the last return the columns of documents."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tasktide.llm.decontaminate import drop_contaminated
+from tasktide.llm.language_id import LanguageId, keep_identified
+from tasktide.llm.line_dedup import drop_boilerplate
+from tasktide.llm.near_dedup import drop_near_duplicates
+from tasktide.llm.packing import Packing
+from tasktide.llm.tables import Workspace
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the model can't tell go."""
+    return keep_identified(docs, LanguageId().fit(docs))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines of a source leave its texts; no document goes. n_chars follows the text."""
+    out = drop_boilerplate(docs).drop("n_lines")
+    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays (shingles of five words, similarity of 80 in 100)."""
+    return drop_near_duplicates(docs, shingle=5, similarity=80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more are words of benchmark windows go."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all that is left, placed in sequences of 4096 tokens."""
+    return Packing().sequences(docs)
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("packing", packing)]
+
+#: No SQL has connected components of near copies, or packing: tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each one's rows written and read again by the next."""
+    work, docs = Workspace(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = work.keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

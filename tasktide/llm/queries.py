@@ -11,6 +11,7 @@ from . import line_dedup
 from .decontaminate import Decontamination
 from .language_id import LanguageId, held_out
 from .near_dedup import near_duplicates
+from .packing import Packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -50,6 +51,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
 
 
+@query
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 4096 tokens."""
+    return Packing().sequences(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles, similarity of 80 in 100."""
