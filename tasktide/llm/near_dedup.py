@@ -4,11 +4,12 @@ Each document's set of distinct word shingles is hashed under K random permutati
 of every permutation are kept, so 2K signature values cost K hash evaluations. Bands of `rows` values (minima with
 minima, maxima with maxima) give buckets. Documents with equal sets are one class, so copies are one row from then on.
 
-Links inside buckets are found without listing a bucket's pairs: every member is compared with the bucket's centre
-(the member that shares most buckets with others), then members that still stand apart from their bucket's next centre
-are compared with that, and last, only pairs whose ends are still in different components are listed. Whatever is
-skipped joins documents that are in one component already, so no component changes by it. Every compared pair is
-confirmed on the full sets of 64-bit shingle hashes.
+Links inside buckets are found without listing a bucket's pairs: every member is compared with the bucket's centre, the
+member that shares most buckets with others. Copies of one text are then one component, but for those that stand apart
+from every centre. Only where a bucket still holds several components, its members are compared again, over all that
+buckets connect, by counting common shingles over an inverted list in blocks of bounded size; only links leave a block.
+What is skipped lies within one component, so no component changes by it. Every link is confirmed on the full sets of
+64-bit shingle hashes.
 
 Defined results: a null or wordless text has an empty set, n_shingles 0 and its own component; fewer words than a
 shingle count as one shingle; a row without doc_id takes no part (component_id null, kept true); rows that repeat a
@@ -37,12 +38,14 @@ _SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<lon
 class NearDedup:
     """shingle: words of a shingle. similarity: percent of intersection to union. rows: signature values in a band.
     permutations: hash evaluations for each shingle; twice as many signature values. The chance to miss a pair at
-    0.8 is (1 - 0.8 ** rows) ** bands with bands = 2 * permutations // rows: 5e-6 as set here."""
+    0.8 is (1 - 0.8 ** rows) ** bands with bands = 2 * permutations // rows: 5e-6 as set here. block_shingles: shingles
+    of a block, which bound the memory of a comparison."""
 
     shingle: int = 5
     similarity: int = 80
     rows: int = 6
     permutations: int = 120
+    block_shingles: int = 2_000_000
     seed: int = 7
 
     def _sets(self, texts: Texts) -> Iterator[np.ndarray]:
@@ -111,7 +114,7 @@ class NearDedup:
 
     def _alike(self, a: str, b: str):
         """What similar sets' sizes must hold."""
-        return (100 * F.least(a, b) >= self.similarity * F.greatest(a, b))
+        return 100 * F.least(a, b) >= self.similarity * F.greatest(a, b)
 
     def _confirm(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose full sets are similar enough."""
@@ -138,17 +141,10 @@ class NearDedup:
         edges = work.keep(self._confirm(self._spokes(posts, ranked, F.struct("degree", -F.col("rep"))), sets), "edges-0")
         stars = components(edges, work, "stars-0")
 
-        apart = work.keep(self._apart(posts, stars), "apart-0")
-        edges = work.keep(self._confirm(self._spokes(apart, apart, F.struct(F.xxhash64("bucket", "rep"), F.col("rep"))), sets), "edges-1")
+        apart = work.keep(self._apart(posts, stars), "apart")
+        edges = work.keep(self._within(self._blocks(apart, work), sets), "edges-1")
         stars = components(edges.unionByName(stars.select(F.col("v").alias("a"), F.col("m").alias("b"))), work, "stars-1")
 
-        apart = work.keep(self._apart(posts, stars), "apart-1")
-        x = apart.select("bucket", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a"))
-        y = apart.select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"))
-        rest = x.join(y, "bucket").filter((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & self._alike("n_a", "n_b"))
-        edges = work.keep(self._confirm(rest.select("a", "b").distinct(), sets), "edges-2")
-        stars = components(edges.unionByName(stars.select(F.col("v").alias("a"), F.col("m").alias("b"))), work, "stars-2")
-
         rep = of_set.select("set_a", "set_b", "rep")
         rep = rep.join(stars.select(F.col("v").alias("rep"), "m"), "rep", "left").select("set_a", "set_b", F.coalesce("m", "rep").alias("found"))
         plain = sketch.select("doc_id", "n_shingles", *(F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("set_a", "set_b")))
@@ -156,15 +152,62 @@ class NearDedup:
         return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), work
 
     def _spokes(self, posts: DataFrame, ranked: DataFrame, rank) -> DataFrame:
-        """Pairs of each bucket's highest-ranked member with its other members, but for those of its own component."""
-        part = ["part"] if "part" in posts.columns else []
-        centre = ranked.groupBy("bucket").agg(F.max(F.struct(rank.alias("rank"), "rep", "n", *part)).alias("x"))
-        centre = centre.select("bucket", F.col("x.rep").alias("c_rep"), F.col("x.n").alias("c_n"), *(F.col("x.part").alias("c_part") for _ in part))
+        """Pairs of each bucket's highest-ranked member with its other members."""
+        centre = ranked.groupBy("bucket").agg(F.max(F.struct(rank.alias("rank"), "rep", "n")).alias("x"))
+        centre = centre.select("bucket", F.col("x.rep").alias("c_rep"), F.col("x.n").alias("c_n"))
         pairs = posts.join(centre, "bucket").filter((F.col("rep") != F.col("c_rep")) & self._alike("n", "c_n"))
-        if part:
-            pairs = pairs.filter("part <> c_part")
         return pairs.select(F.least("rep", "c_rep").alias("a"), F.greatest("rep", "c_rep").alias("b")).distinct()
 
+    def _blocks(self, apart: DataFrame, work: Workspace) -> DataFrame:
+        """rep, n, part and, for each pair of blocks of its cluster that one of them is rep's, cluster, x, y and whether
+        rep is in x. A cluster is all that shared buckets connect; a block has about block_shingles shingles."""
+        low = apart.groupBy("bucket").agg(F.min("rep").alias("low"))
+        linked = components(apart.join(low, "bucket").select(F.col("rep").alias("a"), F.col("low").alias("b")), work, "clusters")
+        reps = apart.select("rep", "n", "part").distinct().join(linked.select(F.col("v").alias("rep"), "m"), "rep", "left").withColumn("cluster", F.coalesce("m", "rep")).drop("m")
+        blocks = reps.groupBy("cluster").agg(F.ceil(F.sum("n") / self.block_shingles).cast("int").alias("blocks"))
+        own = F.pmod(F.xxhash64("rep"), "blocks").cast("int")
+        each = reps.join(blocks, "cluster").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return each.select("cluster", "rep", "n", "part", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") <= F.col("other")).alias("in_x"))
+
+    def _within(self, blocks: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links (a, b) between different parts of a pair of blocks, by counting common shingles over an inverted list.
+
+        Members of the largest part are not compared with one another, and a member fewer than `similarity` percent of
+        whose shingles are in any other member is compared with none."""
+        percent = self.similarity
+
+        def run(group: pa.Table) -> pa.Table:
+            rep, part, in_x = (group.column(c).to_numpy() for c in ("rep", "part", "in_x"))
+            lists = group.column("shingles").combine_chunks()
+            n = lists.value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(n)), n)
+            token, df = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)[1:]
+            use = df[token] > 1
+            row, token = row[use], token[use]
+            order = np.argsort(token, kind="stable")
+            at = np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(df)))])
+            holders, first = row[order], np.searchsorted(row, np.arange(len(n) + 1))
+            same = bool((group.column("x").to_numpy() == group.column("y").to_numpy()).all())
+            parts, index = np.unique(part, return_inverse=True)
+            hub = np.bincount(index).argmax() if len(index) else 0
+            found_a, found_b = [], []
+            for i in np.flatnonzero((index != hub) & (100 * np.diff(first) >= percent * n)):
+                t = token[first[i] : first[i + 1]]
+                size = at[t + 1] - at[t]
+                place = np.arange(size.sum()) + np.repeat(at[t] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+                both = np.bincount(holders[place], minlength=len(n))
+                link = (100 * both >= percent * (n[i] + n - both)) & (index != index[i])
+                if not same:
+                    link &= in_x != in_x[i]
+                j = np.flatnonzero(link)
+                found_a.append(np.minimum(rep[i], rep[j]))
+                found_b.append(np.maximum(rep[i], rep[j]))
+            ends = [np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (found_a, found_b)]
+            return pa.table({"a": ends[0], "b": ends[1]})
+
+        members = blocks.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+        return members.groupBy("cluster", "x", "y").applyInArrow(run, "a long, b long").distinct()
+
     def _apart(self, posts: DataFrame, stars: DataFrame) -> DataFrame:
         """Members, with their component as part, of the buckets that still hold more than one component."""
         known = posts.join(stars.select(F.col("v").alias("rep"), "m"), "rep", "left").select("bucket", "rep", "n", F.coalesce("m", "rep").alias("part"))
