@@ -129,9 +129,9 @@ class LanguageModel:
         """The columns of keep, and lang_pred, score (cosine of the nearest centroid, 0 to 1), rejected."""
         o, idf, c, low, langs = self.options, self.idf, self.centroids, self.low, np.array([*self.langs, UNKNOWN], dtype=object)
         chosen = docs.select(*keep, F.col("text").alias("__text"))
-        schema = chosen.drop("__text")
-        out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.schema) + ", lang_pred string, score double, rejected boolean"
-        names = [*schema.columns, "lang_pred", "score", "rejected"]
+        kept = chosen.drop("__text").schema
+        out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double, rejected boolean"
+        names = [*kept.names, "lang_pred", "score", "rejected"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -12,6 +12,7 @@ from .decontaminate import Decontamination
 from .language_id import LanguageId, held_out
 from .near_dedup import near_duplicates
 from .packing import Packing
+from .toxicity import Toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,6 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from two thirds of the labelled documents, scores all."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(~held_out(3, 1)).withColumn("label", F.col("toxic"))
+    scored = Toxicity().fit(docs, labels).score(docs, ["doc_id", held_out(3, 1).alias("held_out")])
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 @query
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from four fifths of the documents, predicts all."""

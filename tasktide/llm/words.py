@@ -72,6 +72,8 @@ class Words:
 
     hash: np.ndarray
     first: np.ndarray
+    start: np.ndarray | None = None
+    end: np.ndarray | None = None
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all windows of k words that lie in one row, and the number of the first word of each."""
@@ -104,7 +106,20 @@ class Texts:
         starts[cut] = inside[1:-1][cut]
         ends[cut - 1] = inside[1:-1][cut - 1]
         s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-        return Words(runs(_BYTE[self.data], s, e) if len(s) else np.zeros(0, np.uint64), np.searchsorted(s, self.offsets))
+        return Words(runs(_BYTE[self.data], s, e) if len(s) else np.zeros(0, np.uint64), np.searchsorted(s, self.offsets), s, e)
+
+    def terms(self, table: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words, and of the first bytes, of each of the given numbers, of all longer words; their rows."""
+        words = self.words(table)
+        row = np.repeat(np.arange(len(self.valid)), np.diff(words.first))
+        found, rows = [words.hash], [row]
+        if len(words.hash):
+            values = _BYTE[self.data]
+            for k in prefixes:
+                longer = words.end - words.start > k
+                found.append(mix(runs(values, words.start[longer], words.start[longer] + k) + np.uint64(k)))
+                rows.append(row[longer])
+        return np.concatenate(found), np.concatenate(rows)
 
 
 def slices(column: pa.Array, most: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int, Texts]]:
