@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup
+from . import line_dedup, warc
 from .decontaminate import Decontamination
 from .language_id import LanguageId, held_out
 from .near_dedup import near_duplicates
@@ -74,6 +74,15 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Packing().sequences(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written and read back."""
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+SQL["op9_warc"] = warc.SQL
+
+
 @query
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles, similarity of 80 in 100."""
