@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import line_dedup, warc
 from .decontaminate import Decontamination
+from .html_text import StyleTree
 from .language_id import LanguageId, held_out
 from .near_dedup import near_duplicates
 from .packing import Packing
@@ -68,6 +69,12 @@ def op6_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return VectorSearch().nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+@query
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; hosts are those of the urls."""
+    return StyleTree().extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of 4096 tokens."""
