@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup, warc
+from .chat_repair import ChatRepair
 from .decontaminate import Decontamination
 from .html_text import StyleTree
 from .language_id import LanguageId, held_out
@@ -46,6 +47,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.predict(docs, ["doc_id", held_out(5, 0).alias("held_out")])
 
 
+@query
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, as rendered fragments in order."""
+    return ChatRepair().repair(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts are sources; a line in more than a tenth of a source's documents is boilerplate."""
