@@ -6,9 +6,10 @@ a few open sequences, whatever the size of the corpus. In a shard the longest pi
 of the squared numbers of open sequences per residual gap becomes smallest: into an open sequence with room, or a new
 one. Ties go to the smaller gap.
 
-The tokenizer drops white space and never joins what stands on both sides of it, so a text's ids are those of its
-space-separated parts in order. Each part is encoded once in a Python worker and looked up afterwards; the table of
-parts is emptied when it reaches `parts` entries.
+The tokenizer drops white space and never joins what stands on both sides of it; it takes runs of letters, single
+digits and runs of other signs one by one, in lower case. So a text's ids are those of these units in order; a part
+between white space that holds an apostrophe, "<" or characters beyond Latin-1 letters is one unit. A unit is encoded when a Python worker first sees it and looked up afterwards, in a
+table of fixed size that is emptied when it has had `parts` entries.
 
 Defined results: null and empty texts are one separator; repeated rows are packed as often as they occur; a null doc_id
 stays null; an empty table gives an empty result.
@@ -16,9 +17,11 @@ stays null; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -27,59 +30,122 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import Workspace
-from .words import NOT_SPACE, Texts, slices
+from .words import LOWER, NOT_SPACE, Texts, Words, slices
 
 #: Not to be cut at: white space that a tokenizer might see otherwise.
 _PART = NOT_SPACE.copy()
 _PART[[11, 12]] = True
 
+#: Kinds of bytes: 1 letters, of ASCII or of two bytes with the lead C3, 2 digits, 3 other visible ASCII, 0 all else.
+#: An apostrophe can begin a suffix and "<" a special token, so parts with these aren't cut further.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 3
+_KIND[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = 1
+_KIND[48:58] = 2
+_KIND[[39, 60]] = 0
+
+
+def units(texts: Texts) -> tuple[Words, np.ndarray, np.ndarray]:
+    """What the tokenizer looks at one by one: runs of letters, digits, runs of other signs, in lower case; parts with
+    other characters stay whole. Also the bytes, and which units are not whole parts of that kind."""
+    data = texts.data
+    s, e = texts.spans(_PART)
+    kind = _KIND[data]
+    before = np.append(np.uint8(0), data[:-1]) if len(data) else data
+    trail = (data >= 0x80) & (data < 0xC0)
+    odd = (kind == 0) | (trail & ((before != 0xC3) | (data == 0x97) | (data == 0xB7)))
+    sums = np.append(0, np.cumsum(odd))
+    whole = sums[e] > sums[s]
+    change = np.zeros(len(data) + 1, np.int8)
+    np.add.at(change, s[whole], 1)
+    np.add.at(change, e[whole], -1)
+    in_whole = np.cumsum(change[:-1]).astype(bool)
+    inside = _PART[data]
+    begin = inside & ~in_whole & ((kind == 2) | (kind != np.append(np.uint8(0), kind[:-1]))) if len(data) else inside
+    begin[s] = True
+    last = np.append(begin[1:] | ~inside[1:], True) & inside if len(data) else inside
+    low = LOWER[data]
+    low = np.where(trail & (before == 0xC3) & (data <= 0x9E), low + np.uint8(32), low)
+    low = np.where(in_whole, data, low)
+    begin = np.flatnonzero(begin)
+    return texts.hashed(low, begin, np.flatnonzero(last) + 1), low, ~in_whole[begin]
+
 
 class PartTokenizer:
-    """Token ids of many texts, through a table of parts already seen."""
+    """Token ids of many texts, through a table of parts already seen: a part's slot, by the low bits of its hash, has
+    the whole hash and an entry; a later part of the same slot takes it over."""
 
     def __init__(self, path: str, parts: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's; threads would also keep memory of their own
         from tokenizers import Tokenizer
 
         self.tokenizer, self.parts = Tokenizer.from_file(path), parts
+        self.mask = np.uint64((1 << parts.bit_length()) - 1)
         self._empty()
 
     def _empty(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.key, self.entry = np.zeros(int(self.mask) + 1, np.uint64), np.zeros(int(self.mask) + 1, np.int32)
+        self.ids, self.start, self.n_ids, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0, 0
+
+    def _learn(self, parts: list[str], plain: list[bool]) -> None:
+        """New entries n, n + 1, ... for the parts; entry i has ids[start[i]:start[i + 1]]. Of plain parts each is one
+        word of the tokenizer, so many are encoded as one text and told apart by their word numbers."""
+        alone = [i for i, x in enumerate(plain) if not x]
+        many = [i for i, x in enumerate(plain) if x]
+        length, found, order = np.zeros(len(parts), np.int64), [], []
+        for k in range(0, len(many), 4096):
+            groups = [many[j : j + 256] for j in range(k, min(k + 4096, len(many)), 256)]
+            for group, x in zip(groups, self.tokenizer.encode_batch([" ".join(map(parts.__getitem__, g)) for g in groups], add_special_tokens=False), strict=True):
+                length[group] = np.bincount(np.array(x.word_ids, np.int64), minlength=len(group))
+                found.append(np.array(x.ids, np.uint32))
+                order += group
+        for i, x in zip(alone, self.tokenizer.encode_batch([parts[i] for i in alone], add_special_tokens=False), strict=True):
+            length[i] = len(x.ids)
+            found.append(np.array(x.ids, np.uint32))
+            order.append(i)
+        order = np.array(order)
+        end = self.n_ids + np.cumsum(length)
+        if end[-1] > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.n_ids], np.zeros(end[-1], np.uint32)])
+        if self.n + len(parts) + 1 > len(self.start):
+            self.start = np.concatenate([self.start[: self.n + 1], np.zeros(self.n + len(parts), np.int64)])
+        total = int(length.sum())
+        flat = np.concatenate(found)
+        size = length[order]
+        self.ids[np.repeat((end - length)[order] - (np.cumsum(size) - size), size) + np.arange(total)] = flat
+        self.start[self.n + 1 : self.n + 1 + len(parts)] = end
+        self.n, self.n_ids = self.n + len(parts), int(end[-1])
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each row's begin and the last ends."""
-        words = texts.words(_PART)
+        words, low, plain = units(texts)
         if not len(words.hash):
             return np.zeros(0, np.uint32), np.zeros(len(texts.valid) + 1, np.int64)
-        unique, first, index = np.unique(words.hash, return_index=True, return_inverse=True)
-        if len(self.known) > self.parts:
+        if self.n > self.parts:
             self._empty()
-        keys = unique.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self.known]
-        if new:
-            inside = _PART[texts.data]
-            begins = inside.copy()
-            begins[1:] &= ~inside[:-1]
-            cut = texts.offsets[(texts.offsets > 0) & (texts.offsets < len(inside))]
-            begins[cut] = inside[cut]
-            begins = np.flatnonzero(begins)
-            stops = np.append(np.flatnonzero(~inside), len(inside))
-            a = begins[first[new]]
-            b = np.minimum(stops[np.searchsorted(stops, a)], texts.offsets[np.searchsorted(texts.offsets, a, "right")])
-            raw = texts.data.tobytes()
-            found = [x.ids for x in self.tokenizer.encode_batch_fast([raw[s:e].decode("utf-8", "replace") for s, e in zip(a.tolist(), b.tolist(), strict=True)], add_special_tokens=False)]
-            at = len(self.known)
-            self.known.update((keys[i], at + j) for j, i in enumerate(new))
-            self.ids = np.concatenate([self.ids, *(np.array(x, np.uint32) for x in found)])
-            self.start = np.append(self.start, self.start[-1] + np.cumsum([len(x) for x in found]))
-        where = np.array([self.known[h] for h in keys])[index]
+        slot = (words.hash & self.mask).astype(np.int64)
+        where = self.entry[slot]
+        miss = np.flatnonzero(self.key[slot] != words.hash)
+        if len(miss):
+            new, first, index = np.unique(words.hash[miss], return_index=True, return_inverse=True)
+            a, b, n = words.start[miss[first]], words.end[miss[first]], self.n
+            raw = low.tobytes()
+            self._learn([raw[s:e].decode("utf-8", "replace") for s, e in zip(a.tolist(), b.tolist(), strict=True)], plain[miss[first]].tolist())
+            where[miss] = n + index
+            to = (new & self.mask).astype(np.int64)
+            self.key[to], self.entry[to] = new, np.arange(n, self.n)
         size = self.start[where + 1] - self.start[where]
         end = np.cumsum(size)
         ids = self.ids[np.arange(end[-1]) + np.repeat(self.start[where] - (end - size), size)]
         return ids, np.append(0, end)[words.first]
 
 
+@cache
+def _tokenizer(path: str, parts: int) -> PartTokenizer:
+    """One for all tasks of a Python worker."""
+    return PartTokenizer(path, parts)
+
+
 def pack(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sequence number and offset of each length, placed in the given order."""
     open_, held = np.zeros(size + 1, np.int64), {}
@@ -119,14 +185,14 @@ class Packing:
     tokenizer: str = field(default_factory=_vocabulary)
     separator: int = 1
     shard: int = 32_768
-    parts: int = 1_000_000
+    parts: int = 400_000
 
     def pieces(self, docs: DataFrame) -> DataFrame:
         """doc_id, piece, start, length, ids_crc32 of each piece."""
         path, parts, size, end_id = self.tokenizer, self.parts, self.size, self.separator
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tokenizer = PartTokenizer(path, parts)
+            tokenizer = _tokenizer(path, parts)
             for batch in batches:
                 for begin, end, texts in slices(batch.column(1)):
                     ids, at = tokenizer.encode(texts)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at a time; a longer text is a slice of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 256_000
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -96,8 +96,8 @@ class Texts:
         """With A-Z in lower case."""
         return Texts(LOWER[self.data], self.offsets, self.valid)
 
-    def words(self, table: np.ndarray) -> Words:
-        """Longest runs of bytes that the table holds."""
+    def spans(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begins and ends of the longest runs of bytes that the table holds."""
         n = len(self.data)
         inside = np.zeros(n + 2, dtype=bool)
         inside[1:-1] = table[self.data]
@@ -105,8 +105,15 @@ class Texts:
         cut = self.offsets[(self.offsets > 0) & (self.offsets < n)]
         starts[cut] = inside[1:-1][cut]
         ends[cut - 1] = inside[1:-1][cut - 1]
-        s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-        return Words(runs(_BYTE[self.data], s, e) if len(s) else np.zeros(0, np.uint64), np.searchsorted(s, self.offsets), s, e)
+        return np.flatnonzero(starts), np.flatnonzero(ends) + 1
+
+    def words(self, table: np.ndarray) -> Words:
+        """The runs of spans() and their hashes."""
+        s, e = self.spans(table)
+        return self.hashed(self.data, s, e)
+
+    def hashed(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> Words:
+        return Words(runs(_BYTE[data], s, e) if len(s) else np.zeros(0, np.uint64), np.searchsorted(s, self.offsets), s, e)
 
     def terms(self, table: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words, and of the first bytes, of each of the given numbers, of all longer words; their rows."""
