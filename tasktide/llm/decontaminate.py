@@ -140,6 +140,7 @@ class Decontamination:
         work = Workspace(docs.sparkSession, "decontaminate")
         windows = work.keep(self.windows(benchmark), "windows")
         sizes = sorted(r.k for r in windows.select(F.least(F.size("words"), F.lit(self.shingle)).alias("k")).distinct().collect())
+        sizes = sizes or [self.shingle]
         grams = windows.select(F.explode("shingles").alias("token")).distinct()
         counts = self._counts(docs, self._bitmap(grams), sizes).join(grams, "token", "left_semi").groupBy("token").agg(F.sum("n").alias("n"))
         ranked = windows.select("item", "words", F.posexplode("shingles").alias("offset", "token")).join(counts, "token", "left")

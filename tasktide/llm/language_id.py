@@ -79,7 +79,7 @@ class LanguageId:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             df, n = np.zeros(size, np.int64), 0
             for batch in batches:
-                for _, _, texts in slices(batch.column(0), rows=1000):
+                for _, _, texts in slices(batch.column(0), rows=250):
                     df += (trigrams(texts, width) > 0).sum(axis=0)
                     n += len(texts.valid)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(size), -1)), pa.array(np.append(df, n))], ["gram", "n"])
@@ -101,7 +101,7 @@ class LanguageId:
         def cluster(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             """Spherical k-means over one language's part of the sample."""
             pdf = pdf.sort_values(["key", "text"], kind="stable")
-            x = np.concatenate([vectors(trigrams(t, width), idf) for _, _, t in slices(pa.array(pdf["text"], pa.string()), rows=1000)])
+            x = np.concatenate([vectors(trigrams(t, width), idf) for _, _, t in slices(pa.array(pdf["text"], pa.string()), rows=250)])
             c = x[np.random.default_rng(seed).permutation(len(x))[: min(k, len(x))]]
             for _ in range(15):
                 near = (x @ c.T).argmax(axis=1)
@@ -125,17 +125,18 @@ class LanguageModel:
     centroids: np.ndarray
     low: np.ndarray
 
-    def predict(self, docs: DataFrame, keep: list[Column | str]) -> DataFrame:
-        """The columns of keep, and lang_pred, score (cosine of the nearest centroid, 0 to 1), rejected."""
+    def predict(self, docs: DataFrame, keep: list[Column | str], names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+        """The columns of keep, and, so named, the language, its score (cosine of the nearest centroid, 0 to 1), and whether
+        the text is rejected."""
         o, idf, c, low, langs = self.options, self.idf, self.centroids, self.low, np.array([*self.langs, UNKNOWN], dtype=object)
         chosen = docs.select(*keep, F.col("text").alias("__text"))
         kept = chosen.drop("__text").schema
-        out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double, rejected boolean"
-        names = [*kept.names, "lang_pred", "score", "rejected"]
+        out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", {} string, {} double, {} boolean".format(*names)
+        columns = [*kept.names, *names]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for start, end, texts in slices(batch.column(batch.num_columns - 1), rows=1000):
+                for start, end, texts in slices(batch.column(batch.num_columns - 1), rows=250):
                     letter = np.append(0, np.cumsum(_LETTER[texts.data] != 32))[texts.offsets]
                     some = (np.diff(letter) > 0) & texts.valid & bool(len(c))
                     near, score, limit = np.full(end - start, len(langs) - 1), np.zeros(end - start), np.full(end - start, np.inf)
@@ -147,7 +148,7 @@ class LanguageModel:
                         near = np.where(some, best, near)
                         score = np.where(some, np.clip(s.max(axis=1), 0, 1), 0.0)
                         limit = np.where(some, o.far * low[best] * np.sqrt(np.minimum(1, length / 100)), np.inf)
-                    yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, end - start) for i in range(batch.num_columns - 1)), pa.array(langs[near], pa.string()), pa.array(score.astype(np.float64)), pa.array(score < limit)], names)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, end - start) for i in range(batch.num_columns - 1)), pa.array(langs[near], pa.string()), pa.array(score.astype(np.float64)), pa.array(score < limit)], columns)
 
         return chosen.mapInArrow(run, out)
 
@@ -159,4 +160,4 @@ def held_out(modulus: int, remainder: int) -> Column:
 
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """docs without those that the model rejects; same columns."""
-    return model.predict(docs, docs.columns).filter("not rejected").select(docs.columns)
+    return model.predict(docs, docs.columns, ("__lang", "__score", "__rejected")).filter("not __rejected").select(docs.columns)

@@ -34,8 +34,10 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
     return often.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1, least: int = 3) -> DataFrame:
-    """docs with boilerplate lines removed from text, and the columns n_lines and n_dropped."""
+def drop_boilerplate(
+    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1, least: int = 3, counts: tuple[str, str] = ("n_lines", "n_dropped")
+) -> DataFrame:
+    """docs with boilerplate lines removed from text, and the numbers of lines and of dropped lines, so named."""
     work = Workspace(docs.sparkSession, "line-dedup")
     bad = work.keep(boilerplate(docs, host, text, ratio, least), "lines").select(F.col("host").alias("__host"), F.col("lines").alias("__bad"))
     joined = docs.join(bad, F.col(host).eqNullSafe(F.col("__host")), "left")
@@ -44,8 +46,8 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     joined = joined.withColumn("__kept", F.when(F.col("__bad").isNotNull(), kept))
     out = joined.withColumns(
         {
-            "n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"),
-            "n_dropped": F.coalesce(F.size(lines) - F.size("__kept"), F.lit(0)).cast("long"),
+            counts[0]: F.coalesce(F.size(lines), F.lit(0)).cast("long"),
+            counts[1]: F.coalesce(F.size(lines) - F.size("__kept"), F.lit(0)).cast("long"),
             text: F.when(F.col("__bad").isNull(), F.col(text)).otherwise(F.array_join("__kept", "\n")),
         }
     )
