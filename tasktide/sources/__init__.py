@@ -1 +1,54 @@
+"""Sources by name, and the stored state as versioned snapshots."""
 
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+class Sources:
+    """Named tables: each a function of the session, so tests can put in their own. Filters and column selections on the
+    result reach the scan."""
+
+    def __init__(self, spark: SparkSession, tables: dict[str, Callable[[SparkSession], DataFrame]] | None = None):
+        self.spark, self.tables = spark, dict(tables or {})
+
+    @classmethod
+    def of_parquet(cls, spark: SparkSession, folder: str, names: list[str]) -> Sources:
+        return cls(spark, {n: (lambda s, n=n: s.read.parquet(f"{folder}/{n}.parquet")) for n in names})
+
+    def __call__(self, name: str) -> DataFrame:
+        if name not in self.tables:
+            raise KeyError(f"unknown source {name}")
+        return self.tables[name](self.spark)
+
+
+class StateStore:
+    """Snapshots of the state: a new folder for each version, and a pointer row written last. A reader sees whole versions
+    only, and a failed write leaves the old one in place. Files are never overwritten while they are read."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _pointers(self) -> DataFrame | None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/versions")
+        exists = path.getFileSystem(self.spark._jsc.sc().hadoopConfiguration()).exists(path)
+        return self.spark.read.schema("version long, folder string, batch long").json(f"{self.root}/versions") if exists else None
+
+    def current(self) -> tuple[int, str | None, int]:
+        """Version, folder and last batch written; (0, None, -1) before the first."""
+        rows = self._pointers()
+        last = rows.orderBy("version", ascending=False).first() if rows is not None else None
+        return (last.version, last.folder, last.batch) if last else (0, None, -1)
+
+    def read(self, empty: DataFrame) -> DataFrame:
+        folder = self.current()[1]
+        return empty if folder is None else self.spark.read.schema(empty.schema).parquet(folder)
+
+    def write(self, state: DataFrame, batch: int = -1) -> None:
+        version, _, _ = self.current()
+        folder = f"{self.root}/data/{version + 1}-{uuid.uuid4().hex[:8]}"
+        state.write.parquet(folder)
+        self.spark.createDataFrame([(version + 1, folder, batch)], "version long, folder string, batch long").coalesce(1).write.mode("append").json(f"{self.root}/versions")

@@ -1 +1,77 @@
+"""The live path: change events to planned tasks, with the same planner as the batch path.
 
+An event says that a row of a source changed: (event_id, ts, source, key, operation). Its payload isn't used; the row is
+read again, so late and repeated events do no harm.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..model import Registry
+from ..operators.cleanup import clean
+from ..operators.planner import plan
+from ..sources import Sources, StateStore
+
+EVENT = "event_id long, ts timestamp_ntz, source string, key long, operation string"
+
+
+def change_stream(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
+    """Change events from Parquet files, only the columns that are used."""
+    return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+def wanted(events: DataFrame, registry: Registry) -> DataFrame:
+    """Events of sources that tasks are defined on. Deletes always pass: they carry no row that a filter could match."""
+    return events.filter(F.col("source").isin(registry.sources()) & F.col("operation").isin("insert", "update", "replace", "delete"))
+
+
+def latest(events: DataFrame, *keys: str) -> DataFrame:
+    """The last event of each key (by default of each source and key)."""
+    by = keys or ("source", "key")
+    rank = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("ts"), F.desc("event_id")))
+    return events.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
+
+
+def apply_events(events: DataFrame, sources: Sources, registry: Registry, state: DataFrame, now: datetime) -> DataFrame:
+    """The state after a batch of events: for each source deletes first, then the changed rows planned as they are now."""
+    last = latest(wanted(events, registry))
+    for name in registry.sources():
+        tasks, rows = registry.of_source(name), sources(name)
+        mine = last.filter(F.col("source") == name)
+        gone = mine.filter("operation = 'delete'").select(F.col("key").alias("source_doc_id"))
+        for d in tasks:
+            state = clean(state, rows, d, now, only=gone)
+        touched = rows.join(mine.filter("operation <> 'delete'").select(F.col("key").alias(tasks[0].key)), tasks[0].key, "left_semi")
+        state = plan(touched, tasks, state, now)
+    return state
+
+
+def start(events: DataFrame, sources: Sources, registry: Registry, store: StateStore, empty: DataFrame, checkpoint: str, clock: Callable[[], datetime], available_now: bool = True, every: str = "500 milliseconds") -> StreamingQuery:
+    """Run the planner on a stream. A batch that fails is run again from the checkpoint; one that was written before a crash
+    is known by its number and skipped, and a merge of the same rows changes nothing anyway."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        if store.current()[2] < number:
+            store.write(apply_events(rows, sources, registry, store.read(empty), clock()), number)
+
+    writer = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
+
+
+def debounced(events: DataFrame, gap: str, *keys: str) -> DataFrame:
+    """Sessions of each key that end when it is quiet for the gap: when a debounced task of a live stream would run."""
+    s = F.session_window("ts", gap)
+    return events.groupBy(*keys, s).agg(F.count("*").alias("events")).select(*keys, F.col("session_window.start").alias("first"), F.col("session_window.end").alias("run_at"), "events")
+
+
+def lag_s(events: DataFrame, now: datetime) -> DataFrame:
+    """Seconds between the last event and now, not below 0."""
+    late = F.timestamp_diff("SECOND", F.max("ts"), F.lit(now).cast("timestamp_ntz"))
+    return events.agg(F.greatest(F.lit(0), F.coalesce(late, F.lit(0))).cast("long").alias("lag_s"))
