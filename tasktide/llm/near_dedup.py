@@ -222,6 +222,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80) ->
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80) -> DataFrame:
     """docs with one document of each component: that with the smallest doc_id. Rows without doc_id stay."""
-    gone = near_duplicates(docs, shingle, similarity).filter("not kept").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    found, work = NearDedup(shingle=shingle, similarity=similarity).classes(docs)
+    gone = work.keep(found.filter("not kept").select("doc_id").distinct(), "gone")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    repeated = work.keep(docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    # Only rows whose id is repeated are shuffled to be made one.
+    more = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(more).select(docs.columns)
