@@ -236,20 +236,39 @@ _OPERATORS: dict[str, Callable[..., Column]] = {
 }
 
 
+FIELD_OPERATORS = frozenset("$eq $ne $gt $gte $lt $lte $in $nin $exists $regex $options $type $size".split())
+
+
+def _is_query(f: Any) -> bool:
+    """Whether a dict is a filter by its form; ValueError for a field with an unknown operator."""
+    if not isinstance(f, dict):
+        return False
+    for key, value in f.items():
+        if key in ("$and", "$or", "$nor"):
+            if not isinstance(value, (list, tuple)) or not all(map(_is_query, value)):
+                return False
+        elif key == "$not":
+            if not _is_query(value):
+                return False
+        elif key != "$expr" and key.startswith("$"):
+            return False
+        elif key != "$expr" and isinstance(value, dict) and value and all(k.startswith("$") for k in value):
+            if unknown := set(value) - FIELD_OPERATORS:
+                raise ValueError(f"unsupported operator {sorted(unknown)[0]} on field {key}")
+    return True
+
+
 def normalize(task_filter: Any) -> dict:
     """A filter or bare expression as a filter dict: None and {} stay empty, a dict with only $ keys that is no filter is an
-    expression."""
+    expression. Needs no session; types are checked when the filter meets a schema."""
     if task_filter is None:
         return {}
     if isinstance(task_filter, Column):
         return {"$expr": task_filter}
     if not isinstance(task_filter, dict):
         raise ValueError(f"a filter is a dict, not {task_filter!r}")
-    if all(k in ("$and", "$or", "$nor", "$not", "$expr") or not k.startswith("$") for k in task_filter):
-        try:
-            Filters().compile(task_filter)
-            return task_filter
-        except ValueError:
-            if any(not k.startswith("$") for k in task_filter):
-                raise
+    if _is_query(task_filter):
+        return task_filter
+    if any(not k.startswith("$") for k in task_filter):
+        raise ValueError(f"fields can't stand beside an expression: {sorted(task_filter)}")
     return {"$expr": task_filter}

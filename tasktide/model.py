@@ -22,7 +22,7 @@ HISTORY = T.StructType().add("at", "timestamp_ntz").add("status", "string").add(
 
 def record_schema(key: T.DataType = T.LongType(), observed: T.DataType = T.StringType()) -> T.StructType:
     """One row for each (task, source_doc_id)."""
-    s = T.StructType().add("task", "string", False).add("source_doc_id", key).add("status", "string").add("attempts", "int")
+    s = T.StructType().add("task", "string", False).add("source_doc_id", key).add("status", "string").add("attempts", "integer")
     for name in ("next_run_at", "due_at", "created_at", "updated_at", "started_at", "completed_at", "first_error_at"):
         s = s.add(name, "timestamp_ntz")
     s = s.add("last_error", "string").add("last_finalized_at", "timestamp_ntz").add("observed", observed)
@@ -78,7 +78,7 @@ class RetryPolicy:
         if self.type == "linear":
             return (n * self.interval).cast("long")
         if self.type == "series":
-            return F.element_at(F.array(*map(F.lit, self.intervals)), F.least(n, F.lit(len(self.intervals)))).cast("long")
+            return F.element_at(F.array(*map(F.lit, self.intervals)), F.least(n, F.lit(len(self.intervals))).cast("int")).cast("long")
         grown = F.lit(float(self.min)) * F.pow(F.lit(float(self.factor)), n - 1)
         return F.least(F.lit(float(self.max if self.max is not None else 2**53)), grown).cast("long")
 
