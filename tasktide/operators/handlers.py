@@ -51,6 +51,13 @@ def run_handlers(claimed: DataFrame, handler: Callable[[dict[str, Any]], None])
     return claimed.mapInPandas(run, OUTCOMES.format(key=kind))
 
 
+def with_source_row(claimed: DataFrame, source: DataFrame, key: str, columns: list[str] | None = None) -> DataFrame:
+    """Claimed records with the row they are for, as it is now, in the column document; only the given columns are read.
+    Records whose row is gone drop out. Filter the source first to have the task's condition hold as well."""
+    row = F.struct(*(columns or source.columns)).alias("document")
+    return claimed.join(source.select(F.col(key).alias("source_doc_id"), row), "source_doc_id")
+
+
 def process_in_batches(rows: DataFrame, transform: Callable[[dict[str, Any]], Any], execute: Callable[[list], None], batch_size: int = 1000) -> dict[str, int]:
     """Each row gives none, one or a list of operations, executed in lists of batch_size or a few more; the counts of rows
     and operations. Rows of a partition are worked on in order where they are."""

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+from datetime import datetime
 from functools import reduce
 from typing import Any
 
@@ -14,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions.predicates import Filters
 from ..model import STATUSES, Registry
 from .planner import KEYS
+from .transitions import reset, retry_by_source
 
 SORTS = {"next_run_at": "next_run_at", "due_at": "due_at", "updated_at": "updated_at", "created_at": "created_at", "status": "status", "attempts": "attempts", "task": "task"}
 
@@ -133,3 +136,24 @@ def info(records: DataFrame, registry: Registry) -> DataFrame:
 
 def tasks_by_source(registry: Registry) -> dict[str, list[str]]:
     return {s: sorted(d.name for d in registry.of_source(s)) for s in registry.sources()}
+
+
+def overview(state: DataFrame, query: TaskQuery, source: DataFrame | None = None, key: str | None = None, **paging: Any) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A page, the number of all matching records, and status counts that leave the query's status and error aside."""
+    found = matching(state, query, source, key)
+    around = matching(state, replace(query, status=None, error=None, has_error=None), source, key)
+    return page(found, **paging), found.agg(F.count("*").alias("total")), status_counts(around)
+
+
+def retry(state: DataFrame, registry: Registry, query: TaskQuery, now: datetime, sources: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """The state with a query's records reset; all tasks if it names none. An unknown name is an error."""
+    tasks = [registry.get(query.task)] if query.task is not None else list(registry.by_name.values())
+    mine = F.col("task").isin([d.name for d in tasks])
+    if not query.source_filter:
+        return reset(state, mine & query.condition(), now)
+    for name in sorted({d.source for d in tasks}):
+        here = [d for d in tasks if d.source == name]
+        rows = sources(name)
+        keys = rows.filter(Filters(rows.schema, now).compile(query.source_filter)).select(F.col(here[0].key).alias("source_doc_id"))
+        state = retry_by_source(state, keys, F.col("task").isin([d.name for d in here]) & query.condition(), now)
+    return state

@@ -43,6 +43,12 @@ def top_lag(records: DataFrame, now: datetime, n: int = 10) -> DataFrame:
     return lag(records, now).orderBy(F.desc("lag_s"), "task").limit(n)
 
 
+def last_reconciled(controls: DataFrame) -> DataFrame:
+    """Epoch seconds of each task's last reconciliation, 0 before the first."""
+    seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("last_reconciled_at"))
+    return controls.select("task", F.coalesce(seconds, F.lit(0)).cast("long").alias("seconds"))
+
+
 def _window(size: str) -> Column:
     return F.window("ts", size)["start"].alias("start")
 

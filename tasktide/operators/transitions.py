@@ -44,6 +44,11 @@ def claim(state: DataFrame, now: datetime, n: int, visibility_ms: int = 60_000,
     ).select(state.columns)
 
 
+def allowed(tasks: list[str], throttled: dict[str, datetime], now: datetime) -> list[str]:
+    """The tasks that may be claimed now: those that no handler has throttled until later."""
+    return [t for t in tasks if t not in throttled or throttled[t] <= now]
+
+
 def last_n(history: Column, n: int) -> Column:
     return F.slice(history, F.greatest(F.lit(1), F.size(history) - n + 1), F.lit(n))
 

@@ -11,7 +11,7 @@ from ..functions.predicates import Filters
 from ..functions.projection import watched
 from ..model import RetryPolicy
 from ..operators import cleanup, cron, listing, metrics, planner, reconcile, transitions
-from ..operators.handlers import run_handlers
+from ..operators.handlers import run_handlers, with_source_row
 from .. import streaming
 from ..sources import Sources
 from .registry import query
@@ -185,6 +185,22 @@ def stats_info_buckets(spark, sf_dir):
     return listing.info(records(spark, sf_dir), REGISTRY)
 
 
+@query(f"WITH {SQL_RECORDS} SELECT status, count(*) AS n FROM records WHERE task = 'urgent_orders' GROUP BY 1")
+def task_overview(spark, sf_dir):
+    """The status counts beside a filtered list: its status and error conditions don't apply to them."""
+    return listing.overview(records(spark, sf_dir), listing.TaskQuery(task="urgent_orders", status="failed", has_error=True))[2]
+
+
+@query(
+    f"WITH {SQL_RECORDS}, h AS (SELECT *, last_error IS NOT NULL AND regexp_matches(last_error, 'rate', 'i') AND source_doc_id IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 100000) AS hit FROM records) "
+    "SELECT task, CASE WHEN hit AND status IN ('processing', 'processing_dirty') THEN 'processing_dirty' WHEN hit THEN 'pending' ELSE status END AS status, count(*) AS n FROM h GROUP BY 1, 2"
+)
+def retry_by_query(spark, sf_dir):
+    """A retry of all tasks' records by their error and by their source rows."""
+    q = listing.TaskQuery(error="RATE", source_filter={"o_totalprice": {"$gt": 100000}})
+    return listing.retry(records(spark, sf_dir), REGISTRY, q, NOW, lambda name: table(spark, sf_dir, name)).groupBy("task", "status").agg(F.count("*").alias("n"))
+
+
 # Transitions
 
 
@@ -362,6 +378,15 @@ def cleanup_after_deletes(spark, sf_dir):
     return cleanup.orphans(records(spark, sf_dir), _live(spark, sf_dir), OPEN, NOW, only=gone).select("source_doc_id")
 
 
+@query(
+    f"WITH {SQL_RECORDS} SELECT task, count(*) AS n FROM records WHERE NOT (updated_at < {SQL_NOW} AND CASE WHEN task = 'open_orders' THEN source_doc_id NOT IN (SELECT o_orderkey FROM orders) "
+    "ELSE source_doc_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') END) GROUP BY 1"
+)
+def cleanup_all(spark, sf_dir):
+    """The periodic cleanup of all tasks."""
+    return cleanup.clean_all(records(spark, sf_dir), lambda name: table(spark, sf_dir, name), REGISTRY, NOW).groupBy("task").agg(F.count("*").alias("n"))
+
+
 @query("SELECT * FROM (VALUES ('open_orders', FALSE), ('urgent_orders', TRUE)) t(task, reconciled)")
 def trigger_signature_diff(spark, sf_dir):
     """A changed filter makes its task unreconciled; an equal one does not."""
@@ -479,6 +504,12 @@ def metric_depths(spark, sf_dir):
 _START = "CAST(epoch_ms(time_bucket(INTERVAL {s} SECOND, ts, TIMESTAMP '1970-01-01')) AS BIGINT) AS start_ms"
 
 
+@query(f"SELECT task, CAST(epoch({SQL_NOW}) AS BIGINT) AS seconds FROM (VALUES ('open_orders'), ('urgent_orders')) t(task)")
+def metric_last_reconciled(spark, sf_dir):
+    controls = {d.name: reconcile.Control(d.signature(), 1, True, NOW) for d in TASKS}
+    return metrics.last_reconciled(reconcile.to_frame(spark, controls))
+
+
 def _windowed(df):
     return df.withColumn("start_ms", _epoch("start")).drop("start")
 
@@ -583,6 +614,15 @@ def cdc_apply_batch(spark, sf_dir):
 # Handlers
 
 
+@query(f"WITH {SQL_RECORDS} SELECT r.task, source_doc_id, o_orderpriority AS priority FROM records r JOIN orders ON source_doc_id = o_orderkey WHERE r.status = 'processing' AND o_orderpriority = '1-URGENT'")
+def handler_documents(spark, sf_dir):
+    """Claimed records with the row they are for, one column of it, where the task's filter still holds."""
+    o = table(spark, sf_dir, "orders")
+    rows = o.filter(Filters(o.schema, NOW).compile(URGENT.filter))
+    claimed = records(spark, sf_dir).filter("status = 'processing'").select(*KEYS)
+    return with_source_row(claimed, rows, "o_orderkey", ["o_orderpriority"]).select(*KEYS, F.col("document.o_orderpriority").alias("priority"))
+
+
 @query(f"WITH {SQL_RECORDS} SELECT task, CASE WHEN source_doc_id % 4 = 1 THEN 'failed' ELSE 'completed' END AS outcome, count(*) AS n FROM records WHERE status = 'processing' OR status = 'processing_dirty' GROUP BY 1, 2")
 def handler_outcomes(spark, sf_dir):
     """User code over all claimed records, on the executors."""

@@ -212,6 +212,31 @@ def test_lists(spark, schema):
     assert sorted(r.source_doc_id for r in listing.union([a, text]).collect()) == ["1", "x"]
 
 
+def test_overview_and_retry_by_query(spark, schema):
+    state = made(spark, schema, last_error="Timeout").unionByName(made(spark, schema, source_doc_id=2, status="failed", next_run_at=None)).unionByName(made(spark, schema, source_doc_id=3, task="u"))
+    registry = Registry(TASK, TaskDefinition("u", "src", "id"))
+    page, total, counts = listing.overview(state, listing.TaskQuery(task="t", status="failed"), limit=5)
+    assert [r.source_doc_id for r in page.collect()] == [2] and total.first().total == 1
+    assert {r.status: r.n for r in counts.collect()} == {"failed": 1, "pending": 1} and "observed" not in page.columns
+    hit = lambda q: {r.source_doc_id for r in listing.retry(state, registry, q, LATER, lambda _: source(spark, (1, "a", 5), (3, "b", 6))).filter(F.col("updated_at") == F.lit(LATER).cast("timestamp_ntz")).collect()}
+    assert hit(listing.TaskQuery()) == {1, 2, 3} and hit(listing.TaskQuery(task="t")) == {1, 2} and hit(listing.TaskQuery(status="failed")) == {2}
+    assert hit(listing.TaskQuery(source_filter={"kind": "b"})) == {3} and hit(listing.TaskQuery(task="t", source_filter={"kind": "b"})) == set()
+    with pytest.raises(KeyError):
+        listing.retry(state, registry, listing.TaskQuery(task="odd"), LATER)
+    assert transitions.allowed(["a", "b", "c"], {"a": LATER, "b": NOW}, NOW) == ["b", "c"]
+
+
+def test_control_table_and_recovery(spark, schema, empty):
+    stored = {"t": reconcile.Control(TASK.signature(), 1, True, NOW)}
+    assert reconcile.from_frame(reconcile.to_frame(spark, stored)) == stored
+    rows = source(spark, (1, "a", 5))
+    assert reconcile.reconcile(lambda _: rows, Registry(TASK), stored, empty, LATER)[0].count() == 0
+    state, controls = reconcile.recover(lambda _: rows, Registry(TASK), stored, empty, LATER)
+    assert set(by_id(state)) == {1} and controls["t"].last_reconciled_at == LATER
+    assert cleanup.clean_all(made(spark, schema, source_doc_id=9), lambda _: rows, Registry(TASK), LATER).count() == 0
+    assert {r.task: r.seconds for r in metrics.last_reconciled(reconcile.to_frame(spark, {"x": reconcile.Control()})).collect()} == {"x": 0}
+
+
 def test_jobs(spark):
     hour = timedelta(hours=1)
     rows = [
