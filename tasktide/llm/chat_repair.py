@@ -8,7 +8,7 @@ finds the cheapest repair; the repaired turns are then rendered.
 A conversation's turns are cut into blocks of consecutive `turn` numbers. A block is a matrix of costs from each state
 before it to each state after it, with matrices multiplied by (min, +); so the matrices of a conversation, one small row
 for each block, give the state at every block's borders, and each block is repaired on its own. A conversation of any
-length is thus worked on in blocks, and only rows of 16 numbers meet in one place. The result has one row per fragment
+length is thus worked on in blocks, and only rows of 16 numbers meet in one place; one that fits in a block needs none. The result has one row per fragment
 of the rendered text; a conversation's text is its fragments in order.
 
 Defined results: turns are ordered by turn, then role, then text, nulls first; turns that repeat a turn number stay,
@@ -91,6 +91,10 @@ class ChatRepair:
             m = (m[:, :, None] + known[r][None]).min(axis=1)
         return np.minimum(m, _FAR)
 
+    def _end(self, cost: np.ndarray) -> int:
+        """The cheapest legal last state: a user or assistant turn. After a system turn alone an empty user turn comes."""
+        return int((cost + np.array([_FAR, self.insert, 0, 0])).argmin())
+
     def path(self, roles: list, enter: int, leave: int) -> list[tuple[int, int, str, tuple[int, ...]]]:
         """(cost, role, action, inserted) of each turn on the cheapest way from one state to another."""
         steps = {r: self.steps(r) for r in set(roles)}
@@ -136,8 +140,7 @@ class ChatRepair:
                 total = cost[:, None] + m
                 back.append(total.argmin(axis=0))
                 cost = total.min(axis=0)
-            # After a system turn alone an empty user turn has to come.
-            state = int((cost + np.array([_FAR, self.insert, 0, 0])).argmin())
+            state = self._end(cost)
             leave, enter, last = [], [], len(blocks) - 1
             for b in reversed(back):
                 leave.append(state)
@@ -147,7 +150,10 @@ class ChatRepair:
 
         def rendered(group: pa.Table) -> pa.Table:
             group = sorted_(group)
+            given = group.column("role").to_pylist()
             enter, leave, final = (group.column(c)[0].as_py() for c in ("enter", "leave", "final"))
+            if enter is None:  # the only block of its conversation
+                enter, leave, final = 0, self._end(self._matrix(given, {})[0]), True
             out: list[tuple] = []
             opened = enter > 0
 
@@ -156,7 +162,6 @@ class ChatRepair:
                 out.append((turn, ROLES[role], action, cost, "\n" + text if action == "merge" else (self.stop if opened else "") + self.begin + ROLES[role] + self.end + text))
                 opened = True
 
-            given = group.column("role").to_pylist()
             for turn, old, text, (cost, role, action, inserted) in zip(group.column("turn").to_pylist(), given, group.column("text").to_pylist(), self.path(given, enter, leave), strict=True):
                 for x in inserted:
                     put(None, x, "insert", self.insert, "")
@@ -170,10 +175,12 @@ class ChatRepair:
             turn, role, action, cost, text = zip(*out, strict=True)
             return pa.table({"conv_id": pa.chunked_array([group.column("conv_id").slice(0, 1).combine_chunks().take(pa.array([0] * n))]), "block": pa.array([group.column("block")[0].as_py()] * n, pa.int64()), "at": pa.array(range(n), pa.int64()), "turn": pa.array(turn, pa.int64()), "role": role, "action": action, "cost": pa.array(cost, pa.int64()), "fragment": text})
 
-        m = work.keep(rows.drop("text").withColumn("text", F.lit("")).groupBy("conv_id", "block").applyInArrow(matrices, f"conv_id {conv}, block long, m array<long>"), "matrices")
+        several = rows.groupBy(F.col("conv_id").alias("c")).agg(F.min("block").alias("low"), F.max("block").alias("high")).filter("low <> high").select("c")
+        long = rows.drop("text").withColumn("text", F.lit("")).join(several, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")
+        m = work.keep(long.groupBy("conv_id", "block").applyInArrow(matrices, f"conv_id {conv}, block long, m array<long>"), "matrices")
         ends = work.keep(m.groupBy("conv_id").applyInArrow(borders, f"conv_id {conv}, block long, enter int, leave int, final boolean"), "borders")
         ends = ends.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "enter", "leave", "final")
-        joined = rows.join(ends, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).drop("c", "b")
+        joined = rows.join(ends, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")), "left").drop("c", "b")
         return joined.groupBy("conv_id", "block").applyInArrow(rendered, f"conv_id {conv}, block long, at long, turn long, role string, action string, cost long, fragment string")
 
 
