@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from copy import copy
 from datetime import datetime, timedelta
 from functools import reduce
 from typing import Any
@@ -46,7 +47,7 @@ class Filters:
     """Compiler for rows of a schema. prefix rebases all field paths, as under the envelope of a change event."""
 
     def __init__(self, schema: T.StructType | None = None, now: datetime | Column | None = None, prefix: str = "", strict_sql: bool = False):
-        self.schema, self.prefix, self.strict = schema, prefix, strict_sql
+        self.schema, self.prefix, self.strict, self.bare = schema, prefix, strict_sql, False
         self.now = now if isinstance(now, Column) or now is None else F.lit(now).cast("timestamp_ntz")
 
     def column(self, path: str) -> Column:
@@ -55,7 +56,7 @@ class Filters:
         return F.col(self.prefix + path)
 
     def _total(self, value: Column, absent: bool = False) -> Column:
-        return value if self.strict else F.coalesce(value, F.lit(absent))
+        return value if self.strict or (self.bare and not absent) else F.coalesce(value, F.lit(absent))
 
     def _value(self, value: Any) -> Column:
         if isinstance(value, Column):
@@ -80,14 +81,26 @@ class Filters:
         parts = [self._part(k, v) for k, v in (query or {}).items()]
         return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
 
+    def where(self, query: dict | None) -> Column:
+        """The predicate for DataFrame.filter, where null is as good as false: what isn't negated stays a plain comparison,
+        which reaches the scan."""
+        plain = copy(self)
+        plain.bare = True
+        return plain.compile(query)
+
+    def _negated(self) -> Filters:
+        whole = copy(self)
+        whole.bare = False
+        return whole
+
     def _part(self, key: str, value: Any) -> Column:
         if key in ("$and", "$or", "$nor"):
             if not isinstance(value, (list, tuple)) or not value:
                 raise ValueError(f"{key} takes a list of filters")
-            parts = [self.compile(v) for v in value]
+            parts = [(self._negated() if key == "$nor" else self).compile(v) for v in value]
             return reduce(lambda a, b: a & b, parts) if key == "$and" else reduce(lambda a, b: a | b, parts) if key == "$or" else ~reduce(lambda a, b: a | b, parts)
         if key == "$not":
-            return ~self.compile(value)
+            return ~self._negated().compile(value)
         if key == "$expr":
             return self._total(self.expression(value).cast("boolean"))
         if key.startswith("$"):
@@ -129,7 +142,7 @@ class Filters:
             for v in value:
                 self._check(path, v)
             known = [self._value(v) for v in value if v is not None]
-            among = self._total(col.isin(known) if known else F.lit(False))
+            among = (self._negated() if op == "$nin" else self)._total(col.isin(known) if known else F.lit(False))
             among = among | col.isNull() if len(known) < len(value) else among
             return among if op == "$in" else ~among
         if op == "$exists":

@@ -79,7 +79,7 @@ def matching(state: DataFrame, query: TaskQuery, source: DataFrame | None = None
         return found
     if set(query.source_filter) == {key} and not isinstance(query.source_filter[key], dict):
         return found.filter(F.col("source_doc_id") == query.source_filter[key])
-    rows = source.filter(Filters(source.schema).compile(query.source_filter))
+    rows = source.filter(Filters(source.schema).where(query.source_filter))
     return found.join(rows.select(F.col(key).alias("source_doc_id")), "source_doc_id", "left_semi")
 
 
@@ -154,6 +154,6 @@ def retry(state: DataFrame, registry: Registry, query: TaskQuery, now: datetime,
     for name in sorted({d.source for d in tasks}):
         here = [d for d in tasks if d.source == name]
         rows = sources(name)
-        keys = rows.filter(Filters(rows.schema, now).compile(query.source_filter)).select(F.col(here[0].key).alias("source_doc_id"))
+        keys = rows.filter(Filters(rows.schema, now).where(query.source_filter)).select(F.col(here[0].key).alias("source_doc_id"))
         state = retry_by_source(state, keys, F.col("task").isin([d.name for d in here]) & query.condition(), now)
     return state

@@ -8,6 +8,7 @@ over both sides. Only value changes of what a task watches count, so replays and
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,9 @@ def fan_out(source: DataFrame, definitions: list[TaskDefinition], now: datetime)
     if len(key) != 1:
         raise ValueError("definitions of one source share its key")
     matching = F.filter(F.array(*tasks), lambda t: t.isNotNull())
-    return source.select(F.col(key.pop()).alias("source_doc_id"), F.explode(matching).alias("t")).select("t.task", "source_doc_id", "t.observed", "t.debounce_ms", "t.reset_on_change")
+    # Any task's filter lets a row pass: where all are plain comparisons, their disjunction reaches the scan.
+    rows = source.filter(reduce(lambda a, b: a | b, (filters.where(d.filter) for d in definitions)))
+    return rows.select(F.col(key.pop()).alias("source_doc_id"), F.explode(matching).alias("t")).select("t.task", "source_doc_id", "t.observed", "t.debounce_ms", "t.reset_on_change")
 
 
 def planned(source: DataFrame, definitions: list[TaskDefinition], now: datetime) -> DataFrame:

@@ -71,7 +71,7 @@ def nested(spark, sf_dir):
 def _add(name, rows, key, task_filter, sql):
     def run(spark, sf_dir):
         source = rows(spark, sf_dir)
-        return source.filter(Filters(source.schema, NOW).compile(task_filter)).select(F.col(key).cast("long").alias("k"))
+        return source.filter(Filters(source.schema, NOW).where(task_filter)).select(F.col(key).cast("long").alias("k"))
 
     run.__doc__ = f"Rows that match {task_filter!r}."
     add(name, run, sql)

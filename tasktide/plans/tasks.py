@@ -312,7 +312,7 @@ def reset_tasks(spark, sf_dir):
 def retry_by_source_filter(spark, sf_dir):
     """Retry the records of source rows that match a filter."""
     o = table(spark, sf_dir, "orders")
-    keys = o.filter(Filters(o.schema).compile({"o_totalprice": {"$lt": 50000}})).select(F.col("o_orderkey").alias("source_doc_id"))
+    keys = o.filter(Filters(o.schema).where({"o_totalprice": {"$lt": 50000}})).select(F.col("o_orderkey").alias("source_doc_id"))
     return transitions.retry_by_source(records(spark, sf_dir), keys, F.col("task") == "open_orders", NOW).groupBy("status").agg(F.count("*").alias("n"))
 
 
@@ -618,7 +618,7 @@ def cdc_apply_batch(spark, sf_dir):
 def handler_documents(spark, sf_dir):
     """Claimed records with the row they are for, one column of it, where the task's filter still holds."""
     o = table(spark, sf_dir, "orders")
-    rows = o.filter(Filters(o.schema, NOW).compile(URGENT.filter))
+    rows = o.filter(Filters(o.schema, NOW).where(URGENT.filter))
     claimed = records(spark, sf_dir).filter("status = 'processing'").select(*KEYS)
     return with_source_row(claimed, rows, "o_orderkey", ["o_orderpriority"]).select(*KEYS, F.col("document.o_orderpriority").alias("priority"))
 

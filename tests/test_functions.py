@@ -80,7 +80,9 @@ def rows(spark):
     ],
 )
 def test_filters(rows, query, ids):
-    assert sorted(r.id for r in rows.filter(Filters(rows.schema, NOW).compile(query)).collect()) == ids
+    f = Filters(rows.schema, NOW)
+    assert sorted(r.id for r in rows.filter(f.compile(query)).collect()) == ids
+    assert sorted(r.id for r in rows.filter(f.where(query)).collect()) == ids
 
 
 def test_predicates_are_never_null_but_in_strict_mode(rows):
@@ -104,7 +106,7 @@ def test_filters_under_an_envelope_and_pushdown(rows, spark, tmp_path):
     assert events.filter(Filters(rows.schema, prefix="doc.").compile({"n": 10, "$expr": {"$gt": ["$n", "$m"]}})).count() == 1
     rows.drop("tags", "log").write.parquet(f"file://{tmp_path}/t")
     t = spark.read.parquet(f"file://{tmp_path}/t")
-    plan = t.filter(Filters(t.schema, strict_sql=True).compile({"n": {"$gte": 50}, "s": "a"})).select("id")._jdf.queryExecution().toString()
+    plan = t.filter(Filters(t.schema).where({"n": {"$gte": 50}, "s": "a"})).select("id")._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(n,50)" in plan and "EqualTo(s,a)" in plan
 
 
