@@ -145,6 +145,9 @@ class NearDedup:
         edges = work.keep(self._within(self._blocks(apart, work), sets), "edges-1")
         stars = components(edges.unionByName(stars.select(F.col("v").alias("a"), F.col("m").alias("b"))), work, "stars-1")
 
+        for name in ("posts", "sets", "edges-0", "edges-1", "apart"):
+            work.drop(name)  # what the result reads is the sketch and the stars
+
         rep = of_set.select("set_a", "set_b", "rep")
         rep = rep.join(stars.select(F.col("v").alias("rep"), "m"), "rep", "left").select("set_a", "set_b", F.coalesce("m", "rep").alias("found"))
         plain = sketch.select("doc_id", "n_shingles", *(F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("set_a", "set_b")))

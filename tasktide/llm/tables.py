@@ -17,6 +17,12 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+def drop(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(path, True)
+
+
 class Workspace:
     """Written tables of one run of an operator. A written table cuts the lineage and survives the loss of executors."""
 
@@ -31,6 +37,4 @@ class Workspace:
 
     def drop(self, name: str) -> None:
         """Delete a written table that no later step reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.sc().hadoopConfiguration()).delete(path, True)
+        drop(self.spark, f"{self.root}/{name}")

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import Workspace
+from .tables import Workspace, drop
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -83,6 +83,8 @@ class Archive:
         ]
         header = F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), http)
         r.select("page_id", "key", F.encode(header, "UTF-8").alias("header")).write.option("compression", "zstd").parquet(f"{self.root}/headers")
+        for name in ("facts", "repeated"):
+            drop(spark, f"{self.root}/{name}")
         return self
 
     def headers(self, spark: SparkSession) -> DataFrame:
