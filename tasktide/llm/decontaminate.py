@@ -9,8 +9,10 @@ then the words of exactly that window-sized part of the document are compared wi
 
 Two passes read the documents, one to count the benchmark's shingles and one for candidates. Each carries a bitmap of
 fixed size (2 ** `bits` bits) as a first filter, whatever the size of the benchmark; tables are joined on the shingles
-themselves. Windows of one token are one row, so a passage that many documents share makes a few rows for each of them
-and no pairs. Words are compared as 64-bit hashes.
+themselves. A window that many items share is compared once; windows of the same items name these by one number, and
+the items themselves are joined last. Windows of one token are one
+row, so a passage that many documents share makes a few rows for each of them and no pairs. Words are compared as 64-bit
+hashes.
 
 Defined results: null or wordless texts have no words and no hits; null or wordless items no windows; items that repeat
 an item_id are one item; rows that repeat doc_id and text get equal results; a null item_id counts as an item named by
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from .tables import Workspace
 from .words import ALNUM, Words, as_long, slices
 
-_SPAN = "array<struct<start:bigint,end:bigint,item:string>>"
+_SPAN = "array<struct<start:bigint,end:bigint,items:bigint>>"
 
 
 def _lists(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
@@ -48,7 +50,7 @@ class Decontamination:
     share: int = 20
 
     def windows(self, benchmark: DataFrame) -> DataFrame:
-        """item, words (hashes), shingles (hashes in order) of each window."""
+        """item, words (hashes), shingles (hashes in order) and window (a name of the words) of each window of each item."""
         most, k = self.window, self.shingle
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +72,7 @@ class Decontamination:
                     long_lists = pa.list_(pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(item, pa.string()), pa.array(parts, long_lists), pa.array(tokens, long_lists)], ["item", "words", "shingles"])
 
-        return benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(run, "item string, words array<long>, shingles array<long>").distinct()
+        return benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(run, "item string, words array<long>, shingles array<long>").distinct().withColumn("window", F.xxhash64("words"))
 
     def _bitmap(self, tokens: DataFrame) -> np.ndarray:
         """A fixed number of bits, on at the low bits of every token."""
@@ -135,17 +137,22 @@ class Decontamination:
         rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("fingerprint"), "text")
         return rows.mapInArrow(run, "doc_id long, fingerprint long, n_words long, found array<struct<token:bigint,at:bigint,near:array<bigint>>>")
 
-    def hits(self, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-        """One row per row of docs: doc_id, fingerprint, n_words and spans (start, end, item): every window found."""
+    def hits(self, docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """One row per row of docs: doc_id, fingerprint, n_words and spans (start, end, items): every window found. And
+        the items behind each of these numbers: items, item."""
         work = Workspace(docs.sparkSession, "decontaminate")
-        windows = work.keep(self.windows(benchmark), "windows")
+        of_items = work.keep(self.windows(benchmark), "windows")
+        each_item = F.xxhash64("item").cast("decimal(38,0)")
+        named = of_items.groupBy("window").agg(F.xxhash64(F.sum(each_item), F.count("*"), F.min("item"), F.max("item")).alias("items"))
+        of_number = named.groupBy("items").agg(F.min("window").alias("window")).join(of_items.select("window", "item"), "window").select("items", "item")
+        windows = of_items.select("window", "words", "shingles").distinct().join(named, "window")
         sizes = sorted(r.k for r in windows.select(F.least(F.size("words"), F.lit(self.shingle)).alias("k")).distinct().collect())
         sizes = sizes or [self.shingle]
         grams = windows.select(F.explode("shingles").alias("token")).distinct()
         counts = self._counts(docs, self._bitmap(grams), sizes).join(grams, "token", "left_semi").groupBy("token").agg(F.sum("n").alias("n"))
-        ranked = windows.select("item", "words", F.posexplode("shingles").alias("offset", "token")).join(counts, "token", "left")
-        first = ranked.groupBy("item", "words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "offset")).alias("x")).filter("x.n > 0")
-        prefix = first.groupBy(F.col("x.token").alias("token")).agg(F.collect_list(F.struct(F.col("x.offset").cast("long").alias("offset"), "words", "item")).alias("windows"))
+        ranked = windows.select("items", "words", F.posexplode("shingles").alias("offset", "token")).join(counts, "token", "left")
+        first = ranked.groupBy("items", "words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "offset")).alias("x")).filter("x.n > 0")
+        prefix = first.groupBy(F.col("x.token").alias("token")).agg(F.collect_list(F.struct(F.col("x.offset").cast("long").alias("offset"), "words", "items")).alias("windows"))
         prefix = work.keep(prefix, "prefix")
         rows = work.keep(self._candidates(docs, self._bitmap(prefix), sizes), "rows")
 
@@ -154,19 +161,22 @@ class Decontamination:
         start, size = lambda w: F.col("at") - w["offset"], lambda w: F.size(w["words"])
         fits = lambda w: (start(w) >= 0) & (start(w) + size(w) <= F.col("n_words"))
         same = lambda w: F.slice("near", (F.lit(side + 1) - w["offset"]).cast("int"), size(w)) == w["words"]
-        found = F.transform(F.filter("windows", lambda w: fits(w) & same(w)), lambda w: F.struct(start(w).alias("start"), (start(w) + size(w)).alias("end"), w["item"].alias("item")))
+        found = F.transform(F.filter("windows", lambda w: fits(w) & same(w)), lambda w: F.struct(start(w).alias("start"), (start(w) + size(w)).alias("end"), w["items"].alias("items")))
         spans = each.join(prefix, "token").select("doc_id", "fingerprint", found.cast(_SPAN).alias("spans")).filter(F.size("spans") > 0)
         spans = spans.groupBy(F.col("doc_id").alias("d"), F.col("fingerprint").alias("f")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
         out = rows.drop("found").join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("fingerprint") == F.col("f")), "left")
-        return out.select("doc_id", "fingerprint", "n_words", F.coalesce("spans", F.array().cast(_SPAN)).alias("spans"))
+        out = out.select("doc_id", "fingerprint", "n_words", F.coalesce("spans", F.array().cast(_SPAN)).alias("spans"))
+        return work.keep(out, "hits"), work.keep(of_number, "items")
 
     def judged(self, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         """doc_id, fingerprint, n_words, n_hit (words inside any span), items (sorted), contaminated."""
         zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
         step = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), x["end"] - F.greatest(x["start"], a["to"]))).alias("n"), F.greatest(a["to"], x["end"]).alias("to"))
-        out = self.hits(docs, benchmark).select(
-            "doc_id", "fingerprint", "n_words", F.aggregate("spans", zero, step)["n"].alias("n_hit"), F.array_sort(F.array_distinct(F.transform("spans", lambda x: x["item"]))).alias("items")
-        )
+        found, of_number = self.hits(docs, benchmark)
+        each = found.select(F.col("doc_id").alias("d"), F.col("fingerprint").alias("f"), F.explode(F.array_distinct(F.transform("spans", lambda x: x["items"]))).alias("items")).distinct()
+        items = each.join(of_number, "items").groupBy("d", "f").agg(F.array_sort(F.collect_set("item")).alias("items"))
+        out = found.join(items, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("fingerprint") == F.col("f")), "left")
+        out = out.select("doc_id", "fingerprint", "n_words", F.aggregate("spans", zero, step)["n"].alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
         return out.withColumn("contaminated", (F.col("n_hit") > 0) & (self.share * F.col("n_hit") >= F.col("n_words")))
 
 

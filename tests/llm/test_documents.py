@@ -146,7 +146,7 @@ def test_decontamination_equals_brute_force(spark, docs):
 
 
 def test_decontamination_of_odd_rows(spark, odd, empty):
-    items = [(1, "same line"), (2, None), (3, "word word word"), (4, " ".join(f"v{i}" for i in range(20))), (4, " ".join(f"v{i}" for i in range(20))), (5, "É")]
+    items = [(1, "same line"), (2, None), (3, "word word word"), (4, " ".join(f"v{i}" for i in range(20))), (4, " ".join(f"v{i}" for i in range(20))), (5, "É"), (30, "word WORD word"), (31, " ".join(f"v{i}" for i in range(20)))]
     benchmark = spark.createDataFrame(items, "item_id long, text string").withColumn("words", F.lit(1))
     rows = [*((r[0], r[1]) for r in ODD), (20, " ".join(f"V{i}" for i in range(2, 18))), (21, "x " + " ".join(f"v{i}" for i in range(12)))]
     frame = odd.unionByName(spark.createDataFrame([(*r, "en", "a", 1) for r in rows[-2:]], SCHEMA), allowMissingColumns=True)
