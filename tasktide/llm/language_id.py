@@ -49,6 +49,15 @@ def trigrams(texts: Texts, bits: int) -> np.ndarray:
     return np.bincount(row[:-2][use] << bits | h[use], minlength=rows << bits).reshape(rows, -1).astype(np.float32)
 
 
+def with_letter(texts: Texts) -> np.ndarray:
+    """Whether each text has a letter. Only texts without ASCII letters are looked at character by character."""
+    count = lambda on: np.diff(np.append(0, np.cumsum(on))[texts.offsets])
+    some = count((texts.data | 32) - np.uint8(97) < 26) > 0
+    for i in np.flatnonzero(~some & (count(texts.data >= 128) > 0)):
+        some[i] = any(map(str.isalpha, texts.data[texts.offsets[i] : texts.offsets[i + 1]].tobytes().decode("utf-8", "replace")))
+    return some
+
+
 def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """TF-IDF rows of length 1; a row without trigrams stays zero."""
     x = counts
@@ -137,8 +146,7 @@ class LanguageModel:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for start, end, texts in slices(batch.column(batch.num_columns - 1), rows=250):
-                    letter = np.append(0, np.cumsum(_LETTER[texts.data] != 32))[texts.offsets]
-                    some = (np.diff(letter) > 0) & texts.valid & bool(len(c))
+                    some = with_letter(texts) & bool(len(c))
                     near, score, limit = np.full(end - start, len(langs) - 1), np.zeros(end - start), np.full(end - start, np.inf)
                     if some.any():
                         counts = trigrams(texts, o.bits)

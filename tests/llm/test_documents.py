@@ -175,6 +175,8 @@ def test_language_id_of_odd_rows(spark, docs, odd, empty):
     nothing = LanguageId().fit(empty)
     assert {r.lang_pred for r in nothing.predict(odd.select("text"), ["text"]).collect()} == {"und"}
     assert model.predict(empty, ["doc_id"]).count() == 0
+    signs = spark.createDataFrame([(1, "12 … € – 🙂"), (2, "12 … é"), (3, "中")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred == "und" for r in model.predict(signs, ["doc_id"]).collect()} == {1: True, 2: False, 3: False}
     other = spark.createDataFrame([(1, "我们今天去公园散步，天气非常好，大家都很高兴。" * 20)], "doc_id long, text string")
     assert model.predict(other, ["doc_id"]).first().rejected
 
