@@ -138,14 +138,16 @@ class LanguageModel:
         """The columns of keep, and, so named, the language, its score (cosine of the nearest centroid, 0 to 1), and whether
         the text is rejected."""
         o, idf, c, low, langs = self.options, self.idf, self.centroids, self.low, np.array([*self.langs, UNKNOWN], dtype=object)
-        chosen = docs.select(*keep, F.col("text").alias("__text"))
+        # A text that is kept anyway isn't sent to Python twice.
+        chosen = docs.select(*keep) if "text" in [k for k in keep if isinstance(k, str)] else docs.select(*keep, F.col("text").alias("__text"))
         kept = chosen.drop("__text").schema
+        n_kept, at = len(kept), chosen.columns.index("text" if "text" in kept.names else "__text")
         out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", {} string, {} double, {} boolean".format(*names)
         columns = [*kept.names, *names]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for start, end, texts in slices(batch.column(batch.num_columns - 1), rows=250):
+                for start, end, texts in slices(batch.column(at), rows=250):
                     some = with_letter(texts) & bool(len(c))
                     near, score, limit = np.full(end - start, len(langs) - 1), np.zeros(end - start), np.full(end - start, np.inf)
                     if some.any():
@@ -156,7 +158,7 @@ class LanguageModel:
                         near = np.where(some, best, near)
                         score = np.where(some, np.clip(s.max(axis=1), 0, 1), 0.0)
                         limit = np.where(some, o.far * low[best] * np.sqrt(np.minimum(1, length / 100)), np.inf)
-                    yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, end - start) for i in range(batch.num_columns - 1)), pa.array(langs[near], pa.string()), pa.array(score.astype(np.float64)), pa.array(score < limit)], columns)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, end - start) for i in range(n_kept)), pa.array(langs[near], pa.string()), pa.array(score.astype(np.float64)), pa.array(score < limit)], columns)
 
         return chosen.mapInArrow(run, out)
 
