@@ -45,7 +45,7 @@ class NearDedup:
     similarity: int = 80
     rows: int = 6
     permutations: int = 120
-    block_shingles: int = 2_000_000
+    block_shingles: int = 500_000
     seed: int = 7
 
     def _sets(self, texts: Texts) -> Iterator[np.ndarray]:
