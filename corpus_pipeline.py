@@ -21,8 +21,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source leave its texts; no document goes. n_chars follows the text."""
-    out = drop_boilerplate(docs, counts=("__lines", "__dropped"))
+    """Boilerplate lines of a source leave its texts; no document goes. n_chars follows the text. Copies are still there
+    and count once, or all copies of a text would be emptied before near dedup can keep one."""
+    out = drop_boilerplate(docs, counts=("__lines", "__dropped"), once=True)
     return out.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 

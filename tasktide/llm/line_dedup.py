@@ -8,8 +8,12 @@ pages is spread by its lines. A host has at most (its mean number of lines) / ra
 are one short array for each host; the table of these arrays is written first, and its known size decides whether Spark
 broadcasts it or joins by host, where adaptive execution splits a large host.
 
+With `once`, rows of a host with equal text are one page, in a line's pages and in the host's: copies of a text are no
+evidence that its lines are boilerplate. Only hashes of texts and lines are shuffled for that. Without it, as in the SQL,
+a text that makes up more than `ratio` of a host's pages, at least `least` times, loses all its lines in every copy.
+
 Defined results: a null text stays null and has no lines; empty lines are never boilerplate; a null host is a host of
-its own; a line that a page repeats counts once for the page; repeated rows are pages of their own.
+its own; a line that a page repeats counts once for the page; repeated rows are pages of their own unless `once` is set.
 """
 
 from __future__ import annotations
@@ -24,22 +28,24 @@ def _name(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1, least: int = 3) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1, least: int = 3, once: bool = False) -> DataFrame:
     """host and lines: the hashes of its boilerplate lines. Hosts without any are left out."""
-    pages = docs.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("pages"))
     of_page = F.array_distinct(F.transform(F.filter(F.split(text, "\n", -1), lambda x: x != ""), _name))
-    lines = docs.select(F.col(host).alias("host"), F.explode(of_page).alias("line"))
+    rows = docs.select(F.col(host).alias("host"), _name(F.col(text)).alias("page"), of_page.alias("of_page"))
+    rows = rows.dropDuplicates(["host", "page"]) if once else rows
+    pages = rows.groupBy("host").agg(F.count("*").alias("pages"))
+    lines = rows.select("host", F.explode("of_page").alias("line"))
     counts = lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= least).withColumnRenamed("host", "of")
     often = counts.join(pages, F.col("of").eqNullSafe(F.col("host"))).filter(F.col("n") > F.lit(ratio) * F.col("pages"))
     return often.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
 def drop_boilerplate(
-    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1, least: int = 3, counts: tuple[str, str] = ("n_lines", "n_dropped")
+    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1, least: int = 3, counts: tuple[str, str] = ("n_lines", "n_dropped"), once: bool = False
 ) -> DataFrame:
     """docs with boilerplate lines removed from text, and the numbers of lines and of dropped lines, so named."""
     work = Workspace(docs.sparkSession, "line-dedup")
-    bad = work.keep(boilerplate(docs, host, text, ratio, least), "lines").select(F.col("host").alias("__host"), F.col("lines").alias("__bad"))
+    bad = work.keep(boilerplate(docs, host, text, ratio, least, once), "lines").select(F.col("host").alias("__host"), F.col("lines").alias("__bad"))
     joined = docs.join(bad, F.col(host).eqNullSafe(F.col("__host")), "left")
     lines = F.split(text, "\n", -1)
     kept = F.filter(lines, lambda x: ~F.array_contains("__bad", _name(x)))

@@ -120,6 +120,22 @@ def test_line_dedup_equals_sql(spark, odd, empty):
     assert line_dedup.drop_boilerplate(empty).count() == 0
 
 
+def test_line_dedup_counts_copies_of_a_text_once(spark, empty):
+    rows = [(i, "menu\nonly here", "en", "a", 14) for i in range(5)] + [(10 + i, f"menu\nbody {i}", "en", "a", 11) for i in range(4)]
+    rows += [(20 + i, "whole\ntext", "en", None, 10) for i in range(3)] + [(30 + i, None, "en", "a", None) for i in range(2)]
+    out = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()}
+    assert out == {
+        **{i: ("only here", 9) for i in range(5)},
+        **{10 + i: (f"body {i}", 6) for i in range(4)},
+        **{20 + i: ("whole\ntext", 10) for i in range(3)},
+        **{30 + i: (None, None) for i in range(2)},
+    }
+    # Of 6 different texts "menu" has 5; at a ratio of 0.83 that is still boilerplate, at 0.84 not.
+    frame = spark.createDataFrame(rows, SCHEMA)
+    assert [line_dedup.boilerplate(frame, ratio=x, once=True).count() for x in (0.83, 0.84)] == [1, 0]
+    assert line_dedup.drop_boilerplate(empty, once=True).count() == 0
+
+
 def brute_contamination(docs, items):
     word, windows = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), {}
     for i, text in items:
