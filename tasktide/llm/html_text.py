@@ -5,18 +5,20 @@ the host's style tree. A node's presentation importance is the entropy, over the
 kinds of its children in order); its content importance is the entropy of its texts; both with logarithms to the base
 of the number of pages, so that 1 means a different value on every page and 0 the same on all. With l styles the
 importance is (1 - decay ** l) * max(presentation, content) + decay ** l * content, as a template has few styles and
-article bodies have many. Branches whose importance is below `limit` are removed from every page of the host, when at least `pages`
+article bodies have many. Pages of a host with equal html are one page here, as copies are no evidence of a template.
+Branches whose importance is below `limit` are removed from every page of the host, when at least `pages`
 pages have them; one page can't show what is template.
 
 What the names of elements say holds on hosts of any size: navigation, page headers and footers, asides, forms, scripts
 and elements with classes of adverts, notices, sharing or comments are presentation nodes of importance 0. Where a page
 has article or main elements, the text is theirs.
 
-Counts are one map-side aggregation by host, node and value. The low nodes of a host are one short row, and a page's
-text is made in the task that reads the page, so no page is shuffled where Spark can broadcast these rows.
+Nodes are made distinct by host and a 128-bit hash of the page, then counted with map-side sums. The low nodes of a
+host are one short row, and a page's text is made in the task that reads the page, so no page is shuffled where Spark
+can broadcast these rows.
 
 Defined results: null or empty html gives the empty text; a null or odd url is a host named by the empty string;
-repeated rows are pages of their own; unclosed or misnested tags end with the elements around them.
+repeated rows keep a row each in the result; unclosed or misnested tags end with the elements around them.
 """
 
 from __future__ import annotations
@@ -163,22 +165,24 @@ class StyleTree:
         return pages.select("page_id", "url", host.alias("host"), "html")
 
     def importance(self, pages: DataFrame) -> DataFrame:
-        """host, path, pages and importance of each node of every host's style tree."""
+        """host, path, pages and importance of each node of every host's style tree, over the different pages of the host."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out: tuple[list, list, list, list] = ([], [], [], [])
-                for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                out: tuple[list, list, list, list, list, list] = ([], [], [], [], [], [])
+                for host, text, *digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     merged: dict[str, tuple[int, int]] = {}
                     for path, style, content in walk(text or "", frozenset())[1]:
                         a, b = merged.get(path, (0, 0))
                         merged[path] = (31 * a + style) % (1 << 61), (31 * b + content) % (1 << 61)
                     for path, (style, content) in merged.items():
-                        for column, value in zip(out, (host, path, style, content), strict=True):
+                        for column, value in zip(out, (host, *digest, path, style, content), strict=True):
                             column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], ["host", "path", "style", "content"])
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["host", "a", "b", "path", "style", "content"])
 
-        rows = self._rows(pages).select("host", "html").mapInArrow(run, "host string, path string, style long, content long")
+        named = self._rows(pages).select("host", "html", F.xxhash64("html"), F.xxhash64(F.lit(1), "html"))
+        rows = named.mapInArrow(run, "host string, a long, b long, path string, style long, content long").distinct()
         # Both kinds of values in one aggregation: a value is of the kind that isn't null.
         each = rows.select("host", "path", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("style").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("value")))).alias("x"))
         counts = each.groupBy("host", "path", "x.kind", "x.value").agg(F.count("*").alias("n"))

@@ -115,6 +115,17 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert StyleTree().extract(frame.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_are_no_evidence_of_a_template(spark):
+    story = lambda i: f"<body><div class='story'><p>Story {i}</p><p>text {i * 7}</p></div></body>"
+    rows = [(i, "http://a.example/same", story(0)) for i in range(12)]
+    rows += [(100 + i, "http://b.example/same", story(0)) for i in range(180)] + [(300 + i, f"http://b.example/{i}", story(i)) for i in range(1, 15)]
+    rows += [(400 + i, "http://c.example/", None) for i in range(12)]
+    got = {r.page_id: r.text for r in StyleTree().extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == "Story 0 text 0" for i in [*range(12), *range(100, 280)])
+    assert all(got[300 + i] == f"Story {i} text {i * 7}" for i in range(1, 15)) and got[400] == ""
+
+
 # WARC
 
 
