@@ -3,10 +3,13 @@
 Each vector has one hash string of `bits` bits per tree: the signs of its products with random directions, first
 direction first. A tree is the sorted array of its strings, so the vectors under any prefix are one range. A query
 descends every tree to its longest prefix match, then ascends all trees in step, one bit at a time, until the ranges
-hold enough candidates; how long its prefix is in the end depends on how dense its neighbourhood is. Candidates are
+hold enough strings besides those equal to the query's (its own, and those of copies, all of which are candidates) and at
+least k other ids; how long its prefix is in the end depends on how dense its neighbourhood is. Candidates are
 compared on the original vectors in double precision.
 
-Vectors are dealt by a hash of the id into shards of about `rows` vectors, and queries into blocks; every block of
+Rows are made distinct by id and vector before they are indexed.
+
+Vectors are dealt by a hash of id and vector into shards of about `rows` vectors, and queries into blocks; every block of
 queries searches every shard's forest, and a query's best of all shards are merged. So memory is bounded by a shard and
 a block, no vector is copied to other shards, and a vector that a third of all rows repeat is spread evenly. The hash
 strings are a written table, the index; all rows are in it.
@@ -16,7 +19,7 @@ shard as candidates (`share`); see the README for figures.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part; vectors are
 compared with those of their own length; of equal scores the smaller id comes first; rows that repeat an id and its
-vector are one; a query gets all candidates where there are fewer than k.
+vector are one; an id with several vectors counts by its best score; a query gets all candidates where there are fewer than k.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .tables import Workspace
@@ -52,15 +56,20 @@ class Forest:
         begin = np.stack([np.searchsorted(k, x, "left") for k, x in zip(self.keys, low, strict=True)])
         return begin, np.stack([np.searchsorted(k, x, "right") for k, x in zip(self.keys, high, strict=True)])
 
-    def candidates(self, keys: np.ndarray, enough: int) -> Iterator[np.ndarray]:
-        """For each query the vectors found when the ranges of all trees, at one depth, first hold `enough` strings."""
+    def candidates(self, keys: np.ndarray, enough: int, ids: np.ndarray, own: np.ndarray, k: int) -> Iterator[np.ndarray]:
+        """For each query the vectors found when the ranges of all trees, at one depth, first hold `enough` strings that
+        differ from the query's, and k ids other than its own; all vectors, where there are fewer."""
         found = [None] * keys.shape[1]
+        begin, end = self.ranges(keys, self.bits)
+        equal = (end - begin).sum(axis=0)
         waiting = np.arange(keys.shape[1])
         for depth in range(self.bits, -1, -1):
             begin, end = self.ranges(keys[:, waiting], depth)
-            done = ((end - begin).sum(axis=0) >= enough) | (depth == 0)
+            done = ((end - begin).sum(axis=0) - equal[waiting] >= enough) | (depth == 0)
             for i in np.flatnonzero(done):
-                found[waiting[i]] = np.unique(np.concatenate([o[b:e] for o, b, e in zip(self.order, begin[:, i], end[:, i], strict=True)]))
+                at = np.unique(np.concatenate([o[b:e] for o, b, e in zip(self.order, begin[:, i], end[:, i], strict=True)]))
+                found[waiting[i]] = at
+                done[i] = depth == 0 or len(np.setdiff1d(ids[at], own[waiting[i]])) >= k
             waiting = waiting[~done]
             if not len(waiting):
                 break
@@ -70,7 +79,7 @@ class Forest:
 @dataclass(frozen=True)
 class VectorSearch:
     """trees, bits: of the forest. rows: vectors of a shard. block: queries of a block. share: strings that the ranges of
-    a query hold when it stops to ascend, over the shard's rows and trees; at least `least` strings."""
+    a query hold besides equal ones when it stops to ascend, over the shard's rows and trees; at least `least` strings."""
 
     trees: int = 48
     bits: int = 32
@@ -81,11 +90,11 @@ class VectorSearch:
     seed: int = 3
 
     def index(self, vectors: DataFrame) -> DataFrame:
-        """vec_id, size, v (doubles) and keys (a hash string for each tree) of each usable vector."""
+        """vec_id, size, v (doubles) and keys (a hash string for each tree) of each different usable row."""
         trees, bits, seed = self.trees, self.bits, self.seed
         v = F.transform("embedding", lambda x: x.cast("double"))
         fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-        usable = vectors.filter(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long"), v.alias("v"))
+        usable = vectors.filter(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long"), "embedding").distinct().select("vec_id", v.alias("v"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             directions: dict[int, np.ndarray] = {}
@@ -111,9 +120,9 @@ class VectorSearch:
         index = work.keep(self.index(vectors), "index")
         sizes = index.agg(F.count("*").alias("n"), F.count_if(asks).alias("q")).first()
         shards, blocks = max(1, -(-sizes.n // self.rows)), max(1, -(-sizes.q // self.block))
-        row = index.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+        row = index.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
         right = row.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        left = index.filter(asks).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        left = index.filter(asks).withColumn("block", F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
         bits, trees, share, least = self.bits, self.trees, self.share, self.least
         schema = "query_id long, vec_id long, score double"
 
@@ -125,21 +134,21 @@ class VectorSearch:
                 x, q = _matrix(rows.column("v"), d), _matrix(queries.column("v"), d)
                 x_norm, q_norm = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
                 forest = Forest(_matrix(rows.column("keys"), trees).astype(np.uint64).T.copy(), bits)
+                single = len(np.unique(ids)) == len(ids)
                 enough = max(least, int(share * len(x) * trees))
-                for i, found in enumerate(forest.candidates(_matrix(queries.column("keys"), trees).astype(np.uint64).T.copy(), enough)):
+                for i, found in enumerate(forest.candidates(_matrix(queries.column("keys"), trees).astype(np.uint64).T.copy(), enough, ids, q_ids, k)):
                     found = found[ids[found] != q_ids[i]]
                     score = (x[found] * q[i]).sum(axis=1) / (x_norm[found] * q_norm[i])
-                    if len(found) > k:
+                    if single and len(found) > k:
                         at = score >= np.partition(score, len(score) - k)[len(score) - k]
                         found, score = found[at], score[at]
                     best = np.lexsort((ids[found], -score))
-                    best = best[np.unique(ids[found[best]], return_index=True)[1]] if len(np.unique(ids[found])) < len(found) else best
-                    best = best[np.lexsort((ids[found[best]], -score[best]))][:k]
+                    best = best[np.sort(np.unique(ids[found[best]], return_index=True)[1])][:k]
                     out.append((np.full(len(best), q_ids[i]), ids[found[best]], score[best]))
             return pa.table(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)))
 
         keys = ("size", "shard", "block")
         found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
-        best = F.slice(F.array_sort(F.array_distinct(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id")))), 1, k)
-        ranked = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("rank", "x"))
-        return ranked.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))
+        best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -71,6 +71,21 @@ def test_search_with_ties_bad_vectors_and_shards(spark):
     assert VectorSearch().nearest(frame.limit(0), F.lit(True), 3).count() == 0
 
 
+def test_search_with_copies_and_repeated_rows_finds_k_others(spark):
+    rng = np.random.default_rng(4)
+    rows = {i: rng.normal(size=8).tolist() for i in range(300)}
+    copied = rows | {1000 + i: rows[0] for i in range(4)}
+    again = [(50, rows[50])] * 120 + [(51, rng.normal(size=8).tolist()) for _ in range(60)]
+    frame = spark.createDataFrame([*copied.items(), *again], "vec_id long, embedding array<double>")
+    for options in (VectorSearch(), VectorSearch(rows=100, block=2)):
+        got = {}
+        for r in options.nearest(frame, F.col("vec_id").isin(0, 50, 51), 5).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+        assert {q: [n for n, _ in g] for q, g in got.items()} == {q: [1, 2, 3, 4, 5] for q in (0, 50, 51)}
+        assert all(len({i for _, i in g} - {q}) == 5 for q, g in got.items())
+        assert {i for _, i in got[0][:4]} == {1000, 1001, 1002, 1003}
+
+
 # HTML
 
 
