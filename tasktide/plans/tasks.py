@@ -319,8 +319,10 @@ def retry_by_source_filter(spark, sf_dir):
 @query("WITH n AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, list(event_id ORDER BY ts, event_id)::VARCHAR AS kept FROM n WHERE k <= 5 GROUP BY user_id")
 def history_last_n(spark, sf_dir):
     """The last five entries of a history."""
-    runs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("h"))
-    kept = F.transform(transitions.last_n(F.col("h"), 5), lambda x: x["event_id"].cast("string"))
+    newest = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
+    last = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", newest.alias("k")).filter(F.col("k") <= 5)
+    runs = last.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("h"))
+    kept = F.transform("h", lambda x: x["event_id"].cast("string"))
     return runs.select("user_id", F.concat(F.lit("["), F.array_join(kept, ", "), F.lit("]")).alias("kept"))
 
 
@@ -548,10 +550,11 @@ def metric_increase(spark, sf_dir):
 
 
 def _instances(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    metric = F.struct(F.lit("runs").alias("name"), F.create_map(F.lit("task"), F.col("event_type")).alias("labels"), F.lit(1.0).alias("value"))
-    grouped = e.withColumn("id", F.col("event_id") % 7).groupBy("id").agg(F.max(F.col("ts").cast("timestamp_ntz")).alias("last_seen"), F.collect_list(metric).alias("metrics"))
-    return grouped
+    """An instance has one metric for each type of its events, and the number of all its events."""
+    e = table(spark, sf_dir, "events").withColumn("id", F.col("event_id") % 7)
+    counts = e.groupBy("id", "event_type").agg(F.max(F.col("ts").cast("timestamp_ntz")).alias("seen"), F.count("*").alias("n"))
+    metric = F.struct(F.lit("runs").alias("name"), F.create_map(F.lit("task"), F.col("event_type")).alias("labels"), F.col("n").cast("double").alias("value"))
+    return counts.groupBy("id").agg(F.max("seen").alias("last_seen"), F.collect_list(metric).alias("metrics"), F.sum("n").alias("events"))
 
 
 @query("SELECT 'runs' AS name, event_type AS task, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY event_type")
@@ -564,8 +567,8 @@ def metric_cluster_sum(spark, sf_dir):
 def metric_register(spark, sf_dir):
     """An instance replaces its own row in the registry."""
     all_ = _instances(spark, sf_dir)
-    me = all_.filter("id = 3").withColumn("metrics", F.slice("metrics", 1, 0))
-    return metrics.register(all_, me, NOW).select("id", F.size("metrics").cast("long").alias("n"))
+    me = all_.filter("id = 3").withColumns({"metrics": F.slice("metrics", 1, 0), "events": F.lit(0).cast("long")})
+    return metrics.register(all_, me, NOW).select("id", F.col("events").alias("n"))
 
 
 # Change events
