@@ -181,6 +181,8 @@ class Decontamination:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, options: Decontamination = Decontamination()) -> DataFrame:
-    """docs without contaminated documents; same columns."""
+    """docs without contaminated documents; same columns. The contaminated ones' ids are a written table, so that Spark
+    knows its size and sends it to the documents where it is small, not the documents through a shuffle."""
     bad = options.judged(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__d"), F.col("fingerprint").alias("__f")).distinct()
+    bad = Workspace(docs.sparkSession, "decontaminate").keep(bad, "contaminated")
     return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__f")), "left_anti")
