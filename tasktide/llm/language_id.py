@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import Workspace
 from .words import Texts, slices
 
 UNKNOWN = "und"
@@ -169,5 +170,8 @@ def held_out(modulus: int, remainder: int) -> Column:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """docs without those that the model rejects; same columns."""
-    return model.predict(docs, docs.columns, ("__lang", "__score", "__rejected")).filter("not __rejected").select(docs.columns)
+    """docs without those that the model rejects; same columns. Texts go to Python, only verdicts come back: the ids and
+    text hashes of rejected rows are a written table, whose known size decides how Spark joins it."""
+    named = model.predict(docs, [F.col("doc_id").alias("__d"), F.xxhash64("text").alias("__f")], ("__lang", "__score", "__rejected"))
+    gone = Workspace(docs.sparkSession, "language-id").keep(named.filter("__rejected").select("__d", "__f").distinct(), "rejected")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__f")), "left_anti")
