@@ -50,7 +50,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each one's rows written and read again by the next."""
-    work, docs = Workspace(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    work, docs, before = Workspace(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = work.keep(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            work.drop(before)  # no later stage reads it
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
