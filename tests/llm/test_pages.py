@@ -3,8 +3,10 @@
 import base64
 import hashlib
 import itertools
+import math
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -12,7 +14,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tasktide.llm.chat_repair import ROLES, ChatRepair, render
-from tasktide.llm.html_text import StyleTree, main_text
+from tasktide.llm import html_text
+from tasktide.llm.html_text import StyleTree, main_text, walk
 from tasktide.llm.queries import QUERIES, SQL
 from tasktide.llm.vector_search import VectorSearch
 from tasktide.llm.warc import Archive
@@ -103,6 +106,12 @@ def test_search_with_copies_and_repeated_rows_finds_k_others(spark):
         ("<div>a < b <c", "a < b <c"),
         ("<table><tr><td>1<td>2<tr><td>3</table>", "1 2 3"),
         ("<p>unclosed <script>x", "unclosed"),
+        ('<p>a <span class="ad">BUY <span>x</span> NOW</span> b <a class="share">s</a>c', "a b c"),
+        ('<article><h2 id="legal-history">L</h2><section id="social-effects">S</section><div class="article-header">H</div></article>', "L S H"),
+        ("<p title=don't>a</p><p>b's", "a b's"),
+        ('<div class="x" <p>text</p>', "text"),
+        ('<div class="ad>text</p>', "text"),
+        ("x<!-- a", "x"),
     ],
 )
 def test_main_text(html, text):
@@ -141,6 +150,71 @@ def test_copies_of_a_page_are_no_evidence_of_a_template(spark):
     assert all(got[300 + i] == f"Story {i} text {i * 7}" for i in range(1, 15)) and got[400] == ""
 
 
+def test_walk_is_linear_in_hostile_pages():
+    pages = ["<div>x" * 170_000, ("<" + "a" * 8000) * 125, '<a href="' * 110_000, "<a " * 330_000, "<x>" * 1000 + "</div>" * 160_000, "<svg>" * 200_000, "<svg></svg" * 100_000, '<a b="c>' * 120_000, "<ul><li>" * 120_000]
+    for html in pages:
+        began = time.process_time()
+        main_text(html)
+        assert time.process_time() - began < 4
+    assert main_text("<div>x" * 300) == " ".join("x" * 300)
+
+
+def brute_tree(pages, options):
+    """(host, path): pages and importance, by counting."""
+    seen = {}
+    for host, html in sorted(set(pages), key=repr):
+        merged = {}
+        for path, kind, block, style, content in walk(html or "", None)[1]:
+            s, c = merged.get(path, (0, 0, 0, ()))[2:]
+            merged[path] = (kind, block, (31 * s + style) % (1 << 61), (*c, content))
+        for path, x in merged.items():
+            seen.setdefault((host, path), []).append(x)
+    out = {}
+    for key, rows in seen.items():
+        m = len(rows)
+
+        def h(values):
+            return -sum(values.count(v) / m * math.log(values.count(v) / m, m) for v in set(values)) if m > 1 else 0
+
+        p, c = h([r[2] for r in rows]), h([r[3] for r in rows])
+        e = ((m - 1) * (c if rows[0][1] else (p + c) / 2) + options.weight * options.neutral) / (m - 1 + options.weight)
+        out[key] = (m, options.factors[rows[0][0]] * e)
+    return out
+
+
+def test_importances_equal_brute_force(spark):
+    options = StyleTree()
+    for frame in (spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), spark.createDataFrame([(1, None, None), (2, "http://a/", ""), (3, "http://a/", "<p>x<p>y"), (4, "http://a/?q", "<p>x<p>y"), (5, "http://a/", "<p>x")], PAGES)):
+        rows = [(re.match(r"https?://([^/?#]*)", r.url or "x") or ("", ""), r.html) for r in frame.collect()]
+        expected = brute_tree([(m[1].lower(), html) for m, html in rows], options)
+        got = {(r.host, r.path): (r.pages, r.importance) for r in options.importance(frame).collect()}
+        assert set(got) == set(expected)
+        assert all(got[k][0] == n and abs(got[k][1] - x) < 1e-9 for k, (n, x) in expected.items())
+
+
+def test_the_tree_decides_about_doubtful_names_both_ways(spark):
+    """The same class names: on one site a short fixed box, on another the element around long and varied articles."""
+    rng = random.Random(1)
+    article = lambda i: "".join(f"<p>Story {i} part {j} {'w ' * rng.randint(5, 400)}</p>" for j in range(rng.randint(1, 9)))
+    rows = [(i, "http://a.example/", f"<div class='related-posts'><p>See page {i}</p></div><div><p>Text {i}</p></div>") for i in range(30)]
+    rows += [(100 + i, "http://b.example/", f"<div class='related-posts'>{article(i)}</div><div><p>Same on all</p></div>") for i in range(30)]
+    rows += [(200, "http://c.example/", "<div class='related-posts'><p>See</p></div><div><p>Text</p></div>")]
+    frame = spark.createDataFrame(rows, PAGES)
+    got = {r.page_id: r.text for r in StyleTree().extract(frame).collect()}
+    assert all(got[i] == f"Text {i}" for i in range(30)) and got[200] == "Text"
+    assert all(f"Story {i} part 0" in got[100 + i] and "Same" not in got[100 + i] for i in range(30))
+    without = {i: main_text(html) for i, _, html in rows}
+    assert all("Story" not in without[100 + i] and "Same on all" in without[100 + i] for i in range(30))
+
+
+def test_names_weigh_by_kind():
+    named = html_text._named
+    assert named("div", ' class="post comments"', False) == ("div.post-comments", html_text.SURE)
+    assert named("div", ' class="site-header"', False)[1] == html_text.DOUBTFUL and named("div", ' class="article-header"', True)[1] == html_text.DOUBTFUL_IN_MAIN
+    assert named("header", "", True)[1] == html_text.PLAIN and named("header", "", False)[1] == html_text.SURE
+    assert named("section", ' id="social-effects"', True)[1] == html_text.PLAIN and named("h2", ' id="legal-history"', False)[1] == html_text.PLAIN
+
+
 # WARC
 
 
