@@ -61,7 +61,7 @@ class Cron:
         self.tz = ZoneInfo(tz)
         self.allowed = [self._field(f, *limits) for f, limits in zip(fields, _FIELDS, strict=True)]
         self.allowed[5] = {d % 7 for d in self.allowed[5]}
-        self.any_day, self.any_weekday = fields[3] in "*?", fields[5] in "*?"
+        self.any_hour, self.any_day, self.any_weekday = fields[2] in "*?", fields[3] in "*?", fields[5] in "*?"
 
     @staticmethod
     def _field(text: str, name: str, low: int, high: int) -> set[int]:
@@ -81,25 +81,44 @@ class Cron:
             raise ValueError(f"invalid interval: cron field {text!r}") from None
         return out
 
-    def next(self, after: datetime) -> datetime:
-        """The first matching second behind `after` (UTC, without time zone)."""
+    def _step(self, t: datetime) -> timedelta | None:
+        """How far on the next wall-clock time worth a look is; None if t matches."""
         second, minute, hour, day, month, weekday = self.allowed
-        t = after.replace(tzinfo=ZoneInfo("UTC")).astimezone(self.tz).replace(tzinfo=None, microsecond=0) + timedelta(seconds=1)
+        of_day, of_week = t.day in day, (t.isoweekday() % 7) in weekday
+        right = (of_day or self.any_day) and (of_week or self.any_weekday) if self.any_day or self.any_weekday else of_day or of_week
+        if t.month not in month or not right:
+            return t.replace(hour=0, minute=0, second=0) + timedelta(days=1) - t
+        if t.hour not in hour:
+            return timedelta(hours=1) - timedelta(minutes=t.minute, seconds=t.second)
+        if t.minute not in minute:
+            return timedelta(minutes=1) - timedelta(seconds=t.second)
+        return None if t.second in second else timedelta(seconds=1)
+
+    def next(self, after: datetime) -> datetime:
+        """The first matching second behind `after` (both UTC, without time zone).
+
+        Where clocks go back, a schedule for any hour goes through the repeated hour twice, one with given hours once; where
+        they go forward, a time that is left out comes as much later as the clock jumps."""
+        utc = ZoneInfo("UTC")
+        start = (after.replace(microsecond=0) + timedelta(seconds=1)).replace(tzinfo=utc)
+        found, t = [], start.astimezone(self.tz).replace(tzinfo=None, fold=0)
         limit = t.year + 5
-        while t.year <= limit:
-            of_day, of_week = t.day in day, (t.isoweekday() % 7) in weekday
-            right = (of_day or self.any_day) and (of_week or self.any_weekday) if self.any_day or self.any_weekday else of_day or of_week
-            if t.month not in month or not right:
-                t = t.replace(hour=0, minute=0, second=0) + timedelta(days=1)
-            elif t.hour not in hour:
-                t = t.replace(minute=0, second=0) + timedelta(hours=1)
-            elif t.minute not in minute:
-                t = t.replace(second=0) + timedelta(minutes=1)
-            elif t.second not in second:
-                t += timedelta(seconds=1)
-            else:
-                return t.replace(tzinfo=self.tz).astimezone(ZoneInfo("UTC")).replace(tzinfo=None)
-        raise ValueError("the cron expression has no next time")
+        while t.year <= limit and (step := self._step(t)) is not None:  # by the clock on the wall
+            t += step
+        at = t.replace(tzinfo=self.tz).astimezone(utc)
+        if t.year <= limit and at >= start:
+            found.append(at)
+        while start.year <= limit and (not found or start < found[0]):  # by time that passes: sees repeated hours
+            local = start.astimezone(self.tz)
+            step = self._step(local.replace(tzinfo=None, fold=0))
+            if step is None and (self.any_hour or not local.fold):
+                found.append(start)
+                break
+            # Not more than an hour at once, as the clock may jump.
+            start += min(step or timedelta(seconds=1), timedelta(hours=1) - timedelta(minutes=local.minute, seconds=local.second))
+        if not found:
+            raise ValueError("the cron expression has no next time")
+        return min(found).replace(tzinfo=None)
 
 
 def interval_function(interval: int | float | str | Callable[[datetime], datetime | int], tz: str = "UTC") -> Callable[[datetime], datetime]:

@@ -31,7 +31,12 @@ TYPES = {
     "array": (T.ArrayType,),
     "object": (T.StructType, T.MapType),
 }
-_FLAGS = {"i": "i", "m": "m", "s": "s", "x": "x"}
+_FLAGS = {"i": re.I, "m": re.M, "s": re.S, "x": re.X}
+
+
+def _flags(pattern: re.Pattern) -> str:
+    """The options that a compiled pattern has."""
+    return "".join(k for k, flag in _FLAGS.items() if pattern.flags & flag)
 
 
 def field_type(schema: T.StructType | None, path: str) -> T.DataType | None:
@@ -106,7 +111,7 @@ class Filters:
         if key.startswith("$"):
             raise ValueError(f"unsupported operator {key}")
         if isinstance(value, re.Pattern):
-            return self._regex(key, value.pattern, "i" if value.flags & re.I else "")
+            return self._regex(key, value.pattern, _flags(value))
         if isinstance(value, dict) and value and all(k.startswith("$") for k in value):
             parts = [self._field(key, op, v, value) for op, v in value.items() if op != "$options"]
             return reduce(lambda a, b: a & b, parts)
@@ -148,7 +153,8 @@ class Filters:
         if op == "$exists":
             return col.isNotNull() if value else col.isNull()
         if op == "$regex":
-            return self._regex(path, value.pattern if isinstance(value, re.Pattern) else value, around.get("$options", ""))
+            options = around.get("$options", "")
+            return self._regex(path, value.pattern, options or _flags(value)) if isinstance(value, re.Pattern) else self._regex(path, value, options)
         if op == "$type":
             if value not in TYPES:
                 raise ValueError(f"{path}: unknown type {value!r}")
@@ -249,6 +255,42 @@ _OPERATORS: dict[str, Callable[..., Column]] = {
 }
 
 
+def _date_part(name: str) -> Callable[[Column], Column]:
+    return lambda a: F.date_part(F.lit(name), a).cast("int")
+
+
+_OPERATORS |= {
+    "$divide": lambda a, b: F.try_divide(a.cast("double"), b.cast("double")),
+    "$mod": lambda a, b: F.try_mod(a, b),
+    "$abs": F.abs,
+    "$ceil": F.ceil,
+    "$floor": F.floor,
+    "$round": lambda a, n=None: F.round(a, n if n is not None else 0),
+    "$avg": lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + F.coalesce(v.cast("double"), F.lit(0.0))) / F.nullif(F.size(F.filter(a, lambda v: v.isNotNull())), F.lit(0)),
+    "$concat": lambda *x: F.concat(*x),
+    "$toLower": lambda a: F.lower(F.coalesce(a, F.lit(""))),
+    "$toUpper": lambda a: F.upper(F.coalesce(a, F.lit(""))),
+    "$trim": lambda a: F.trim(a),
+    "$strLenCP": F.length,
+    "$toString": lambda a: a.cast("string"),
+    "$toInt": lambda a: a.try_cast("int"),
+    "$toDouble": lambda a: a.try_cast("double"),
+    "$year": _date_part("YEAR"),
+    "$month": _date_part("MONTH"),
+    "$dayOfMonth": _date_part("DAY"),
+    "$hour": _date_part("HOUR"),
+    "$minute": _date_part("MINUTE"),
+    "$second": _date_part("SECOND"),
+}
+
+
+def register_operator(name: str, make: Callable[..., Column]) -> None:
+    """Add an expression operator: a function of evaluated argument Columns. A known name is an error."""
+    if not name.startswith("$") or name in _OPERATORS:
+        raise ValueError(f"can't register operator {name!r}")
+    _OPERATORS[name] = make
+
+
 FIELD_OPERATORS = frozenset("$eq $ne $gt $gte $lt $lte $in $nin $exists $regex $options $type $size".split())
 
 

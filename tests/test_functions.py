@@ -4,10 +4,12 @@ import re
 from datetime import datetime
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tasktide.functions.intervals import Cron, duration_ms, interval_function
-from tasktide.functions.predicates import Filters, normalize
+from tasktide.functions.predicates import Filters, normalize, register_operator
 from tasktide.functions.projection import watched
 from tasktide.model import CleanupPolicy, Evolution, Registry, RetryPolicy, TaskDefinition
 from tasktide.operators.listing import parse_statuses, smart_ids
@@ -235,3 +237,46 @@ def test_registry_and_ids():
     assert smart_ids("ABCDEF0123456789abcdef01", T.StringType()) == ["ABCDEF0123456789abcdef01", "abcdef0123456789abcdef01"]
     assert smart_ids("32", T.LongType()) == [32] and smart_ids("x", T.LongType()) == [] and smart_ids("1.5", T.DoubleType()) == [1.5]
     assert parse_statuses(" pending ,failed") == ["pending", "failed"]
+
+
+@pytest.mark.parametrize(
+    ("expression", "after", "expected"),
+    [
+        ("*/10 * * * *", datetime(2024, 11, 3, 6, 5), datetime(2024, 11, 3, 6, 10)),  # in the repeated hour
+        ("*/10 * * * *", datetime(2024, 11, 3, 5, 55), datetime(2024, 11, 3, 6, 0)),  # into it
+        ("*/10 * * * *", datetime(2024, 3, 10, 6, 55), datetime(2024, 3, 10, 7, 0)),  # over the hour that is left out
+        ("30 2 * * *", datetime(2024, 3, 10, 6, 0), datetime(2024, 3, 10, 7, 30)),  # a time that is left out
+        ("30 1 * * *", datetime(2024, 11, 3, 5, 30), datetime(2024, 11, 4, 6, 30)),  # a repeated time, once
+        ("30 1 * * *", datetime(2024, 11, 3, 4, 30), datetime(2024, 11, 3, 5, 30)),
+        ("0 3 * * *", datetime(2024, 7, 1, 12), datetime(2024, 7, 2, 7)),
+    ],
+)
+def test_cron_when_clocks_change(expression, after, expected):
+    assert Cron(expression, "America/New_York").next(after) == expected
+
+
+@given(st.datetimes(datetime(2024, 1, 1), datetime(2025, 12, 31)), st.sampled_from(["*/10 * * * *", "30 2 * * *", "15 1-3 * * 0", "0 0 1 * *", "*/7 30 * * * *"]), st.sampled_from(["America/New_York", "Australia/Lord_Howe", "Europe/Berlin", "UTC"]))
+@settings(max_examples=200, deadline=None)
+def test_the_next_time_is_always_later(after, expression, tz):
+    assert Cron(expression, tz).next(after) > after
+
+
+def test_regular_expressions_keep_their_flags(spark):
+    rows = spark.createDataFrame([("a\nB",), ("b",)], "s string")
+    hit = lambda p: rows.filter(Filters(rows.schema).where({"s": p})).count()
+    assert [hit(re.compile(x, f)) for x, f in (("^b", 0), ("^b", re.I), ("^b", re.I | re.M), ("a.B", 0), ("a.B", re.S))] == [1, 1, 2, 0, 1]
+
+
+def test_operators_can_be_registered(spark):
+    rows = spark.createDataFrame([(7, 2, " Ab ", datetime(2024, 5, 6, 7, 8, 9), [1.0, None, 3.0])], "a int, b int, s string, t timestamp_ntz, x array<double>")
+    value = lambda e: rows.select(Filters(rows.schema).expression(e).alias("v")).first().v
+    assert value({"$divide": ["$a", "$b"]}) == 3.5 and value({"$divide": ["$a", 0]}) is None and value({"$mod": ["$a", 4]}) == 3 and value({"$avg": "$x"}) == 2.0
+    assert value({"$toUpper": "$s"}) == " AB " and value({"$trim": "$s"}) == "Ab" and value({"$concat": ["$s", "x"]}) == " Ab x" and value({"$toInt": "$s"}) is None
+    assert [value({f"${k}": "$t"}) for k in ("year", "month", "dayOfMonth", "hour", "minute", "second")] == [2024, 5, 6, 7, 8, 9]
+    with pytest.raises(ValueError):
+        value({"$double": "$a"})
+    register_operator("$double", lambda a: a * 2)
+    assert value({"$double": "$a"}) == 14
+    for name in ("double", "$double", "$add"):
+        with pytest.raises(ValueError):
+            register_operator(name, lambda a: a)
