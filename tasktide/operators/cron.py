@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.intervals import ms_between
+from ..functions.intervals import interval_function, ms_between
 
 RUN = T.StructType().add("started_at", "timestamp_ntz").add("finished_at", "timestamp_ntz").add("error", "string")
 SCHEMA = T.StructType().add("id", "string", False).add("interval", "string").add("run_since", "timestamp_ntz").add("run_immediately", "boolean").add("locked_till", "timestamp_ntz").add("run_log", T.ArrayType(RUN))
@@ -33,16 +34,71 @@ def due(jobs: DataFrame, now: datetime) -> DataFrame:
 
 
 def start(jobs: DataFrame, which: Column, now: datetime, lock_till: datetime) -> DataFrame:
-    """Lock and log a start, newest first, of which five are kept."""
+    """Lock and log a start, newest first, of which five are kept. A wish to run by hand is fulfilled by it."""
     entry = F.struct(_at(now).alias("started_at"), F.lit(None).cast("timestamp_ntz").alias("finished_at"), F.lit(None).cast("string").alias("error"))
     newest = F.array_sort(F.array_append(F.coalesce("run_log", F.array().cast(T.ArrayType(RUN))), entry), lambda a, b: F.when(a["started_at"] > b["started_at"], -1).when(a["started_at"] < b["started_at"], 1).otherwise(0))
-    return jobs.withColumns({"run_log": F.when(which, F.slice(newest, 1, 5)).otherwise(F.col("run_log")), "locked_till": F.when(which, _at(lock_till)).otherwise(F.col("locked_till"))})
-
-
-def undo_start(jobs: DataFrame, which: Column) -> DataFrame:
-    """Take the newest entry of the log back."""
+    hit = F.coalesce(which, F.lit(False))
+    # The choice is a column of its own first: it may be about the columns that change.
+    return (
+        jobs.withColumn("__hit", hit)
+        .withColumns(
+            {
+                "run_log": F.when(F.col("__hit"), F.slice(newest, 1, 5)).otherwise(F.col("run_log")),
+                "locked_till": F.when(F.col("__hit"), _at(lock_till)).otherwise(F.col("locked_till")),
+                "run_immediately": ~F.col("__hit") & F.coalesce("run_immediately", F.lit(False)),
+            }
+        )
+        .drop("__hit")
+    )
+
+
+def undo_start(jobs: DataFrame, which: Column, asked: Column | None = None) -> DataFrame:
+    """Take the newest entry of the log back. asked: whether the job had been asked for by hand, which then holds again."""
     rest = F.slice("run_log", F.lit(2), F.greatest(F.size("run_log") - 1, F.lit(0)))
-    return jobs.withColumn("run_log", F.when(which & (F.size("run_log") > 0), rest).otherwise(F.col("run_log"))).withColumn("locked_till", F.when(~which, F.col("locked_till")))
+    hit = F.coalesce(which, F.lit(False))
+    again = F.lit(False) if asked is None else F.coalesce(asked, F.lit(False))
+    return (
+        jobs.withColumns({"__hit": hit, "__asked": again})
+        .withColumns(
+            {
+                "run_log": F.when(F.col("__hit") & (F.size("run_log") > 0), rest).otherwise(F.col("run_log")),
+                "locked_till": F.when(~F.col("__hit"), F.col("locked_till")),
+                "run_immediately": F.coalesce("run_immediately", F.lit(False)) | (F.col("__hit") & F.col("__asked")),
+            }
+        )
+        .drop("__hit", "__asked")
+    )
+
+
+def next_run(interval: Column, now: datetime, tz: str = "UTC") -> Column:
+    """The time after now of each job's interval (milliseconds, a duration, or "CRON " and an expression); null for a null
+    one. Each different text of a batch is evaluated once."""
+
+    @F.pandas_udf("timestamp_ntz")
+    def of(texts: pd.Series) -> pd.Series:
+        known = {t: interval_function(int(t) if t.strip().isdigit() else t, tz)(now) for t in texts.dropna().unique()}
+        return pd.to_datetime(texts.map(known))
+
+    return of(interval)
+
+
+def finish(jobs: DataFrame, outcomes: DataFrame, now: datetime, tz: str = "UTC") -> DataFrame:
+    """After runs, outcomes (id, error; next_run where the interval isn't to be asked): the newest entry of the log gets its
+    end and error, the lock goes, and the job is due at the next time of its interval."""
+    given = F.col("next_run") if "next_run" in outcomes.columns else F.lit(None).cast("timestamp_ntz")
+    ended = outcomes.select(F.col("id").alias("__id"), F.col("error").alias("__error"), given.cast("timestamp_ntz").alias("__next"), F.lit(True).alias("__ended"))
+    both = jobs.join(ended, F.col("id") == F.col("__id"), "left").withColumn("__ended", F.coalesce("__ended", F.lit(False)))
+    both = both.withColumn("__of", next_run(F.when(F.col("__ended") & F.col("__next").isNull(), F.col("interval")), now, tz))
+    last = F.get("run_log", F.lit(0))
+    entry = F.struct(last["started_at"].alias("started_at"), _at(now).alias("finished_at"), F.col("__error").alias("error")).cast(RUN)
+    log = F.concat(F.array(entry), F.slice("run_log", F.lit(2), F.greatest(F.size("run_log") - 1, F.lit(0))))
+    return both.withColumns(
+        {
+            "run_log": F.when(F.col("__ended") & (F.size("run_log") > 0), log).otherwise(F.col("run_log")),
+            "locked_till": F.when(~F.col("__ended"), F.col("locked_till")),
+            "run_since": F.when(F.col("__ended"), F.coalesce("__next", "__of")).otherwise(F.col("run_since")),
+        }
+    ).select(jobs.columns)
 
 
 def trigger(jobs: DataFrame, job_id: str) -> DataFrame:

@@ -4,22 +4,32 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from datetime import datetime
+from datetime import datetime, timedelta
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: What a run gives back to finalize().
-OUTCOMES = "task string, source_doc_id {key}, outcome string, duration_ms long, error string, until timestamp_ntz"
+from ..functions.intervals import duration_ms
+
+#: What a run gives back to finalize(); throttle is the time until which the handler wants no record of its task to run.
+OUTCOMES = "task string, source_doc_id {key}, outcome string, duration_ms long, error string, until timestamp_ntz, throttle timestamp_ntz"
 
 
 class Defer(Exception):
-    """Raised by a handler to run again at a later time, with its attempts forgotten."""
+    """Raised by a handler to run again at a later time, or after a duration, with its attempts forgotten."""
 
-    def __init__(self, until: datetime):
+    def __init__(self, until: datetime | int | float | str, throttle: datetime | int | float | str | None = None):
         super().__init__("deferred")
+        self.until, self.throttle = until, throttle
+
+
+class Throttle(Exception):
+    """Raised or returned by a handler: this run is a success, and its whole task has to wait until then."""
+
+    def __init__(self, until: datetime | int | float | str):
+        super().__init__("throttled")
         self.until = until
 
 
@@ -27,26 +37,40 @@ class Skip(Exception):
     """Raised by a handler whose condition no longer holds: counts as a success."""
 
 
-def run_handlers(claimed: DataFrame, handler: Callable[[dict[str, Any]], None]) -> DataFrame:
-    """Outcome rows of a handler called with each claimed record, in Arrow batches on the executors. It may run again if an
-    executor is lost: as for any task here, the last outcome counts."""
+def _moment(value: datetime | int | float | str | None, now: datetime | None) -> datetime | None:
+    """A time, or a duration from now."""
+    if value is None or isinstance(value, datetime):
+        return value
+    if now is None:
+        raise ValueError("a duration needs run_handlers' now")
+    return now + timedelta(milliseconds=duration_ms(value))
+
+
+def run_handlers(claimed: DataFrame, handler: Callable | dict[str, Callable], now: datetime | None = None, caller: Callable[[Callable[[], Any]], Any] = lambda run: run()) -> DataFrame:
+    """Outcome rows of a handler, or of each task's, called with each claimed record, in Arrow batches on the executors. It
+    may run again if an executor is lost: as for any task here, the last outcome counts. caller is called with each run as
+    a function, to do something around it; what it raises is the run's error."""
     kind = claimed.schema["source_doc_id"].dataType.simpleString()
+    pick = (lambda task: handler[task]) if isinstance(handler, dict) else lambda task: handler
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for record in batch.to_dict("records"):
-                began, outcome, error, until = time.perf_counter(), "completed", None, None
+                began, outcome, error, until, throttle = time.perf_counter(), "completed", None, None, None
                 try:
-                    handler(record)
+                    said = caller(lambda record=record: pick(record["task"])(record))
+                    throttle = _moment(said.until, now) if isinstance(said, Throttle) else None
+                except Throttle as e:
+                    throttle = _moment(e.until, now)
                 except Defer as e:
-                    outcome, until = "deferred", e.until
+                    outcome, until, throttle = "deferred", _moment(e.until, now), _moment(e.throttle, now)
                 except Skip:
                     outcome = "skipped"
                 except Exception as e:  # whatever the handler raises is its outcome
                     outcome, error = "failed", str(e) or "Unknown error"
-                rows.append((record["task"], record["source_doc_id"], outcome, int(1000 * (time.perf_counter() - began)), error, until))
-            yield pd.DataFrame(rows, columns=["task", "source_doc_id", "outcome", "duration_ms", "error", "until"]).astype({"until": "datetime64[us]"})
+                rows.append((record["task"], record["source_doc_id"], outcome, int(1000 * (time.perf_counter() - began)), error, until, throttle))
+            yield pd.DataFrame(rows, columns=["task", "source_doc_id", "outcome", "duration_ms", "error", "until", "throttle"]).astype({"until": "datetime64[us]", "throttle": "datetime64[us]"})
 
     return claimed.mapInPandas(run, OUTCOMES.format(key=kind))
 

@@ -5,13 +5,14 @@ Spark has no atomic find-and-modify of one row, so one driver claims; the visibi
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.intervals import plus_ms
-from ..model import BUSY, HISTORY, RetryPolicy
+from ..model import BUSY, HISTORY, RetryPolicy, TaskDefinition
 from .planner import KEYS
 
 
@@ -30,9 +31,10 @@ def due(state: DataFrame, now: datetime, n: int, tasks: list[str] | None = None)
     return found.orderBy("next_run_at", *KEYS).limit(n)
 
 
-def claim(state: DataFrame, now: datetime, n: int, visibility_ms: int = 60_000, tasks: list[str] | None = None) -> DataFrame:
-    """The state with the n first due records processing, locked until the visibility timeout."""
-    marked = state.join(due(state, now, n, tasks).select(*KEYS, F.lit(True).alias("__claimed")), KEYS, "left")
+def claim(state: DataFrame, now: datetime, n: int, visibility_ms: int = 60_000, tasks: list[str] | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """The state with the n first due records, or those of the given keys, processing, locked until the visibility timeout."""
+    chosen = due(state, now, n, tasks) if keys is None else keys
+    marked = state.join(chosen.select(*KEYS, F.lit(True).alias("__claimed")), KEYS, "left")
     c = F.coalesce("__claimed", F.lit(False))
     return marked.withColumns(
         {
@@ -49,11 +51,45 @@ def allowed(tasks: list[str], throttled: dict[str, datetime], now: datetime) ->
     return [t for t in tasks if t not in throttled or throttled[t] <= now]
 
 
-def last_n(history: Column, n: int) -> Column:
-    return F.slice(history, F.greatest(F.lit(1), F.size(history) - n + 1), F.lit(n))
+def last_n(history: Column, n: int | Column) -> Column:
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.slice(history, F.greatest(F.lit(1), F.size(history) - n + 1), n)
+
+
+def throttled(outcomes: DataFrame) -> dict[str, datetime]:
+    """Until when handlers want their tasks to wait: a row for each task that is throttled at all."""
+    return {r.task: r.until for r in outcomes.groupBy("task").agg(F.max("throttle").alias("until")).filter("until is not null").collect()}
 
 
 def finalize(state: DataFrame, outcomes: DataFrame, now: datetime, retry: RetryPolicy, debounce_ms: int = 1000, history_limit: int = 5) -> DataFrame:
+    """The state after outcomes of records that share a policy; see finalize_tasks."""
+    return _finalize(state, outcomes, now, retry.gives_up, retry.next_try, F.lit(debounce_ms), F.lit(history_limit))
+
+
+def finalize_tasks(state: DataFrame, outcomes: DataFrame, now: datetime, definitions: list[TaskDefinition]) -> DataFrame:
+    """The state after outcomes of all these tasks, each with its own policy: one join, the policies as a CASE over tasks."""
+    if not definitions:
+        return state
+
+    def of_task(value: Callable[[TaskDefinition], Column]) -> Column:
+        out = None
+        for d in definitions:
+            x = value(d)
+            out = F.when(F.col("task") == d.name, x) if out is None else out.when(F.col("task") == d.name, x)
+        return out
+
+    return _finalize(
+        state,
+        outcomes,
+        now,
+        lambda tries, first, t: F.coalesce(of_task(lambda d: d.retry.gives_up(tries, first, t)), F.lit(False)),
+        lambda tries, t: of_task(lambda d: d.retry.next_try(tries, t)),
+        of_task(lambda d: F.lit(d.debounce)),
+        F.coalesce(of_task(lambda d: F.lit(d.history_limit)), F.lit(5)),
+    )
+
+
+def _finalize(state: DataFrame, outcomes: DataFrame, now: datetime, gives_up: Callable[..., Column], next_try: Callable[..., Column], debounce_ms: Column, history_limit: Column) -> DataFrame:
     """The state after outcomes (task, source_doc_id, outcome, duration_ms, error, until) of claimed records.
 
     completed and skipped are successes; failed is retried or given up by the policy; deferred goes back to pending until
@@ -67,14 +103,14 @@ def finalize(state: DataFrame, outcomes: DataFrame, now: datetime, retry: RetryP
     clean = done & ~dirty
     tries = F.coalesce("attempts", F.lit(0))
     first = F.coalesce("first_error_at", _at(now))
-    lost = retry.gives_up(tries, first, now)
+    lost = gives_up(tries, first, now)
     entry = F.struct(_at(now).alias("at"), F.when(error, "failed").otherwise("completed").alias("status"), o["ms"].alias("duration_ms"), F.when(error, o["error"]).alias("error")).cast(HISTORY)
     history = last_n(F.concat(F.coalesce("history", F.array().cast(f"array<{HISTORY.simpleString()}>")), F.array(entry)), history_limit)
     keep = F.col
     return both.withColumns(
         {
             "status": F.when(later | dirty, "pending").when(clean & ~error, "completed").when(clean & lost, "failed").when(clean, "pending").otherwise(keep("status")),
-            "next_run_at": F.when(later, o["until"]).when(dirty, plus_ms(F.col("updated_at"), debounce_ms)).when(clean & error & ~lost, retry.next_try(tries, now)).when(~clean, keep("next_run_at")),
+            "next_run_at": F.when(later, o["until"]).when(dirty, plus_ms(F.col("updated_at"), debounce_ms)).when(clean & error & ~lost, next_try(tries, now)).when(~clean, keep("next_run_at")),
             "attempts": F.when(later, 0).otherwise(keep("attempts")).cast("int"),
             "completed_at": F.when(clean & ~error, _at(now)).otherwise(keep("completed_at")),
             "first_error_at": F.when(clean & error, first).when(~clean, keep("first_error_at")),

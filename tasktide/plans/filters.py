@@ -27,6 +27,10 @@ CASES = {
     "filter_now": ("orders", "o_orderkey", {"$expr": {"$lt": ["$o_orderdate", "$$NOW"]}}, f"o_orderdate < {SQL_NOW}"),
     "filter_date_add": ("lineitem", "l_orderkey", {"$expr": {"$lt": [{"$add": ["$l_shipdate", 86400000]}, "$$NOW"]}}, f"l_shipdate + INTERVAL 1 DAY < {SQL_NOW}"),
     "filter_date_value": ("orders", "o_orderkey", {"o_orderdate": {"$gte": datetime(1996, 1, 1)}}, "o_orderdate >= TIMESTAMP '1996-01-01'"),
+    "filter_regex_literal_flags": ("part", "p_partkey", {"p_type": re.compile("^promo.*(steel|tin)$", re.I | re.S)}, "regexp_matches(p_type, '^promo.*(steel|tin)$', 'is')"),
+    "filter_string_operators": ("part", "p_partkey", {"$expr": {"$and": [{"$eq": [{"$toLower": "$p_brand"}, "brand#13"]}, {"$gt": [{"$strLenCP": "$p_type"}, 12]}]}}, "lower(p_brand) = 'brand#13' AND length(p_type) > 12"),
+    "filter_date_operators": ("orders", "o_orderkey", {"$expr": {"$and": [{"$eq": [{"$year": "$o_orderdate"}, 1996]}, {"$lt": [{"$mod": ["$o_orderkey", 7]}, 3]}]}}, "year(o_orderdate) = 1996 AND o_orderkey % 7 < 3"),
+    "filter_division": ("lineitem", "l_orderkey", {"$expr": {"$gt": [{"$divide": ["$l_extendedprice", "$l_quantity"]}, 1500]}}, "l_extendedprice / l_quantity > 1500"),
     "filter_field_to_field": ("lineitem", "l_orderkey", {"$expr": {"$gt": ["$l_discount", "$l_tax"]}}, "l_discount > l_tax"),
     "filter_arithmetic": ("lineitem", "l_orderkey", {"$expr": {"$gt": [{"$multiply": ["$l_linenumber", 10]}, "$l_quantity"]}}, "l_linenumber * 10 > l_quantity"),
     "filter_type": ("orders", "o_orderkey", {"o_orderkey": {"$type": "long"}}, "TRUE"),
@@ -45,10 +49,10 @@ NULLABLE = {
     "filter_in_null": ({"s": {"$in": ["F", None]}}, "s IS NULL OR s = 'F'"),
 }
 
-#: Over nested fields: a struct meta (kind, size) and arrays tags and items of structs.
+#: Over nested fields: structs meta (kind, size) and pair (kind, urgency), and arrays tags and items of structs.
 NESTED = {
     "filter_dotted": ({"meta.kind": "F", "meta.size": {"$gt": 1000}}, "o_orderstatus = 'F' AND o_totalprice > 1000"),
-    "filter_struct_eq": ({"meta": {"kind": "F", "size": 1}}, "FALSE"),
+    "filter_struct_eq": ({"pair": {"kind": "F", "urgency": "1-URGENT"}}, "o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'"),
     "filter_array_size": ({"tags": {"$size": 2}}, "o_orderstatus <> 'P'"),
     "filter_intersection": ({"$expr": {"$gt": [{"$size": {"$setIntersection": ["$tags", ["O", "1-URGENT"]]}}, 0]}}, "o_orderstatus = 'O' OR (o_orderstatus <> 'P' AND o_orderpriority = '1-URGENT')"),
     "filter_elements": ({"$expr": {"$gt": [{"$size": {"$filter": {"input": "$items", "as": "i", "cond": {"$and": [{"$eq": ["$$i.what", "F"]}, {"$gt": ["$$i.n", 5]}]}}}}, 0]}}, "o_orderstatus = 'F' AND o_orderkey % 10 > 5"),
@@ -65,7 +69,7 @@ def nullable(spark, sf_dir):
 def nested(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     tags = F.when(F.col("o_orderstatus") == "P", F.array("o_orderstatus")).otherwise(F.array("o_orderstatus", "o_orderpriority"))
-    return o.select(F.col("o_orderkey").alias("k"), F.struct(F.col("o_orderstatus").alias("kind"), F.col("o_totalprice").alias("size")).alias("meta"), tags.alias("tags"), F.array(F.struct(F.col("o_orderstatus").alias("what"), (F.col("o_orderkey") % 10).alias("n"))).alias("items"))
+    return o.select(F.col("o_orderkey").alias("k"), F.struct(F.col("o_orderstatus").alias("kind"), F.col("o_totalprice").alias("size")).alias("meta"), F.struct(F.col("o_orderstatus").alias("kind"), F.col("o_orderpriority").alias("urgency")).alias("pair"), tags.alias("tags"), F.array(F.struct(F.col("o_orderstatus").alias("what"), (F.col("o_orderkey") % 10).alias("n"))).alias("items"))
 
 
 def _add(name, rows, key, task_filter, sql):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import Window as W
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import Filters
 from ..functions.projection import watched
-from ..model import RetryPolicy
-from ..operators import cleanup, cron, listing, metrics, planner, reconcile, transitions
-from ..operators.handlers import run_handlers, with_source_row
+from ..model import Registry, RetryPolicy
+from ..operators import cleanup, cron, listing, metrics, planner, reconcile, transitions, worker
+from ..operators.handlers import Defer, Throttle, run_handlers, with_source_row
 from .. import streaming
 from ..sources import Sources
 from .registry import query
@@ -22,13 +23,36 @@ TASKS = [OPEN, URGENT]
 _PLANNED = """planned AS (
   SELECT 'open_orders' AS task, o_orderkey AS source_doc_id, o_totalprice AS observed, 1000 AS debounce_ms FROM orders WHERE o_orderstatus = 'O'
   UNION ALL SELECT 'urgent_orders', o_orderkey, o_totalprice, 5000 FROM orders WHERE o_orderpriority = '1-URGENT')"""
-_SQL = f"WITH {SQL_RECORDS}, {_PLANNED}, both_ AS (SELECT coalesce(r.task, p.task) AS task, coalesce(r.source_doc_id, p.source_doc_id) AS source_doc_id, r.status, r.attempts, r.due_at, r.next_run_at, r.updated_at, r.last_error, r.observed AS old, p.observed AS new, p.debounce_ms, r.task IS NULL AS inserted, p.task IS NOT NULL AND r.task IS NOT NULL AND r.observed <> p.observed AS changed, p.task IS NOT NULL AS planned FROM records r FULL JOIN planned p ON r.task = p.task AND r.source_doc_id = p.source_doc_id)"
+def _both(old, new):
+    """A full join of records and planned rows, in SQL."""
+    return (
+        "both_ AS (SELECT coalesce(r.task, p.task) AS task, coalesce(r.source_doc_id, p.source_doc_id) AS source_doc_id, r.status, r.attempts, r.due_at, r.next_run_at, r.updated_at, r.last_error, r.observed AS old, p.observed AS new, p.debounce_ms, "
+        "r.task IS NULL AS inserted, p.task IS NOT NULL AND r.task IS NOT NULL AND r.observed <> p.observed AS changed, p.task IS NOT NULL AS planned "
+        f"FROM {old} r FULL JOIN {new} p ON r.task = p.task AND r.source_doc_id = p.source_doc_id)"
+    )
+
+
+_SQL = f"WITH {SQL_RECORDS}, {_PLANNED}, {_both('records', 'planned')} "
+#: The columns of a state after planning, from both_ and from records alone.
+_MERGED = f"""task, source_doc_id,
+  CASE WHEN inserted THEN 'pending' WHEN changed AND status IN ('processing', 'processing_dirty') THEN 'processing_dirty' WHEN changed THEN 'pending' ELSE status END AS status,
+  CASE WHEN inserted OR changed THEN 0 ELSE attempts END AS attempts,
+  CAST(epoch_ms(CASE WHEN inserted OR changed THEN {SQL_NOW} + debounce_ms * INTERVAL 1 MILLISECOND ELSE due_at END) AS BIGINT) AS due_ms,
+  CAST(epoch_ms(CASE WHEN inserted OR (changed AND status NOT IN ('processing', 'processing_dirty')) THEN {SQL_NOW} + debounce_ms * INTERVAL 1 MILLISECOND ELSE next_run_at END) AS BIGINT) AS next_ms,
+  CAST(epoch_ms(CASE WHEN inserted OR changed THEN {SQL_NOW} ELSE updated_at END) AS BIGINT) AS updated_ms,
+  CASE WHEN inserted OR changed THEN NULL ELSE last_error END AS last_error,
+  CAST(CASE WHEN planned THEN new ELSE old END AS DECIMAL(18,2)) AS observed"""
+_STORED = "task, source_doc_id, status, attempts, CAST(epoch_ms(due_at) AS BIGINT) AS due_ms, CAST(epoch_ms(next_run_at) AS BIGINT) AS next_ms, CAST(epoch_ms(updated_at) AS BIGINT) AS updated_ms, last_error, CAST(observed AS DECIMAL(18,2)) AS observed"
 
 
 def _epoch(c):
     return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(c) if isinstance(c, str) else c)
 
 
+def _rows(s):
+    return s.select(*KEYS, "status", "attempts", _epoch("due_at").alias("due_ms"), _epoch("next_run_at").alias("next_ms"), _epoch("updated_at").alias("updated_ms"), "last_error", F.col("observed.o_totalprice").cast("decimal(18,2)").alias("observed"))
+
+
 # Planning
 
 
@@ -52,22 +76,10 @@ def plan_merge_actions(spark, sf_dir):
     return planner.actions(records(spark, sf_dir), new).groupBy("task", "action").agg(F.count("*").alias("n"))
 
 
-@query(
-    _SQL
-    + f"""SELECT task, source_doc_id,
-  CASE WHEN inserted THEN 'pending' WHEN changed AND status IN ('processing', 'processing_dirty') THEN 'processing_dirty' WHEN changed THEN 'pending' ELSE status END AS status,
-  CASE WHEN inserted OR changed THEN 0 ELSE attempts END AS attempts,
-  CAST(epoch_ms(CASE WHEN inserted OR changed THEN {SQL_NOW} + debounce_ms * INTERVAL 1 MILLISECOND ELSE due_at END) AS BIGINT) AS due_ms,
-  CAST(epoch_ms(CASE WHEN inserted OR (changed AND status NOT IN ('processing', 'processing_dirty')) THEN {SQL_NOW} + debounce_ms * INTERVAL 1 MILLISECOND ELSE next_run_at END) AS BIGINT) AS next_ms,
-  CAST(epoch_ms(CASE WHEN inserted OR changed THEN {SQL_NOW} ELSE updated_at END) AS BIGINT) AS updated_ms,
-  CASE WHEN inserted OR changed THEN NULL ELSE last_error END AS last_error,
-  CAST(CASE WHEN planned THEN new ELSE old END AS DECIMAL(18,2)) AS observed
-FROM both_"""
-)
+@query(_SQL + f"SELECT {_MERGED} FROM both_")
 def plan_merge_state(spark, sf_dir):
     """The whole state after a plan."""
-    s = planner.plan(table(spark, sf_dir, "orders"), TASKS, records(spark, sf_dir), NOW)
-    return s.select(*KEYS, "status", "attempts", _epoch("due_at").alias("due_ms"), _epoch("next_run_at").alias("next_ms"), _epoch("updated_at").alias("updated_ms"), "last_error", F.col("observed.o_totalprice").cast("decimal(18,2)").alias("observed"))
+    return _rows(planner.plan(table(spark, sf_dir, "orders"), TASKS, records(spark, sf_dir), NOW))
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(l_extendedprice * l_quantity AS DECIMAL(18,2)) AS total, l_returnflag AS flag FROM lineitem")
@@ -367,26 +379,26 @@ def retention_cutoff(spark, sf_dir):
     return records(spark, sf_dir).filter(cleanup.expired(NOW, 900 * 86_400_000)).groupBy("task").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {SQL_RECORDS} SELECT task, count(*) AS n FROM records WHERE NOT (task = 'open_orders' AND updated_at < {SQL_NOW} AND source_doc_id NOT IN ({_HAS_LINES})) GROUP BY 1")
+@query(f"WITH {SQL_RECORDS} SELECT {_STORED} FROM records WHERE NOT (task = 'open_orders' AND updated_at < {SQL_NOW} AND source_doc_id NOT IN ({_HAS_LINES}))")
 def cleanup_state(spark, sf_dir):
     """The state without a task's orphans."""
-    return cleanup.clean(records(spark, sf_dir), _live(spark, sf_dir), OPEN, NOW).groupBy("task").agg(F.count("*").alias("n"))
+    return _rows(cleanup.clean(records(spark, sf_dir), _live(spark, sf_dir), OPEN, NOW))
 
 
-@query(f"WITH {SQL_RECORDS} SELECT source_doc_id FROM records WHERE task = 'open_orders' AND updated_at < {SQL_NOW} AND source_doc_id NOT IN ({_HAS_LINES}) AND source_doc_id IN (SELECT user_id FROM events WHERE event_type = 'error')")
+@query(f"WITH {SQL_RECORDS} SELECT source_doc_id FROM records WHERE task = 'open_orders' AND updated_at < {SQL_NOW} AND source_doc_id NOT IN ({_HAS_LINES}) AND source_doc_id IN (SELECT event_id FROM events WHERE event_type <> 'click')")
 def cleanup_after_deletes(spark, sf_dir):
-    """Immediate cleanup, limited to rows that delete events name."""
-    gone = change_events(spark, sf_dir).filter("operation = 'delete'").select(F.col("key").alias("source_doc_id"))
+    """Immediate cleanup, limited to rows that delete events name (here: the numbers of all events but clicks)."""
+    gone = table(spark, sf_dir, "events").filter("event_type <> 'click'").select(F.col("event_id").alias("source_doc_id"))
     return cleanup.orphans(records(spark, sf_dir), _live(spark, sf_dir), OPEN, NOW, only=gone).select("source_doc_id")
 
 
 @query(
-    f"WITH {SQL_RECORDS} SELECT task, count(*) AS n FROM records WHERE NOT (updated_at < {SQL_NOW} AND CASE WHEN task = 'open_orders' THEN source_doc_id NOT IN (SELECT o_orderkey FROM orders) "
-    "ELSE source_doc_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') END) GROUP BY 1"
+    f"WITH {SQL_RECORDS} SELECT {_STORED} FROM records WHERE NOT (updated_at < {SQL_NOW} AND CASE WHEN task = 'open_orders' THEN source_doc_id NOT IN ({_HAS_LINES}) "
+    f"ELSE source_doc_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey IN ({_HAS_LINES})) END)"
 )
 def cleanup_all(spark, sf_dir):
     """The periodic cleanup of all tasks."""
-    return cleanup.clean_all(records(spark, sf_dir), lambda name: table(spark, sf_dir, name), REGISTRY, NOW).groupBy("task").agg(F.count("*").alias("n"))
+    return _rows(cleanup.clean_all(records(spark, sf_dir), lambda name: _live(spark, sf_dir), REGISTRY, NOW))
 
 
 @query("SELECT * FROM (VALUES ('open_orders', FALSE), ('urgent_orders', TRUE)) t(task, reconciled)")
@@ -397,15 +409,11 @@ def trigger_signature_diff(spark, sf_dir):
     return spark.createDataFrame([(k, c.reconciled) for k, c in found.items()], "task string, reconciled boolean")
 
 
-@query(
-    _SQL
-    + f", s AS (SELECT task, source_doc_id, coalesce(status, 'pending') AS status, CASE WHEN inserted OR changed THEN {SQL_NOW} ELSE updated_at END AS u, planned FROM both_) "
-    f"SELECT task, count(*) AS n FROM s WHERE NOT (task = 'urgent_orders' AND u < {SQL_NOW} AND NOT planned) GROUP BY 1"
-)
+@query(_SQL + f"SELECT {_MERGED} FROM both_ WHERE NOT (task = 'urgent_orders' AND NOT planned AND updated_at < {SQL_NOW})")
 def reconcile_all(spark, sf_dir):
     """Plan all tasks over the whole source, then clean up."""
     state, _ = reconcile.reconcile(lambda name: table(spark, sf_dir, name), REGISTRY, {}, records(spark, sf_dir), NOW)
-    return state.groupBy("task").agg(F.count("*").alias("n"))
+    return _rows(state)
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey > 500 ORDER BY 1")
@@ -420,10 +428,10 @@ def reconcile_resume(spark, sf_dir):
 _DUE = f"(locked_till IS NULL OR locked_till < {SQL_NOW}) AND (run_since <= {SQL_NOW} OR run_immediately)"
 
 
-@query(f"WITH {SQL_JOBS} SELECT id, row_number() OVER (ORDER BY run_immediately DESC, run_since ASC, started_at ASC NULLS FIRST, id) AS place FROM jobs WHERE {_DUE} ORDER BY place LIMIT 20")
+@query(f"WITH {SQL_JOBS} SELECT id, row_number() OVER (ORDER BY run_immediately DESC, run_since ASC, started_at ASC NULLS FIRST, id) AS place FROM jobs WHERE {_DUE}")
 def cron_due_order(spark, sf_dir):
-    """The first twenty due jobs and their places."""
-    d = cron.due(jobs(spark, sf_dir), NOW).limit(20)
+    """All due jobs and their places."""
+    d = cron.due(jobs(spark, sf_dir), NOW)
     place = F.row_number().over(W.orderBy(F.desc("run_immediately"), "run_since", F.get("run_log", F.lit(0))["finished_at"].asc_nulls_first(), "id"))
     return d.select("id", place.cast("long").alias("place"))
 
@@ -441,19 +449,34 @@ def cron_next_wait(spark, sf_dir):
     return cron.next_wait_ms(jobs(spark, sf_dir), NOW)
 
 
-@query(f"WITH {SQL_JOBS} SELECT id, CASE WHEN started_at IS NULL THEN 1 ELSE 2 END AS runs FROM jobs WHERE {_DUE}")
+@query(f"WITH {SQL_JOBS} SELECT id, CASE WHEN {_DUE} THEN 1 ELSE 0 END + CASE WHEN started_at IS NULL THEN 0 ELSE 1 END AS runs, NOT ({_DUE}) AND run_immediately AS asked, CAST(epoch_ms(CASE WHEN {_DUE} THEN {SQL_NOW} + INTERVAL 5 MINUTE ELSE locked_till END) AS BIGINT) AS lock_ms FROM jobs")
 def cron_start(spark, sf_dir):
     """Start all due jobs: a bounded push to their logs."""
     all_jobs = jobs(spark, sf_dir)
     picked = cron.due(all_jobs, NOW).select("id", F.lit(True).alias("hit"))
     s = cron.start(all_jobs.join(picked, "id", "left"), F.col("hit").isNotNull(), NOW, NOW + timedelta(minutes=5))
-    return s.filter("hit").select("id", F.size("run_log").alias("runs"))
+    return s.select("id", F.size("run_log").alias("runs"), F.col("run_immediately").alias("asked"), _epoch("locked_till").alias("lock_ms"))
+
+
+@query(
+    f"WITH {SQL_JOBS} SELECT id, CAST(epoch_ms(CASE WHEN {_DUE} THEN {SQL_NOW} + INTERVAL 1 DAY + INTERVAL 1 MINUTE ELSE run_since END) AS BIGINT) AS next_ms, CAST(epoch_ms(CASE WHEN NOT coalesce({_DUE}, FALSE) THEN locked_till END) AS BIGINT) AS lock_ms, "
+    f"CASE WHEN {_DUE} THEN CASE WHEN id LIKE '%1' THEN 'broken' END ELSE error END AS error, CAST(epoch_ms(CASE WHEN {_DUE} THEN {SQL_NOW} + INTERVAL 1 MINUTE ELSE started_at END) AS BIGINT) AS finished_ms, "
+    f"CASE WHEN {_DUE} THEN 1 ELSE 0 END + CASE WHEN started_at IS NULL THEN 0 ELSE 1 END AS runs FROM jobs"
+)
+def cron_finish(spark, sf_dir):
+    """All due jobs run for a minute: log, lock and next time."""
+    all_jobs, end = jobs(spark, sf_dir), NOW + timedelta(minutes=1)
+    picked = cron.due(all_jobs, NOW).select("id", F.lit(True).alias("hit"))
+    started = cron.start(all_jobs.join(picked, "id", "left"), F.col("hit").isNotNull(), NOW, NOW + timedelta(minutes=5)).drop("hit")
+    done = cron.finish(started, picked.select("id", F.when(F.col("id").endswith("1"), "broken").alias("error")), end)
+    last = F.get("run_log", F.lit(0))
+    return done.select("id", _epoch("run_since").alias("next_ms"), _epoch("locked_till").alias("lock_ms"), last["error"].alias("error"), _epoch(last["finished_at"]).alias("finished_ms"), F.size("run_log").alias("runs"))
 
 
 @query("SELECT s_name AS id FROM supplier UNION SELECT 'new-job'")
 def cron_insert_missing(spark, sf_dir):
     fresh = spark.createDataFrame([("new-job", "1h", NOW)], "id string, interval string, run_since timestamp_ntz")
-    known = jobs(spark, sf_dir).select("id", "interval", "run_since").limit(5)
+    known = jobs(spark, sf_dir).select("id", "interval", "run_since")
     return cron.insert_missing(jobs(spark, sf_dir), fresh.unionByName(known)).select("id")
 
 
@@ -604,14 +627,13 @@ def cdc_lag(spark, sf_dir):
 
 @query(
     f"WITH {SQL_RECORDS}, {_EVENTS}, {_LATEST}, {_PLANNED}, gone AS (SELECT key FROM l WHERE operation = 'delete'), up AS (SELECT key FROM l WHERE operation <> 'delete'), "
-    f"kept AS (SELECT r.task, source_doc_id FROM records r WHERE NOT (source_doc_id IN (SELECT key FROM gone) AND updated_at < {SQL_NOW} AND "
+    f"kept AS (SELECT * FROM records WHERE NOT (source_doc_id IN (SELECT key FROM gone) AND updated_at < {SQL_NOW} AND "
     "CASE WHEN task = 'open_orders' THEN source_doc_id NOT IN (SELECT o_orderkey FROM orders) ELSE source_doc_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') END)), "
-    "new AS (SELECT task, source_doc_id FROM planned WHERE source_doc_id IN (SELECT key FROM up)) SELECT task, count(*) AS n FROM (SELECT * FROM kept UNION SELECT * FROM new) GROUP BY 1"
+    f"touched AS (SELECT * FROM planned WHERE source_doc_id IN (SELECT key FROM up)), {_both('kept', 'touched')} SELECT {_MERGED} FROM both_"
 )
 def cdc_apply_batch(spark, sf_dir):
     """The state after one batch of change events."""
-    state = streaming.apply_events(change_events(spark, sf_dir), Sources.of_parquet(spark, sf_dir, ["orders"]), REGISTRY, records(spark, sf_dir), NOW)
-    return state.groupBy("task").agg(F.count("*").alias("n"))
+    return _rows(streaming.apply_events(change_events(spark, sf_dir), Sources.of_parquet(spark, sf_dir, ["orders"]), REGISTRY, records(spark, sf_dir), NOW))
 
 
 # Handlers
@@ -636,3 +658,42 @@ def handler_outcomes(spark, sf_dir):
 
     claimed = records(spark, sf_dir).filter("status in ('processing', 'processing_dirty')").select(*KEYS)
     return run_handlers(claimed, handler).groupBy("task", "outcome").agg(F.count("*").alias("n"))
+
+
+def _handle(record):
+    """Odd keys fail, every fifth waits, and a cheap order throttles its task."""
+    key, price = record["source_doc_id"], record["document"]["o_totalprice"]
+    if key % 4 == 1:
+        raise ValueError("odd key")
+    if key % 5 == 0:
+        raise Defer("1h")
+    return Throttle("2h") if price < 50_000 else None
+
+
+WORKERS = Registry(*(replace(d, handler=_handle, retry=RetryPolicy(*p, max_attempts=4)) for d, p in ((OPEN, ("fixed", "5s")), (URGENT, ("linear", "1m")))))
+
+
+@query(
+    f"WITH {SQL_RECORDS}, {_PLANNED}, d AS (SELECT * FROM records WHERE next_run_at <= {SQL_NOW} ORDER BY next_run_at, task, source_doc_id LIMIT 500), "
+    "w AS (SELECT d.*, p.task IS NOT NULL AND p.observed = d.observed AS valid, d.source_doc_id % 4 = 1 AS bad, d.source_doc_id % 5 = 0 AS later, p.debounce_ms FROM d LEFT JOIN planned p ON p.task = d.task AND p.source_doc_id = d.source_doc_id), "
+    f"o AS (SELECT task AS t, source_doc_id AS i, CASE WHEN NOT valid OR NOT (bad OR later) THEN 'completed' WHEN bad AND attempts + 1 >= 4 THEN 'failed' ELSE 'pending' END AS s, CASE WHEN valid AND later AND NOT bad THEN 0 ELSE attempts + 1 END AS a, "
+    f"CASE WHEN NOT valid OR NOT (bad OR later) OR (bad AND attempts + 1 >= 4) THEN NULL WHEN bad AND task = 'open_orders' THEN {SQL_NOW} + INTERVAL 5 SECOND WHEN bad THEN {SQL_NOW} + (attempts + 1) * INTERVAL 1 MINUTE ELSE {SQL_NOW} + INTERVAL 1 HOUR END AS n, "
+    f"CASE WHEN valid AND bad THEN 'odd key' WHEN valid AND later THEN last_error END AS e FROM w) "
+    "SELECT task, source_doc_id, coalesce(s, status) AS status, CAST(CASE WHEN t IS NULL THEN attempts ELSE a END AS INTEGER) AS attempts, CAST(epoch_ms(CASE WHEN t IS NULL THEN next_run_at ELSE n END) AS BIGINT) AS next_ms, CASE WHEN t IS NULL THEN last_error ELSE e END AS last_error "
+    "FROM records LEFT JOIN o ON task = t AND source_doc_id = i"
+)
+def work_once(spark, sf_dir):
+    """One round over the first 500 due records: claim, late binding, handlers with rows, each task's policy."""
+    s = worker.work(records(spark, sf_dir), Sources.of_parquet(spark, sf_dir, ["orders"]), WORKERS, NOW, 500, columns={"orders": ["o_totalprice"]})
+    return s.select(*KEYS, "status", "attempts", _epoch("next_run_at").alias("next_ms"), "last_error")
+
+
+@query(
+    f"WITH {SQL_RECORDS}, {_PLANNED} SELECT r.task, CAST(epoch_ms({SQL_NOW} + INTERVAL 2 HOUR) AS BIGINT) AS until_ms FROM records r JOIN planned p ON p.task = r.task AND p.source_doc_id = r.source_doc_id AND p.observed = r.observed "
+    f"WHERE r.next_run_at <= {SQL_NOW} AND r.source_doc_id % 4 <> 1 AND r.source_doc_id % 5 <> 0 AND p.observed < 50000 GROUP BY 1"
+)
+def handler_throttles(spark, sf_dir):
+    """Which tasks handlers of all due records hold back, and until when."""
+    due = records(spark, sf_dir).filter(transitions.is_due(NOW))
+    said = worker.outcomes(due, Sources.of_parquet(spark, sf_dir, ["orders"]), WORKERS, NOW)
+    return said.groupBy("task").agg(_epoch(F.max("throttle")).alias("until_ms")).filter("until_ms is not null")

@@ -7,7 +7,8 @@ read again, so late and repeated events do no harm.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..model import Registry
-from ..operators.cleanup import clean
+from ..operators.cleanup import clean_source
 from ..operators.planner import plan
+from ..operators.reconcile import Control, reconcile
 from ..sources import Sources, StateStore
 
 EVENT = "event_id long, ts timestamp_ntz, source string, key long, operation string"
@@ -39,15 +41,24 @@ def latest(events: DataFrame, *keys: str) -> DataFrame:
     return events.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
 
 
-def apply_events(events: DataFrame, sources: Sources, registry: Registry, state: DataFrame, now: datetime) -> DataFrame:
-    """The state after a batch of events: for each source deletes first, then the changed rows planned as they are now."""
+def key_ranges(events: DataFrame) -> dict[str, tuple]:
+    """The least and greatest key of each source: one small row for each."""
+    return {r.source: (r.low, r.high) for r in events.groupBy("source").agg(F.min("key").alias("low"), F.max("key").alias("high")).collect()}
+
+
+def apply_events(events: DataFrame, sources: Callable[[str], DataFrame], registry: Registry, state: DataFrame, now: datetime, ranges: dict[str, tuple] | None = None) -> DataFrame:
+    """The state after a batch of events: for each source deletes first, then the changed rows planned as they are now.
+    With the ranges of the events' keys, only files and row groups of a source that may hold them are read."""
     last = latest(wanted(events, registry))
     for name in registry.sources():
+        if ranges is not None and name not in ranges:
+            continue
         tasks, rows = registry.of_source(name), sources(name)
+        if ranges is not None:
+            rows = rows.filter(F.col(tasks[0].key).between(*ranges[name]))
         mine = last.filter(F.col("source") == name)
         gone = mine.filter("operation = 'delete'").select(F.col("key").alias("source_doc_id"))
-        for d in tasks:
-            state = clean(state, rows, d, now, only=gone)
+        state = clean_source(state, rows, tasks, now, only=gone)
         touched = rows.join(mine.filter("operation <> 'delete'").select(F.col("key").alias(tasks[0].key)), tasks[0].key, "left_semi")
         state = plan(touched, tasks, state, now)
     return state
@@ -55,16 +66,33 @@ def apply_events(events: DataFrame, sources: Sources, registry: Registry, state:
 
 def start(events: DataFrame, sources: Sources, registry: Registry, store: StateStore, empty: DataFrame, checkpoint: str, clock: Callable[[], datetime], available_now: bool = True, every: str = "500 milliseconds") -> StreamingQuery:
     """Run the planner on a stream. A batch that fails is run again from the checkpoint; one that was written before a crash
-    is known by its number and skipped, and a merge of the same rows changes nothing anyway."""
+    is known by its number and skipped, and a merge of the same rows changes nothing anyway. A batch reads and writes the
+    buckets of the state that its keys are in, and of a source what may hold these keys."""
+    key = empty.schema["source_doc_id"].dataType
 
     def batch(rows: DataFrame, number: int) -> None:
-        if store.current()[2] < number:
-            store.write(apply_events(rows, sources, registry, store.read(empty), clock()), number)
+        if store.current()[2] >= number:
+            return
+        last = latest(wanted(rows, registry)).persist()
+        touched = store.buckets_of(last.select(F.col("key").cast(key).alias("source_doc_id")))
+        if touched:
+            store.write(apply_events(last, sources, registry, store.read(empty, touched), clock(), key_ranges(last)), number, touched)
+        last.unpersist()
 
     writer = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
 
 
+def cold_start(events: DataFrame, sources: Sources, registry: Registry, store: StateStore, empty: DataFrame, checkpoint: str, clock: Callable[[], datetime], stored: dict[str, Control] | None = None, overlap_ms: int = 60_000, **options: Any) -> tuple[StreamingQuery, dict[str, Control]]:
+    """Reconcile all sources, then follow the stream from a little before that began, so that no change falls between; what
+    is seen twice changes nothing. The query, and the control rows to store."""
+    since = clock()
+    state, controls = reconcile(sources, registry, stored or {}, store.read(empty), since)
+    store.write(state)
+    fresh = events.filter(F.col("ts") >= F.lit(since - timedelta(milliseconds=overlap_ms)).cast("timestamp_ntz"))
+    return start(fresh, sources, registry, store, empty, checkpoint, clock, **options), controls
+
+
 def debounced(events: DataFrame, gap: str, *keys: str) -> DataFrame:
     """Sessions of each key that end when it is quiet for the gap: when a debounced task of a live stream would run."""
     s = F.session_window("ts", gap)

@@ -1,5 +1,6 @@
 """Operators on small states with a fixed clock: the status machine, cleanup, evolution, the stream, handlers."""
 
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 from tasktide import streaming
 from tasktide.model import CleanupPolicy, Evolution, Registry, RetryPolicy, TaskDefinition, record_schema
 from tasktide.operators import cleanup, cron, listing, metrics, planner, reconcile, transitions
-from tasktide.operators.handlers import Defer, Skip, process_in_batches, run_handlers
+from tasktide.operators.handlers import Defer, Skip, Throttle, process_in_batches, run_handlers
+from tasktide.operators.worker import Worker
 from tasktide.sources import Sources, StateStore
 
 NOW = datetime(2024, 5, 1)
@@ -335,3 +337,134 @@ def test_latest_events_and_sessions(spark):
     assert {(r.source, r.event_id) for r in streaming.latest(rows).collect()} == {("s", 4), ("u", 5)}
     assert sorted((r.source, r.run_at, r.events) for r in streaming.debounced(rows, "10 seconds", "source").collect()) == [("s", at(15), 3), ("s", at(70), 1), ("u", at(10), 1)]
     assert streaming.lag_s(rows, at(90)).first().lag_s == 30
+
+
+def test_cleanup_of_many_tasks_is_one_join(spark, schema):
+    """Fifty tasks are planned at once: one read of the state and one of the source."""
+    tasks = [TaskDefinition(f"t{i}", "src", "id", {"price": {"$gt": i}}, {"price": 1}, cleanup=CleanupPolicy(("source_deleted", "source_deleted_or_not_matching", "never")[i % 3], 0)) for i in range(50)]
+    rows = source(spark, (1, "a", 20), (2, "b", 40))
+    state = made(spark, schema, task="t0")
+    for i in range(50):
+        for key in (1, 2, 9):
+            state = state.unionByName(made(spark, schema, task=f"t{i}", source_doc_id=key)) if i < 8 else state
+    began = time.perf_counter()
+    out = cleanup.clean_all(state.filter("source_doc_id > 0"), lambda _: rows, Registry(*tasks), LATER)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert time.perf_counter() - began < 5 and plan.count("Join") <= 2
+    left = {(r.task, r.source_doc_id) for r in out.collect()}
+    kept = {"source_deleted": lambda i, k: k != 9, "source_deleted_or_not_matching": lambda i, k: k != 9 and {1: 20, 2: 40}[k] > i, "never": lambda i, k: True}
+    assert left == {(f"t{i}", k) for i in range(8) for k in (1, 2, 9) if kept[tasks[i].cleanup.delete_when](i, k)}
+    state, _ = reconcile.reconcile(lambda _: rows, Registry(*tasks), {}, made(spark, schema, task="t1", source_doc_id=9), LATER)
+    assert state.count() == 20 + 40 and cleanup.cleanup_is_due(None, NOW, 1) and not cleanup.cleanup_is_due(NOW, NOW, 1)
+
+
+def test_jobs_start_and_finish(spark):
+    hour = timedelta(hours=1)
+    rows = [("a", "1h", NOW - hour, True, None, []), ("b", "CRON 0 12 * * *", NOW - hour, False, None, [(NOW - 9 * hour, NOW - 8 * hour, None)]), ("c", "5000", NOW - hour, False, None, None), ("d", None, NOW + hour, None, None, [])]
+    jobs = spark.createDataFrame(rows, cron.SCHEMA)
+    started = cron.start(jobs, F.col("run_immediately") | (F.col("run_since") <= F.lit(NOW)), NOW, NOW + hour)
+    assert [r.id for r in cron.due(started, NOW).collect()] == []
+    assert {r.id: (r.run_immediately, r.locked_till) for r in started.collect()} == {"a": (False, NOW + hour), "b": (False, NOW + hour), "c": (False, NOW + hour), "d": (False, None)}
+    again = cron.undo_start(started.join(jobs.select("id", F.col("run_immediately").alias("was")), "id"), F.col("id") == "a", F.col("was")).filter("id = 'a'").first()
+    assert again.run_immediately and again.locked_till is None and again.run_log == []
+    outcomes = spark.createDataFrame([("a", None), ("b", "boom"), ("c", None)], "id string, error string")
+    done = {r.id: r for r in cron.finish(started, outcomes, NOW + timedelta(minutes=1)).collect()}
+    assert done["a"].run_since == NOW + hour + timedelta(minutes=1) and done["c"].run_since == NOW + timedelta(minutes=1, seconds=5)
+    assert done["b"].run_since > NOW and done["b"].run_since.hour == 12 and done["d"].run_since == NOW + hour
+    assert [(x.started_at, x.finished_at, x.error) for x in done["b"].run_log] == [(NOW, NOW + timedelta(minutes=1), "boom"), (NOW - 9 * hour, NOW - 8 * hour, None)]
+    assert {r.id: r.status for r in cron.listing(cron.finish(started, outcomes, NOW), NOW).collect()} == {"a": "idle", "b": "failed", "c": "idle", "d": "idle"}
+    given = cron.finish(started, outcomes.withColumn("next_run", F.lit(LATER).cast("timestamp_ntz")), NOW)
+    assert {r.run_since for r in given.filter("id <> 'd'").collect()} == {LATER}
+
+
+def test_handlers_of_many_tasks_throttle_and_wait(spark, schema):
+    claimed = made(spark, schema, task="a").unionByName(made(spark, schema, task="b")).unionByName(made(spark, schema, task="b", source_doc_id=2)).unionByName(made(spark, schema, task="b", source_doc_id=3))
+
+    def slow(record):
+        if record["source_doc_id"] == 2:
+            raise Throttle(LATER)
+        if record["source_doc_id"] == 3:
+            raise Defer("1m", throttle="2m")
+
+    def around(run):
+        run()
+        raise RuntimeError("after")
+
+    said = {(r.task, r.source_doc_id): r for r in run_handlers(claimed, {"a": lambda r: Throttle("10s"), "b": slow}, NOW).collect()}
+    assert said["a", 1].outcome == "completed" and said["a", 1].throttle == NOW + timedelta(seconds=10) and said["b", 1].throttle is None
+    assert said["b", 2].throttle == LATER and said["b", 3].outcome == "deferred" and said["b", 3].until == NOW + timedelta(minutes=1) and said["b", 3].throttle == NOW + timedelta(minutes=2)
+    assert {r.error for r in run_handlers(claimed, lambda r: None, NOW, around).collect()} == {"after"}
+
+
+def test_worker_claims_runs_and_finalizes(spark, schema, empty, tmp_path):
+    calls = f"{tmp_path}/calls"
+
+    def handler(record):
+        with open(calls, "a") as f:
+            f.write(f"{record['task']} {record['source_doc_id']} {record['document']['price']}\n")
+        if record["source_doc_id"] == 2:
+            raise ValueError("boom")
+        if record["source_doc_id"] == 5:
+            raise Throttle("1h")
+
+    rows = source(spark, (1, "a", 5), (2, "a", 6), (4, "a", 9), (5, "a", 5))
+    sources = Sources(spark, {"src": lambda s: rows})
+    task = TaskDefinition("t", "src", "id", {"kind": "a"}, {"price": 1}, handler=handler, retry=RetryPolicy("fixed", interval="1h"))
+    other = TaskDefinition("u", "src", "id", {"kind": "a"}, {"price": 1}, handler=lambda r: None)
+    state = planner.plan(rows, [task, other], empty, NOW).unionByName(made(spark, schema, source_doc_id=3, next_run_at=NOW))
+    state = state.withColumn("observed", F.when(F.col("source_doc_id") == 4, F.struct(F.lit(8).cast("long").alias("price"))).otherwise(F.col("observed")))
+    at = [LATER]
+    store = StateStore(spark, f"file://{tmp_path}/state", 4)
+    store.write(state)
+    worker = Worker(store, sources, Registry(task, other), empty, lambda: at[0], n=100)
+    assert worker.round() == 9 and worker.round() == 0
+    assert sorted(open(calls).read().split("\n")[:-1]) == ["t 1 5", "t 2 6", "t 5 5"]
+    end = {(r.task, r.source_doc_id): r for r in store.read(empty).collect()}
+    assert end["t", 1].status == "completed" and end["t", 2].status == "pending" and end["t", 2].last_error == "boom" and end["t", 3].status == end["t", 4].status == "completed" and end["u", 2].status == "completed"
+    assert worker.waiting == {"t": LATER + timedelta(hours=1)}
+    at[0] = LATER + timedelta(minutes=61)
+    assert worker.round() == 1 and open(calls).read().count("t 2 6") == 2
+    assert [n for n in store._names("scratch")] == []
+
+
+def test_a_batch_reads_and_writes_its_buckets_only(spark, schema, empty, tmp_path):
+    store = StateStore(spark, f"file://{tmp_path}/state", 32)
+    rows = spark.range(400).select(F.col("id"), F.lit("a").alias("kind"), (F.col("id") % 7).cast("long").alias("price"))
+    rows = rows.select(*(F.col(c).cast(t) for c, t in source(spark, (1, "a", 5)).dtypes))
+    store.write(planner.plan(rows, [TASK], empty, NOW))
+    assert len(store.current()[1]) == 32 and store.read(empty).count() == 400
+    before = dict(store.current()[1])
+    for keys in ([5], [5, 6, 7, 8]):
+        touched = store.buckets_of(spark.createDataFrame([(k,) for k in keys], "source_doc_id long"))
+        assert len(touched) <= len(keys)
+        part = store.read(empty, touched)
+        assert part.count() < 400 * (len(keys) + 1) / 16
+        store.write(planner.plan(rows.filter(F.col("id").isin(keys)), [TASK], part, LATER), 7, touched)
+        changed = {b for b, f in store.current()[1].items() if before[b] != f}
+        assert changed == set(touched) and store.read(empty).count() == 400 and store.current()[2] == 7
+        before = dict(store.current()[1])
+    store.write(store.read(empty, [0]).limit(0), 8, [0])
+    assert 0 not in store.current()[1] and store.read(empty).count() < 400
+    n = store.read(empty).count()
+    store.expire(1)
+    assert store._versions() == [4] and store.read(empty).count() == n
+    kept = sum(len([x for x in store._names(f"data/{d}") if x.startswith("bucket=")]) for d in store._names("data"))
+    assert kept == len(store.current()[1]) == 31
+
+
+def test_events_of_a_narrow_range_read_a_part_of_the_source(spark, schema, empty, tmp_path):
+    spark.range(0, 4000, 1, 8).select("id", F.lit("a").alias("kind"), F.lit(1).cast("long").alias("price")).write.parquet(f"{tmp_path}/src.parquet")
+    sources = Sources.of_parquet(spark, str(tmp_path), ["src"])
+    events = spark.createDataFrame([(1, NOW, "src", 10, "insert"), (2, NOW, "src", 20, "delete")], streaming.EVENT)
+    out = streaming.apply_events(events, sources, Registry(TASK), empty, LATER, streaming.key_ranges(events))
+    assert set(by_id(out)) == {10} and "GreaterThanOrEqual(id,10), LessThanOrEqual(id,20)" in out._jdf.queryExecution().toString()
+
+
+def test_cold_start_reconciles_and_follows(spark, schema, empty, tmp_path):
+    rows = source(spark, (1, "a", 5), (2, "a", 6))
+    folder = f"file://{tmp_path}/events"
+    spark.createDataFrame([(1, LATER, "src", 2, "update"), (2, NOW - timedelta(days=9), "src", 77, "delete")], streaming.EVENT).coalesce(1).write.parquet(folder)
+    store = StateStore(spark, f"file://{tmp_path}/state", 4)
+    q, controls = streaming.cold_start(streaming.change_stream(spark, folder), Sources(spark, {"src": lambda s: rows}), Registry(TASK), store, empty, f"file://{tmp_path}/check", lambda: LATER)
+    q.awaitTermination(120)
+    assert q.exception() is None and set(by_id(store.read(empty))) == {1, 2} and controls["t"].reconciled
