@@ -7,9 +7,10 @@ an insult and the mention of a group, say, which additive weights miss. The pair
 linear in the number of terms.
 
 Training takes a sample of at most `sample` labelled rows, chosen by a hash of the id. Of its terms the `terms` with the
-largest likelihood ratio between the classes are kept; an L1 penalty then leaves weight only where a term explains
-labels that the others don't, and factors are fitted to the terms. All that the driver gets is the chosen terms and, for
-each sampled row, which of them it has.
+largest likelihood ratio between the classes are kept, and the `frequent` most frequent others; an L1 penalty then leaves
+weight only where a term explains labels that the others don't. Terms that explain more in pairs get factors, which are
+fitted together with the weights and stay only if they lower the loss on rows held back. All that the driver gets is the
+chosen terms and, for each sampled row, which of them it has.
 
 Defined results: null and empty texts have no terms and get the score of the bias; rows without a label teach nothing;
 with labels of one class or none all scores are the class's share, 0 without labels; repeated rows count as often as
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +40,18 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Toxicity:
-    """factors: length of a term's vector. l1 chooses terms, l2 (over the number of
-    rows) holds weights and factors."""
+    """sample: most labelled rows to learn from. terms: chosen by labels; frequent: further ones by frequency, as a term
+    that tells nothing alone may tell something with another. factors: length of a term's vector. l1 chooses terms, l2
+    (over the number of rows) holds weights and factors. steps, rate: of the descent."""
 
     sample: int = 20_000
     terms: int = 512
+    frequent: int = 128
     factors: int = 4
     l1: float = 5e-4
     l2: float = 0.15
     steps: int = 400
+    rate: float = 0.05
     seed: int = 5
 
     def _terms(self, rows: DataFrame) -> DataFrame:
@@ -86,7 +91,10 @@ class Toxicity:
             return x * F.log((x + 1e-9) / (p * size)) + (size - x) * F.log((size - x + 1e-9) / ((1 - p) * size + 1e-9))
 
         ratio = entropy(F.col("a"), F.col("b"), n[0]) + entropy(F.col("b"), F.col("a"), n[1])
-        best = np.sort(np.array([r.term for r in seen.orderBy(F.desc(ratio), "term").limit(self.terms).collect()], np.int64).view(np.uint64))
+        chosen = {r.term for r in seen.orderBy(F.desc(ratio), "term").limit(self.terms).collect()}
+        often = [r.term for r in seen.orderBy(F.desc(F.col("a") + F.col("b")), "term").limit(self.terms + self.frequent).collect()]
+        chosen |= set([t for t in often if t not in chosen][: self.frequent])
+        best = np.sort(np.array(sorted(chosen), np.int64).view(np.uint64))
         known = F.array(*(F.lit(int(x)) for x in best.view(np.int64).tolist())) if len(best) else F.array().cast("array<long>")
         got = rows.select("label", F.array_intersect("terms", known).alias("terms")).collect()
         rows.unpersist()
@@ -96,9 +104,9 @@ class Toxicity:
         order = np.lexsort((np.array([r.label for r in got]), *(x.T[:64])))
         return self._train(best, x[order], np.array([r.label for r in got], np.float32)[order])
 
-    def _train(self, terms: np.ndarray, x: np.ndarray, y: np.ndarray) -> ToxicityModel:
-        """The convex part first, by accelerated proximal gradient: L1 chooses the terms with weight, which are then fitted
-        anew without its shrinkage. Then factors on what the weights leave."""
+    def _additive(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+        """Weights and bias by accelerated proximal gradient: L1 chooses the terms with weight, which are then fitted anew
+        without its shrinkage."""
         n, k = x.shape
         u = np.ones(k, np.float32)
         for _ in range(20):  # the largest eigenvalue of x'x
@@ -116,15 +124,67 @@ class Toxicity:
                 new_b = c - rate * float(e.sum())
                 z, c = new + i / (i + 3) * (new - w), new_b + i / (i + 3) * (new_b - b)
                 w, b = new.astype(np.float32), new_b
-        v = np.random.default_rng(self.seed).normal(0, 0.05, (k, self.factors)).astype(np.float32)
-        size = np.full(v.shape, 1e-6, np.float32)
-        for _ in range(self.steps // 4):
-            s = x @ v
-            e = (_logistic(b + x @ w + (s * s - x @ (v * v)).sum(axis=1) / 2) - y) / n
-            d = x.T @ (e[:, None] * s) - (x.T @ e)[:, None] * v + self.l2 / n * v
-            size += d * d
-            v = v - 0.02 * d / np.sqrt(size)
-        return ToxicityModel(terms, w.astype(float), v.astype(float), b)
+        return w, b
+
+    def _interacting(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray]:
+        """Terms whose presence together explains labels that their weights don't, and factors to begin with: the largest
+        eigenvectors of the matrix of these pairs. A pair counts when the labels' sum over rows with both differs from
+        what the weights expect by more than chance does among so many pairs."""
+        p = _logistic(b + x @ w).astype(np.float32)
+        e, var = x.T @ ((y - p)[:, None] * x), x.T @ ((p * (1 - p))[:, None] * x)
+        z = np.where(var > 0.5, e / np.sqrt(np.maximum(var, 0.5)), 0)
+        np.fill_diagonal(z, 0)
+        limit = np.sqrt(2 * np.log(max(len(w) ** 2 / 2, 2))) + 1
+        on = np.flatnonzero((np.abs(z) > limit).any(axis=1))
+        if not len(on):
+            return on, np.zeros((0, self.factors), np.float32)
+        pair = np.where(np.abs(z) > limit, e / (var + 1), 0)[np.ix_(on, on)]
+        value, vector = np.linalg.eigh(pair.astype(float))
+        take = np.argsort(-value)[: self.factors]
+        v = np.zeros((len(on), self.factors))
+        v[:, : len(take)] = vector[:, take] * np.sqrt(np.clip(value[take], 0, None))
+        return on, (v + np.random.default_rng(self.seed).normal(0, 0.01, v.shape)).astype(np.float32)
+
+    def _descend(self, x: np.ndarray, y: np.ndarray, on: np.ndarray, w: np.ndarray, b: float, v: np.ndarray, steps: int) -> Iterator[tuple[np.ndarray, float, np.ndarray]]:
+        """Weights, bias and factors together, after each tenth step of adaptive gradients."""
+        n, at = len(y), [w.astype(np.float32), np.array([b], np.float32), v]
+        xv = np.ascontiguousarray(x[:, on])
+        first, second = [np.zeros_like(a) for a in at], [np.zeros_like(a) for a in at]
+        for i in range(1, steps + 1):
+            w, b, v = at
+            s = xv @ v
+            e = ((_logistic(b[0] + x @ w + (s * s - xv @ (v * v)).sum(axis=1) / 2) - y) / n).astype(np.float32)
+            grad = (x.T @ e + self.l2 / n * w, np.array([e.sum()]), xv.T @ (e[:, None] * s) - (xv.T @ e)[:, None] * v + self.l2 / n * v)
+            for a, g, m, q in zip(at, grad, first, second, strict=True):
+                m += 0.1 * (g - m)
+                q += 0.001 * (g * g - q)
+                a -= self.rate * (m / (1 - 0.9**i)) / (np.sqrt(q / (1 - 0.999**i)) + 1e-8)
+            if i % 10 == 0:
+                yield at[0].copy(), float(at[1][0]), at[2].copy()
+
+    def _train(self, terms: np.ndarray, x: np.ndarray, y: np.ndarray) -> ToxicityModel:
+        """Additive weights first; then, where terms interact, weights and factors together, for as many steps as lower the
+        loss on a fifth of the rows that is held back (equal rows on the same side). Factors that don't lower it go."""
+        w, b = self._additive(x, y)
+        factors = np.zeros((len(terms), self.factors), np.float32)
+        on, v = self._interacting(x, y, w, b)
+        back = np.array([crc32(np.packbits(r > 0).tobytes()) % 5 == 0 for r in x])
+        if len(on) and len(np.unique(y[back])) == len(np.unique(y[~back])) == 2:
+            used = np.flatnonzero((w != 0) | np.isin(np.arange(len(w)), on))
+            small, inner = np.ascontiguousarray(x[:, used]), np.searchsorted(used, on)
+
+            def loss(w: np.ndarray, b: float, v: np.ndarray) -> float:
+                t = small[back]
+                s = t[:, inner] @ v
+                p = np.clip(_logistic(b + t @ w + (s * s - t[:, inner] @ (v * v)).sum(axis=1) / 2), 1e-7, 1 - 1e-7)
+                return -float(np.mean(np.where(y[back] > 0, np.log(p), np.log(1 - p))))
+
+            losses = [loss(w[used], b, np.zeros_like(v)), *(loss(*a) for a in self._descend(small[~back], y[~back], inner, w[used], b, v, self.steps))]
+            best = int(np.argmin(losses))
+            if best and losses[best] < 0.98 * losses[0]:
+                for w_used, b, v in self._descend(small, y, inner, w[used], b, v, 10 * best):
+                    w[used], factors[on] = w_used, v
+        return ToxicityModel(terms, w.astype(float), factors.astype(float), b)
 
 
 @dataclass(frozen=True)

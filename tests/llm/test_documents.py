@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from dataclasses import replace
 
 import duckdb
 import numpy as np
@@ -17,8 +18,8 @@ from tasktide.llm.language_id import LanguageId, keep_identified
 from tasktide.llm.near_dedup import NearDedup, drop_near_duplicates, near_duplicates
 from tasktide.llm.packing import Packing, pack
 from tasktide.llm.queries import QUERIES, SQL
-from tasktide.llm.toxicity import Toxicity
-from tasktide.llm.words import NOT_SPACE, slices
+from tasktide.llm.toxicity import PREFIXES, Toxicity, ToxicityModel
+from tasktide.llm.words import ALNUM, NOT_SPACE, slices
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -208,12 +209,53 @@ def test_toxicity_learns_terms_and_pairs(spark):
         rows.append((i, " ".join(w)))
         labels.append((i, int((a and b) or c)))
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, label int")
-    model = Toxicity(steps=1200, factors=8, l1=1e-3).fit(docs.filter("doc_id < 1000"), marks)
+    model = Toxicity().fit(docs.filter("doc_id < 1000"), marks)
     got = {r.doc_id: r.score for r in model.score(docs, ["doc_id"]).collect()}
     held = [(got[i], y) for i, y in labels if i >= 1000]
     assert np.mean([(s >= 0.5) == y for s, y in held]) > 0.97
 
 
+@pytest.mark.parametrize("n", [1000, 20_000])
+def test_toxicity_learns_what_no_additive_model_can(spark, n):
+    """Each of two words alone is toxic, both together are not; as shipped, on few and on many rows."""
+    rng = np.random.default_rng(2)
+    rows, labels = [], []
+    for i in range(n + 2000):
+        a, b = (rng.random(2) < 0.3).tolist()
+        rows.append((i, " ".join([*(f"p{k}" for k in rng.integers(0, 200, 12)), *["insult"] * a, *["group"] * b])))
+        labels.append((i, int(a != b)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, label int")
+    model = Toxicity().fit(docs, marks.filter(F.col("doc_id") < n))
+
+    def right(model):
+        got = {r.doc_id: r.score for r in model.score(docs.filter(F.col("doc_id") >= n), ["doc_id"]).collect()}
+        return np.mean([(got[i] >= 0.5) == y for i, y in labels[n:]])
+
+    assert right(model) > 0.97 and right(replace(model, factors=model.factors * 0)) < 0.95
+
+
+def test_factors_that_do_not_help_go(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"p{k}" for k in rng.integers(0, 100, 12))) for i in range(1000)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(rng.random() < 0.3)) for i in range(1000)], "doc_id long, label int")
+    assert not Toxicity().fit(docs, marks).factors.any()
+
+
+def test_toxicity_scores_equal_brute_force(spark, docs):
+    """Sums over terms and over all pairs of terms, on texts of the sample table and with factors everywhere."""
+    rows = docs.select("doc_id", "text").limit(60).collect()
+    known = sorted({int(h) for r in rows for _, _, t in slices(pa.array([r.text], pa.string())) for h in t.lower().terms(ALNUM, PREFIXES)[0][::7]})
+    rng = np.random.default_rng(4)
+    w, v, bias = rng.normal(0, 0.05, len(known)), rng.normal(0, 0.05, (len(known), 3)), -0.3
+    at = {h: i for i, h in enumerate(known)}
+    frame = spark.createDataFrame([(r.doc_id, r.text) for r in rows] + [(-1, None), (-2, "")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in ToxicityModel(np.array(known, np.uint64), w, v, bias).score(frame, ["doc_id"]).collect()}
+    for r in frame.collect():
+        mine = sorted({at[int(h)] for _, _, t in slices(pa.array([r.text], pa.string())) for h in t.lower().terms(ALNUM, PREFIXES)[0] if int(h) in at})
+        total = bias + sum(w[i] for i in mine) + sum(float(v[i] @ v[k]) for n, i in enumerate(mine) for k in mine[:n])
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-np.clip(total, -30, 30)))) < 1e-9
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(5, 1), (6, 0), (4, 0), (None, 1), (7, None)], "doc_id long, label int")
     model = Toxicity().fit(odd, labels)
