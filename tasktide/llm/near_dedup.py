@@ -13,7 +13,8 @@ What is skipped lies within one component, so no component changes by it. Every
 
 Defined results: a null or wordless text has an empty set, n_shingles 0 and its own component; fewer words than a
 shingle count as one shingle; a row without doc_id takes no part (component_id null, kept true); rows that repeat a
-doc_id are one document and get the same result; other columns are ignored.
+doc_id are one document, linked with whatever any of its texts is similar to, so they get the same component (but for
+empty texts, which have their own id); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -128,32 +129,42 @@ class NearDedup:
         """One row per row of docs: doc_id, n_shingles, component_id, kept."""
         work = Workspace(docs.sparkSession, "near-dedup")
         sketch = work.keep(self.sketch(docs), "sketch")
-        real = sketch.filter("n_shingles > 0 and doc_id is not null")
-        of_set = real.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        names = work.keep(sketch.select("doc_id", "n_shingles", "set_a", "set_b"), "names")
+        usable = "n_shingles > 0 and doc_id is not null"
+        of_set = sketch.filter(usable).groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
         posts = of_set.select("rep", F.col("n").cast("int").alias("n"), F.explode("bands").alias("bucket"))
         shared = posts.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1")
         posts = work.keep(posts.join(shared, "bucket"), "posts")
+        work.drop("sketch")
         ids = posts.select(F.col("rep").alias("doc_id")).distinct()
-        sets = work.keep(self.shingles(docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "sets")
+        texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
+        sets = work.keep(self.shingles(texts.withColumn("hash", F.xxhash64("text")).dropDuplicates(["doc_id", "hash"])), "sets")
+        rep = names.filter(usable).groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
 
         degree = posts.groupBy("rep").agg(F.sum("c").alias("degree"))
         ranked = posts.join(degree, "rep")
-        edges = work.keep(self._confirm(self._spokes(posts, ranked, F.struct("degree", -F.col("rep"))), sets), "edges-0")
+        edges = self._confirm(self._spokes(posts, ranked, F.struct("degree", -F.col("rep"))), sets)
+        edges = work.keep(edges.unionByName(self._of_one_id(names.filter(usable), rep)), "edges-0")
         stars = components(edges, work, "stars-0")
 
         apart = work.keep(self._apart(posts, stars), "apart")
         edges = work.keep(self._within(self._blocks(apart, work), sets), "edges-1")
         stars = components(edges.unionByName(stars.select(F.col("v").alias("a"), F.col("m").alias("b"))), work, "stars-1")
 
-        for name in ("posts", "sets", "edges-0", "edges-1", "apart"):
-            work.drop(name)  # what the result reads is the sketch and the stars
+        for name in ("posts", "sets", "edges-0", "edges-1", "apart", "low"):
+            work.drop(name)  # what the result reads is the names and the stars
 
-        rep = of_set.select("set_a", "set_b", "rep")
         rep = rep.join(stars.select(F.col("v").alias("rep"), "m"), "rep", "left").select("set_a", "set_b", F.coalesce("m", "rep").alias("found"))
-        plain = sketch.select("doc_id", "n_shingles", *(F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("set_a", "set_b")))
+        plain = names.select("doc_id", "n_shingles", *(F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("set_a", "set_b")))
         out = plain.join(rep, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
         return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), work
 
+    def _of_one_id(self, names: DataFrame, rep: DataFrame) -> DataFrame:
+        """Edges from a doc_id that has several sets to the smallest doc_id of each of them."""
+        name = F.struct("set_a", "set_b")
+        several = names.groupBy("doc_id").agg(F.min(name).alias("low"), F.max(name).alias("high")).filter("low <> high").select("doc_id")
+        return names.join(several, "doc_id", "left_semi").join(rep, ["set_a", "set_b"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
+
     def _spokes(self, posts: DataFrame, ranked: DataFrame, rank) -> DataFrame:
         """Pairs of each bucket's highest-ranked member with its other members."""
         centre = ranked.groupBy("bucket").agg(F.max(F.struct(rank.alias("rank"), "rep", "n")).alias("x"))
@@ -164,7 +175,8 @@ class NearDedup:
     def _blocks(self, apart: DataFrame, work: Workspace) -> DataFrame:
         """rep, n, part and, for each pair of blocks of its cluster that one of them is rep's, cluster, x, y and whether
         rep is in x. A cluster is all that shared buckets connect; a block has about block_shingles shingles."""
-        low = apart.groupBy("bucket").agg(F.min("rep").alias("low"))
+        # Written, so that its size is known before the join: where it is small, the members of a hot bucket stay where they are.
+        low = work.keep(apart.groupBy("bucket").agg(F.min("rep").alias("low")), "low")
         linked = components(apart.join(low, "bucket").select(F.col("rep").alias("a"), F.col("low").alias("b")), work, "clusters")
         reps = apart.select("rep", "n", "part").distinct().join(linked.select(F.col("v").alias("rep"), "m"), "rep", "left").withColumn("cluster", F.coalesce("m", "rep")).drop("m")
         blocks = reps.groupBy("cluster").agg(F.ceil(F.sum("n") / self.block_shingles).cast("int").alias("blocks"))
@@ -224,11 +236,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80) ->
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80) -> DataFrame:
-    """docs with one document of each component: that with the smallest doc_id. Rows without doc_id stay."""
+    """docs with one document of each component: that with the smallest doc_id. Rows without doc_id stay. Of rows that
+    repeat doc_id and text one stays; of those that repeat a doc_id with other texts, which are one document, all or none."""
     found, work = NearDedup(shingle=shingle, similarity=similarity).classes(docs)
     gone = work.keep(found.filter("not kept").select("doc_id").distinct(), "gone")
     kept = docs.join(gone, "doc_id", "left_anti")
     repeated = work.keep(docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
     # Only rows whose id is repeated are shuffled to be made one.
-    more = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    more = kept.join(repeated, "doc_id", "left_semi").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
     return kept.join(repeated, "doc_id", "left_anti").unionByName(more).select(docs.columns)

@@ -109,6 +109,18 @@ def test_near_duplicates_of_odd_rows(spark, odd, empty):
     assert near_duplicates(empty).count() == 0 and drop_near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_with_ids_of_several_texts(spark):
+    """Document 5 has three texts: of one 3 has a copy, of another 9; they are one component by it, and 7 is not in it."""
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcd"}
+    rows = [(3, text["a"]), (5, text["a"]), (5, text["b"]), (5, text["c"]), (5, text["c"]), (9, text["b"] + " more"), (7, text["d"]), (7, "other words here"), (7, text["d"]), (8, None), (8, text["d"])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in (NearDedup(shingle=2), NearDedup(shingle=2, block_shingles=30)):
+        got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in options.classes(frame)[0].collect()}
+        assert got == {(3, 39): (3, True), (5, 39): (3, False), (9, 40): (3, False), (7, 39): (7, True), (7, 2): (7, True), (8, 0): (8, True), (8, 39): (7, False)}
+    kept = sorted(tuple(r) for r in drop_near_duplicates(frame, 2).collect())
+    assert kept == sorted([(3, text["a"]), (7, text["d"]), (7, "other words here")])
+
+
 def test_line_dedup_equals_sql(spark, odd, empty):
     db = duckdb.connect()
     db.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
