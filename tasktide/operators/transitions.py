@@ -26,8 +26,9 @@ def is_due(now: datetime) -> Column:
 
 
 def due(state: DataFrame, now: datetime, n: int, tasks: list[str] | None = None) -> DataFrame:
-    """The n records that are due first; a top-k, no full sort."""
-    found = state.filter(is_due(now)) if tasks is None else state.filter(is_due(now) & F.col("task").isin(tasks))
+    """The n records that are due first; a top-k, no full sort. Time and tasks are plain comparisons that reach the scan."""
+    found = state.filter(F.col("next_run_at") <= _at(now))
+    found = found if tasks is None else found.filter(F.col("task").isin(tasks))
     return found.orderBy("next_run_at", *KEYS).limit(n)
 
 

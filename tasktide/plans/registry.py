@@ -28,4 +28,4 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-from . import filters, tasks  # noqa: E402,F401  they register their queries
+from . import filters, live, tasks  # noqa: E402,F401  they register their queries

@@ -31,7 +31,7 @@ class StateStore:
     new folders for the buckets that it is given, and its pointer row last, so what is read and written grows with the keys
     of a batch and not with the state. A reader sees whole versions only, a failed write leaves the old one in place, and
     files are never overwritten while they are read. A bucket has one folder, so there is nothing to compact; expire()
-    deletes old versions."""
+    deletes old versions. Rows of a bucket are in order of next_run_at, so a scan for what is due skips row groups."""
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
@@ -74,7 +74,8 @@ class StateStore:
         version, held, _ = self.current()
         folder = f"{version + 1}-{uuid.uuid4().hex[:8]}"
         rows = state.withColumn("bucket", self._bucket(F.col("source_doc_id")))
-        rows.repartition(max(1, len(only) if only is not None else self.buckets), "bucket").write.partitionBy("bucket").parquet(f"{self.root}/data/{folder}")
+        rows = rows.repartition(max(1, len(only) if only is not None else self.buckets), "bucket").sortWithinPartitions("bucket", "next_run_at")
+        rows.write.partitionBy("bucket").parquet(f"{self.root}/data/{folder}")
         new = {int(n.partition("=")[2]): folder for n in self._names(f"data/{folder}") if n.startswith("bucket=")}
         kept = {} if only is None else {b: f for b, f in held.items() if b not in set(only)}
         self.spark.createDataFrame([(kept | new, batch)], "buckets map<int,string>, batch long").coalesce(1).write.parquet(f"{self.root}/versions/{version + 1}")

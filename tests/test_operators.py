@@ -91,6 +91,14 @@ def test_claims_take_the_first_due_and_expired_locks(spark, schema):
     assert transitions.due(state, now, 9, tasks=["other"]).count() == 0
 
 
+def test_what_is_due_reaches_the_scan(spark, schema, empty, tmp_path):
+    state = made(spark, schema, next_run_at=NOW)
+    store = StateStore(spark, f"file://{tmp_path}/state", 2)
+    store.write(state)
+    plan = transitions.due(store.read(empty), NOW, 5, ["t"])._jdf.queryExecution().toString()
+    assert "LessThanOrEqual(next_run_at" in plan
+
+
 def outcome(spark, kind, error=None, until=None, ms=7):
     return spark.createDataFrame([("t", 1, kind, ms, error, until)], "task string, source_doc_id long, outcome string, duration_ms long, error string, until timestamp_ntz")
 
