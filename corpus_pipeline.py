@@ -1,6 +1,11 @@
 """Corpus preparation for training: language identification, line dedup, near-duplicate removal, benchmark
 decontamination and packing. Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all
-but the last return the columns of documents."""
+but the last return the columns of documents, whatever these are besides doc_id, text, lang, source and n_chars.
+
+Defined results: documents with null, empty or letterless text have no language and go with the first stage, and if no
+document has a language all do; a null source is a source of its own; rows that repeat doc_id and text are one document
+after near dedup, rows of one doc_id with other texts stay or go together; rows without doc_id stay, each on its own; a text
+of any length is read whole; an empty table gives an empty result, and an empty benchmark contaminates nothing."""
 
 from __future__ import annotations
 
