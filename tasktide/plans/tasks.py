@@ -697,3 +697,6 @@ def handler_throttles(spark, sf_dir):
     due = records(spark, sf_dir).filter(transitions.is_due(NOW))
     said = worker.outcomes(due, Sources.of_parquet(spark, sf_dir, ["orders"]), WORKERS, NOW)
     return said.groupBy("task").agg(_epoch(F.max("throttle")).alias("until_ms")).filter("until_ms is not null")
+
+
+from . import live  # noqa: E402,F401  it registers its queries, which build on these
