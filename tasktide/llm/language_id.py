@@ -3,15 +3,16 @@
 A text is a vector of hashed byte trigrams (ASCII in lower case, everything but letters a space), 1 + log(count) times
 the inverse document frequency, normalised to length 1. Each language has several centroids, found by spherical
 k-means, since one language has several kinds of text. The language of the nearest centroid by cosine is predicted.
-A text is rejected when its cosine is far below that of nearly all of the nearest centroid's own training texts; the
-limit falls with the square root of the length for texts under 100 trigrams, whose cosines are low by nature.
+A text is rejected when its cosine is far below that of nearly all of its language's own training texts. Cosines of texts
+under 100 trigrams are low by nature and are compared after division by the square root of length / 100.
 
 Document frequencies and the number of texts of a language cover all training rows; the clustering takes a sample of
-at most `sample` rows (by a hash of the id, each language in equal parts), so it needs the same memory at any size.
+about `sample` different rows (drawn by a hash of id and text, each language in equal parts), so it needs the same memory at
+any size. The driver gets a few numbers for each language and centroid.
 
 Defined results: null texts and texts without a letter have the language `und`, score 0 and are rejected; with no
 training rows every language is `und`; rows with a null language are predicted but not learned from; repeated rows
-count as often as they occur.
+count as often as they occur, but once in the sample.
 """
 
 from __future__ import annotations
@@ -69,16 +70,21 @@ def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(norm, 1e-12)
 
 
+def _by_length(length: np.ndarray) -> np.ndarray:
+    """What cosines of texts of so many trigrams are divided by."""
+    return np.sqrt(np.minimum(1, length / 100))
+
+
 @dataclass(frozen=True)
 class LanguageId:
     """bits: log2 of hashed trigrams. centroids: of each language. sample: rows for clustering. far: a text is rejected
-    whose cosine is below that share of its centroid's lower quantile of training cosines."""
+    whose cosine is below that share of the lower quantile of its language's training cosines."""
 
     bits: int = 12
     centroids: int = 4
     sample: int = 3000
-    quantile: float = 0.005
-    far: float = 0.25
+    quantile: float = 0.01
+    far: float = 0.3
     seed: int = 11
 
     def fit(self, train: DataFrame) -> LanguageModel:
@@ -111,18 +117,21 @@ class LanguageId:
         def cluster(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             """Spherical k-means over one language's part of the sample."""
             pdf = pdf.sort_values(["key", "text"], kind="stable")
-            x = np.concatenate([vectors(trigrams(t, width), idf) for _, _, t in slices(pa.array(pdf["text"], pa.string()), rows=250)])
+            counts = np.concatenate([trigrams(t, width) for _, _, t in slices(pa.array(pdf["text"], pa.string()), rows=250)])
+            length = counts.sum(axis=1)
+            x = vectors(counts, idf)
             c = x[np.random.default_rng(seed).permutation(len(x))[: min(k, len(x))]]
             for _ in range(15):
                 near = (x @ c.T).argmax(axis=1)
                 c = np.array([x[near == j].sum(axis=0) if (near == j).any() else c[j] for j in range(len(c))])
                 c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-            s = x @ c.T
-            near, best = s.argmax(axis=1), s.max(axis=1)
-            low = [float(np.quantile(best[near == j], quantile)) if (near == j).any() else 0.0 for j in range(len(c))]
+            best = (x @ c.T).max(axis=1)[length > 0] / _by_length(length[length > 0])
+            low = float(np.quantile(best, quantile)) if len(best) else 0.0
             return pd.DataFrame({"lang": key[0], "centroid": list(c.astype(np.float32)), "low": low})
 
-        made = rows.filter(part < F.coalesce(F.try_element_at(rates, F.col("lang")), F.lit(0.0))).groupBy("lang").applyInPandas(cluster, "lang string, centroid array<float>, low double")
+        drawn = rows.filter(part < F.coalesce(F.try_element_at(rates, F.col("lang")), F.lit(0.0)))
+        drawn = drawn.withColumn("hash", F.xxhash64("text")).dropDuplicates(["lang", "key", "hash"]).select("key", "text", "lang")
+        made = drawn.groupBy("lang").applyInPandas(cluster, "lang string, centroid array<float>, low double")
         made = sorted(made.collect(), key=lambda r: (r.lang, r.low, r.centroid[:8]))
         return LanguageModel(self, idf, [r.lang for r in made], np.array([r.centroid for r in made], np.float32).reshape(-1, size), np.array([r.low for r in made]))
 
@@ -158,7 +167,7 @@ class LanguageModel:
                         best = s.argmax(axis=1)
                         near = np.where(some, best, near)
                         score = np.where(some, np.clip(s.max(axis=1), 0, 1), 0.0)
-                        limit = np.where(some, o.far * low[best] * np.sqrt(np.minimum(1, length / 100)), np.inf)
+                        limit = np.where(some, o.far * low[best] * _by_length(length), np.inf)
                     yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, end - start) for i in range(n_kept)), pa.array(langs[near], pa.string()), pa.array(score.astype(np.float64)), pa.array(score < limit)], columns)
 
         return chosen.mapInArrow(run, out)
