@@ -1,7 +1,8 @@
 """Boilerplate lines by site-relative frequency.
 
 A line is boilerplate on a host when the pages of that host that contain it are more than `ratio` of the host's pages
-and at least `least`. Such lines are removed from every page of the host; all other lines stay in place.
+and at least `least`: on hosts of a few pages every line is on more than a tenth of them, and two pages that share a line
+may as well be a text and its quotation, so a third has to bear it out. Such lines are removed from every page of the host; all other lines stay in place.
 
 Lines are counted by host and a 128-bit hash with map-side sums, so no text is shuffled and a host with most of the
 pages is spread by its lines. A host has at most (its mean number of lines) / ratio boilerplate lines, so their hashes
