@@ -6,9 +6,10 @@ equal payloads that with the smallest page_id is the response, which owns the pa
 Reading joins the two, after every stored payload's digest has been computed anew and compared; records() gives each
 record's original bytes.
 
-Payloads that occur once, nearly all, are written where they are read; only the payloads of digests that occur more than
-once are shuffled, after a map-side reduction to one per digest and task, so a payload that a third of all pages share
-moves a few times. All other joins move digests and headers only.
+Payloads that occur once, nearly all, are written where they are read: a bitmap of the digests that occur more than once, of
+bounded size, tells them from the others, so no join and no shuffle moves them. The others are shuffled after a map-side
+reduction to one per digest and task, so a payload that a third of all pages share moves once for each task. All other joins
+move digests and headers only. Only records(), which gives the original bytes back, joins payloads to headers.
 
 Defined results: null html is an empty payload; equal payloads shorter than `least` bytes are responses all; rows that
 repeat a page_id and its payload are the same record, so both are responses; a null page_id is never referred to while
@@ -44,10 +45,12 @@ def _record_id(page: Column, key: Column) -> Column:
 
 @dataclass(frozen=True)
 class Archive:
-    """root: where the tables are. least: smallest payload that is stored once. date: of the records."""
+    """root: where the tables are. least: smallest payload that is stored once. bits: log2 of the most bits of the bitmap
+    that lets other payloads pass (16 MB). date: of the records."""
 
     root: str
     least: int = 0
+    bits: int = 27
     date: str = "2024-01-01T00:00:00Z"
 
     def write(self, pages: DataFrame) -> Archive:
@@ -61,10 +64,10 @@ class Archive:
         repeated.write.parquet(f"{self.root}/repeated")
         repeated = spark.read.parquet(f"{self.root}/repeated")
 
-        once = rows.select("key", "payload").join(repeated, "key", "left_anti")
-        more = rows.select("key", "payload").join(repeated, "key", "left_semi").dropDuplicates(["key"])
-        for part in (once, more):
-            part.write.mode("append").option("compression", "zstd").parquet(f"{self.root}/payloads")
+        once, more = self._apart(rows.select("key", "payload"), repeated)
+        once.write.option("compression", "zstd").parquet(f"{self.root}/payloads")
+        if more is not None:
+            more.dropDuplicates(["key"]).write.mode("append").option("compression", "zstd").parquet(f"{self.root}/payloads")
 
         other = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
         r = facts.join(repeated, "key", "left").withColumn("revisit", other & (F.col("n") >= self.least))
@@ -87,6 +90,21 @@ class Archive:
             drop(spark, f"{self.root}/{name}")
         return self
 
+    def _apart(self, rows: DataFrame, repeated: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Rows whose key certainly occurs once, and the others: all of repeated keys, and a few more. A bitmap tells, with
+        16 bits for each repeated key, but not above 2 ** `bits`; it is broadcast in pieces of 4 kB."""
+        n = repeated.count()
+        if not n:
+            return rows, None
+        size = min(self.bits, max(16, (16 * n).bit_length()))
+        slot = F.xxhash64("key").bitwiseAND((1 << size) - 1)
+        piece, bit = F.shiftright(slot, 15), slot.bitwiseAND(32767)
+        bitmap = repeated.select(slot.alias("slot")).distinct().groupBy(F.shiftright("slot", 15).alias("piece")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(32767)).alias("on"))
+        byte = F.conv(F.hex(F.substr("on", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        on = F.floor(byte / F.pow(F.lit(2), bit.bitwiseAND(7))) % 2
+        both = rows.withColumn("piece", piece).join(F.broadcast(bitmap), "piece", "left").withColumn("again", F.coalesce(on == 1, F.lit(False)))
+        return both.filter("not again").select("key", "payload"), both.filter("again").select("key", "payload")
+
     def headers(self, spark: SparkSession) -> DataFrame:
         """page_id, key, header, and record_type and refers_to as the header says."""
         text = F.decode("header", "UTF-8")
