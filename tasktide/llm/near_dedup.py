@@ -151,13 +151,15 @@ class NearDedup:
         edges = work.keep(self._within(self._blocks(apart, work), sets), "edges-1")
         stars = components(edges.unionByName(stars.select(F.col("v").alias("a"), F.col("m").alias("b"))), work, "stars-1")
 
+        # Written, so that Spark knows its size and can split the join where very many rows have one set.
+        found = rep.join(stars.select(F.col("v").alias("rep"), "m"), "rep", "left").select("set_a", "set_b", F.coalesce("m", "rep").alias("component_id"))
+        found = work.keep(found, "classes")
         for name in ("posts", "sets", "edges-0", "edges-1", "apart", "low"):
-            work.drop(name)  # what the result reads is the names and the stars
+            work.drop(name)  # what the result reads is the names and the classes
 
-        rep = rep.join(stars.select(F.col("v").alias("rep"), "m"), "rep", "left").select("set_a", "set_b", F.coalesce("m", "rep").alias("found"))
-        plain = names.select("doc_id", "n_shingles", *(F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("set_a", "set_b")))
-        out = plain.join(rep, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
-        return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), work
+        joined = names.filter(usable).join(found, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
+        alone = names.filter(f"not ({usable})").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), work
 
     def _of_one_id(self, names: DataFrame, rep: DataFrame) -> DataFrame:
         """Edges from a doc_id that has several sets to the smallest doc_id of each of them."""
@@ -174,14 +176,23 @@ class NearDedup:
 
     def _blocks(self, apart: DataFrame, work: Workspace) -> DataFrame:
         """rep, n, part and, for each pair of blocks of its cluster that one of them is rep's, cluster, x, y and whether
-        rep is in x. A cluster is all that shared buckets connect; a block has about block_shingles shingles."""
+        rep is in x. A cluster is all that shared buckets connect; a block has about block_shingles shingles.
+
+        Members of a cluster's largest part have blocks of their own, which are paired with the others' blocks only: they are
+        one component already. So a member of a large group of copies is repeated for blocks of what isn't in the group."""
         # Written, so that its size is known before the join: where it is small, the members of a hot bucket stay where they are.
         low = work.keep(apart.groupBy("bucket").agg(F.min("rep").alias("low")), "low")
         linked = components(apart.join(low, "bucket").select(F.col("rep").alias("a"), F.col("low").alias("b")), work, "clusters")
         reps = apart.select("rep", "n", "part").distinct().join(linked.select(F.col("v").alias("rep"), "m"), "rep", "left").withColumn("cluster", F.coalesce("m", "rep")).drop("m")
-        blocks = reps.groupBy("cluster").agg(F.ceil(F.sum("n") / self.block_shingles).cast("int").alias("blocks"))
-        own = F.pmod(F.xxhash64("rep"), "blocks").cast("int")
-        each = reps.join(blocks, "cluster").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        parts = reps.groupBy("cluster", "part").agg(F.sum("n").alias("n"))
+        largest = parts.groupBy("cluster").agg(F.max(F.struct("n", "part")).alias("hub"), F.sum("n").alias("n"))
+        count = lambda n: F.ceil(n / self.block_shingles).cast("int")
+        blocks = largest.select("cluster", F.col("hub.part").alias("hub"), count(F.col("n") - F.col("hub.n")).alias("others"), count(F.col("hub.n")).alias("hubs"))
+        number = F.xxhash64("rep")
+        in_hub = F.col("part") == F.col("hub")
+        own = F.when(in_hub, F.col("others") + F.pmod(number, "hubs")).otherwise(F.pmod(number, "others")).cast("int")
+        facing = F.sequence(F.lit(0), F.when(in_hub, F.col("others")).otherwise(F.col("others") + F.col("hubs")) - 1)
+        each = reps.join(blocks, "cluster").filter("others > 0").withColumn("own", own).withColumn("other", F.explode(facing))
         return each.select("cluster", "rep", "n", "part", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") <= F.col("other")).alias("in_x"))
 
     def _within(self, blocks: DataFrame, sets: DataFrame) -> DataFrame:
