@@ -7,12 +7,11 @@ ordered set is its first, rarest shingle; a window whose rarest shingle is in no
 windows on that token alone; the token's place bounds the window's start and end, which must lie inside the document;
 then the words of exactly that window-sized part of the document are compared with the window's.
 
-Two passes read the documents, one to count the benchmark's shingles and one for candidates. Each carries a bitmap of
-fixed size (2 ** `bits` bits) as a first filter, whatever the size of the benchmark; tables are joined on the shingles
-themselves. A window that many items share is compared once; windows of the same items name these by one number, and
-the items themselves are joined last. Windows of one token are one
-row, so a passage that many documents share makes a few rows for each of them and no pairs. Words are compared as 64-bit
-hashes.
+Two passes read the documents, one to count the benchmark's shingles and one for candidates. Each carries a Bloom filter as
+a first test, whose size follows the benchmark's up to a bound; tables are joined on the shingles themselves. A window that
+many items share is compared once; windows of the same items name these by one number, and documents with the same numbers
+share one list of items. Windows of one token are one row, so a passage that many documents share makes a few rows for each
+of them and no pairs. Words are compared as 64-bit hashes.
 
 Defined results: null or wordless texts have no words and no hits; null or wordless items no windows; items that repeat
 an item_id are one item; rows that repeat doc_id and text get equal results; a null item_id counts as an item named by
@@ -21,17 +20,20 @@ the empty string.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import Workspace
 from .words import ALNUM, Words, as_long, slices
 
+#: Bits of a filter for each token.
+_PROBES = 4
+
 _SPAN = "array<struct<start:bigint,end:bigint,items:bigint>>"
 
 
@@ -39,14 +41,25 @@ def _lists(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
 
 
+def _known(on: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of the hashes that a filter lets through."""
+    mask = np.uint64(8 * len(on) - 1)
+    low, high, at = h & mask, (h >> np.uint64(32) | np.uint64(1)) & mask, np.arange(len(h))
+    for j in range(_PROBES):
+        slot = low[at] + np.uint64(j) * high[at] & mask
+        at = at[on[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 > 0]
+    return at
+
+
 @dataclass(frozen=True)
 class Decontamination:
-    """window: words of a window. shingle: words of a shingle. bits: log2 of the bitmap's bits. share: a document is
-    contaminated when its hit words times `share` are at least its words."""
+    """window: words of a window. shingle: words of a shingle. bits: log2 of a filter's most bits (32 MB; up to 16 million
+    shingles have 16 each, beyond that more words pass the filter, which costs time only). share: a document is contaminated
+    when its hit words times `share` are at least its words."""
 
     window: int = 13
     shingle: int = 4
-    bits: int = 22
+    bits: int = 28
     share: int = 20
 
     def windows(self, benchmark: DataFrame) -> DataFrame:
@@ -74,28 +87,29 @@ class Decontamination:
 
         return benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(run, "item string, words array<long>, shingles array<long>").distinct().withColumn("window", F.xxhash64("words"))
 
-    def _bitmap(self, tokens: DataFrame) -> np.ndarray:
-        """A fixed number of bits, on at the low bits of every token."""
-        slot = tokens.select(F.col("token").bitwiseAND((1 << self.bits) - 1).alias("slot")).distinct()
-        parts = slot.groupBy(F.floor(F.col("slot") / 32768).alias("part")).agg(F.bitmap_construct_agg(F.col("slot") % 32768).alias("on")).collect()
-        bits = np.zeros(1 << self.bits, bool)
+    def _filter(self, tokens: DataFrame) -> np.ndarray:
+        """A Bloom filter of the tokens: 16 bits for each, but not above 2 ** `bits`, four of them on."""
+        size = min(self.bits, max(16, (16 * tokens.count()).bit_length()))
+        low, high, mask = F.col("token"), F.shiftrightunsigned("token", 32).bitwiseOR(1), (1 << size) - 1
+        slots = F.array(*((low.bitwiseAND(mask) + j * high.bitwiseAND(mask)).bitwiseAND(mask) for j in range(_PROBES)))
+        slot = tokens.select(F.explode(slots).alias("slot")).distinct()
+        parts = slot.groupBy(F.shiftright("slot", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(32767)).alias("on")).collect()
+        on = np.zeros(1 << size - 3, np.uint8)
         for p in parts:
-            bits[p.part * 32768 : (p.part + 1) * 32768] = np.unpackbits(np.frombuffer(bytes(p.on), np.uint8), bitorder="little")
-        return np.packbits(bits)
+            on[p.part * 4096 : (p.part + 1) * 4096] = np.frombuffer(bytes(p.on), np.uint8)[: len(on)]
+        return on
 
-    def _counts(self, docs: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> DataFrame:
-        """token and n: parts of the number of documents that hold each shingle which the bitmap lets through."""
-        mask = np.uint64((1 << self.bits) - 1)
+    def _counts(self, docs: DataFrame, on: np.ndarray, sizes: list[int]) -> DataFrame:
+        """token and n: parts of the number of documents that hold each shingle which the filter lets through."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            on = np.unpackbits(bitmap).astype(bool)
             for batch in batches:
                 for _, _, texts in slices(batch.column(0)):
                     words = texts.lower().words(ALNUM)
                     row = np.repeat(np.arange(len(texts.valid)), np.diff(words.first))
                     for k in sizes:
                         h, at = words.windows(k)
-                        use = on[h & mask]
+                        use = _known(on, h)
                         h, r = h[use], row[at[use]]
                         order = np.lexsort((r, h))
                         h, r = h[order], r[order]
@@ -106,13 +120,12 @@ class Decontamination:
 
         return docs.select("text").mapInArrow(run, "token long, n long")
 
-    def _candidates(self, docs: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> DataFrame:
-        """doc_id, fingerprint, n_words and, for each shingle which the bitmap lets through, token, at (its first word)
+    def _candidates(self, docs: DataFrame, on: np.ndarray, sizes: list[int]) -> DataFrame:
+        """doc_id, fingerprint, n_words and, for each shingle which the filter lets through, token, at (its first word)
         and near: the words from window - 1 before to window - 1 behind, 0 beyond the text."""
-        mask, side = np.uint64((1 << self.bits) - 1), self.window - 1
+        side = self.window - 1
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            on = np.unpackbits(bitmap).astype(bool)
             for batch in batches:
                 for start, end, texts in slices(batch.column(2)):
                     words = texts.lower().words(ALNUM)
@@ -121,7 +134,7 @@ class Decontamination:
                     found = []
                     for k in sizes:
                         h, at = words.windows(k)
-                        use = on[h & mask]
+                        use = _known(on, h)
                         found.append((h[use], at[use]))
                     token, at = (np.concatenate(x) for x in zip(*found, strict=True))
                     order = np.argsort(at, kind="stable")
@@ -149,12 +162,12 @@ class Decontamination:
         sizes = sorted(r.k for r in windows.select(F.least(F.size("words"), F.lit(self.shingle)).alias("k")).distinct().collect())
         sizes = sizes or [self.shingle]
         grams = windows.select(F.explode("shingles").alias("token")).distinct()
-        counts = self._counts(docs, self._bitmap(grams), sizes).join(grams, "token", "left_semi").groupBy("token").agg(F.sum("n").alias("n"))
+        counts = self._counts(docs, self._filter(grams), sizes).join(grams, "token", "left_semi").groupBy("token").agg(F.sum("n").alias("n"))
         ranked = windows.select("items", "words", F.posexplode("shingles").alias("offset", "token")).join(counts, "token", "left")
         first = ranked.groupBy("items", "words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "offset")).alias("x")).filter("x.n > 0")
         prefix = first.groupBy(F.col("x.token").alias("token")).agg(F.collect_list(F.struct(F.col("x.offset").cast("long").alias("offset"), "words", "items")).alias("windows"))
         prefix = work.keep(prefix, "prefix")
-        rows = work.keep(self._candidates(docs, self._bitmap(prefix), sizes), "rows")
+        rows = work.keep(self._candidates(docs, self._filter(prefix), sizes), "rows")
 
         side = self.window - 1
         each = rows.select("doc_id", "fingerprint", "n_words", F.explode("found").alias("x")).select("doc_id", "fingerprint", "n_words", "x.*").distinct()
@@ -163,26 +176,43 @@ class Decontamination:
         same = lambda w: F.slice("near", (F.lit(side + 1) - w["offset"]).cast("int"), size(w)) == w["words"]
         found = F.transform(F.filter("windows", lambda w: fits(w) & same(w)), lambda w: F.struct(start(w).alias("start"), (start(w) + size(w)).alias("end"), w["items"].alias("items")))
         spans = each.join(prefix, "token").select("doc_id", "fingerprint", found.cast(_SPAN).alias("spans")).filter(F.size("spans") > 0)
-        spans = spans.groupBy(F.col("doc_id").alias("d"), F.col("fingerprint").alias("f")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-        out = rows.drop("found").join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("fingerprint") == F.col("f")), "left")
-        out = out.select("doc_id", "fingerprint", "n_words", F.coalesce("spans", F.array().cast(_SPAN)).alias("spans"))
-        return work.keep(out, "hits"), work.keep(of_number, "items")
-
-    def judged(self, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-        """doc_id, fingerprint, n_words, n_hit (words inside any span), items (sorted), contaminated."""
+        spans = spans.groupBy(F.col("doc_id").alias("d"), F.col("fingerprint").alias("f")).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+        spans = work.keep(spans, "spans")
+        none = F.array().cast(_SPAN)
+        with_any = rows.filter(F.size("found") > 0).join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("fingerprint") == F.col("f")), "left")
+        out = with_any.select("doc_id", "fingerprint", "n_words", F.coalesce("spans", none).alias("spans"))
+        out = out.unionByName(rows.filter(F.size("found") == 0).select("doc_id", "fingerprint", "n_words", none.alias("spans")))
+        result = work.keep(out, "hits"), work.keep(of_number, "items")
+        for name in ("windows", "prefix", "rows", "spans"):
+            work.drop(name)  # the result reads none of them
+        return result
+
+    def judged(self, docs: DataFrame, benchmark: DataFrame, of_items: Callable[[Column], dict[str, Column]] = lambda items: {"items": items}) -> DataFrame:
+        """doc_id, fingerprint, n_words, n_hit (words inside any span), items (sorted), contaminated. of_items gives other
+        columns than items, made once for each different list of items."""
         zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
         step = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), x["end"] - F.greatest(x["start"], a["to"]))).alias("n"), F.greatest(a["to"], x["end"]).alias("to"))
+        judged = ["doc_id", "fingerprint", "n_words", F.aggregate("spans", zero, step)["n"].alias("n_hit")]
+        columns, none = of_items(F.col("items")), of_items(F.array().cast("array<string>"))
         found, of_number = self.hits(docs, benchmark)
-        each = found.select(F.col("doc_id").alias("d"), F.col("fingerprint").alias("f"), F.explode(F.array_distinct(F.transform("spans", lambda x: x["items"]))).alias("items")).distinct()
-        items = each.join(of_number, "items").groupBy("d", "f").agg(F.array_sort(F.collect_set("item")).alias("items"))
-        out = found.join(items, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("fingerprint") == F.col("f")), "left")
-        out = out.select("doc_id", "fingerprint", "n_words", F.aggregate("spans", zero, step)["n"].alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+        if columns:
+            found = found.withColumn("numbers", F.array_sort(F.array_distinct(F.transform("spans", lambda x: x["items"]))))
+            found = found.withColumns({"a": F.when(F.size("numbers") > 0, F.xxhash64("numbers")), "b": F.xxhash64(F.lit(1), "numbers")})
+            # Documents that share a passage share a list, which is made once. Written, so that Spark knows the lists' size:
+            # small ones are broadcast, and very many documents of one list are split.
+            lists = found.filter("a is not null").dropDuplicates(["a", "b"]).select("a", "b", F.explode("numbers").alias("items"))
+            lists = lists.join(of_number, "items").groupBy("a", "b").agg(F.array_sort(F.collect_set("item")).alias("items"))
+            lists = Workspace(docs.sparkSession, "decontaminate").keep(lists.select("a", "b", *(c.alias(f"__{name}") for name, c in columns.items())), "lists")
+            hit = found.filter("a is not null").join(lists, ["a", "b"]).select(*judged, *(F.col(f"__{name}").alias(name) for name in columns))
+            out = hit.unionByName(found.filter("a is null").select(*judged, *(c.alias(name) for name, c in none.items())))
+        else:
+            out = found.select(*judged)
         return out.withColumn("contaminated", (F.col("n_hit") > 0) & (self.share * F.col("n_hit") >= F.col("n_words")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, options: Decontamination = Decontamination()) -> DataFrame:
     """docs without contaminated documents; same columns. The contaminated ones' ids are a written table, so that Spark
     knows its size and sends it to the documents where it is small, not the documents through a shuffle."""
-    bad = options.judged(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__d"), F.col("fingerprint").alias("__f")).distinct()
+    bad = options.judged(docs, benchmark, lambda items: {}).filter("contaminated").select(F.col("doc_id").alias("__d"), F.col("fingerprint").alias("__f")).distinct()
     bad = Workspace(docs.sparkSession, "decontaminate").keep(bad, "contaminated")
     return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__f")), "left_anti")

@@ -65,9 +65,8 @@ SQL["op4_line_dedup"] = line_dedup.sql()
 @query
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 13 words; the items found are given as a digest."""
-    found = Decontamination().judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    items = F.sha2(F.array_join("items", ",").cast("binary"), 256)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
+    digest = lambda items: {"n_items": F.size(items).cast("long"), "items_sha256": F.sha2(F.array_join(items, ",").cast("binary"), 256)}
+    return Decontamination().judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), digest).drop("fingerprint")
 
 
 @query
