@@ -176,6 +176,9 @@ class VectorSearch:
             return pa.table(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)))
 
         keys = ("size", "shard", "block")
+        # The work of a group is large for its bytes, so the number of tasks goes by groups.
+        tasks = min(4 * shards * blocks, 10_000)
+        left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
         found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
         best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
