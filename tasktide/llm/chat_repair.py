@@ -126,9 +126,10 @@ class ChatRepair:
         if many.isEmpty():
             return rows, None
         of_many = F.col("conv_id").eqNullSafe(F.col("c"))
-        # Equal rows may stand in any order; the salt lets them go to different partitions.
+        # Equal rows may stand in any order; the salt lets them go to different partitions. It is taken where rows are read,
+        # so that a task that is run again after a loss takes the same.
         order = ["conv_id", *_ORDER, "salt"]
-        long = rows.join(many, of_many, "left_semi").withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
+        long = rows.withColumn("salt", F.xxhash64(F.monotonically_increasing_id())).join(many, of_many, "left_semi")
         long = long.repartitionByRange(*order).sortWithinPartitions(*order).drop("salt").withColumn("place", F.monotonically_increasing_id())
         at = F.col("place").bitwiseAND(_PLACES - 1)
         long = long.withColumn("block", F.col("place") - at + F.floor(at / self.block))
