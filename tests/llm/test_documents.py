@@ -1,8 +1,10 @@
 """The document operators against brute force, with nulls, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 from dataclasses import replace
 
 import duckdb
@@ -13,11 +15,12 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tasktide.llm import line_dedup
-from tasktide.llm.decontaminate import Decontamination, drop_contaminated
+from tasktide.llm.decontaminate import Decontamination, _known, drop_contaminated
 from tasktide.llm.language_id import LanguageId, keep_identified
 from tasktide.llm.near_dedup import NearDedup, drop_near_duplicates, near_duplicates
 from tasktide.llm.packing import Packing, pack
 from tasktide.llm.queries import QUERIES, SQL
+from tasktide.llm.tables import shared_dir
 from tasktide.llm.toxicity import PREFIXES, Toxicity, ToxicityModel
 from tasktide.llm.words import ALNUM, NOT_SPACE, slices
 
@@ -174,6 +177,30 @@ def test_decontamination_equals_brute_force(spark, docs):
     assert got == expected and any(r[-1] for r in got)
 
 
+def test_decontamination_with_a_full_filter_and_a_shared_passage(spark):
+    """A filter far too small lets much through and changes nothing; a passage that all items share names all of them."""
+    shared = " ".join(f"s{i}" for i in range(13))
+    items = [(i, f"{shared} own{i} more{i}") for i in range(60)]
+    rows = [(i, f"before {shared} after") for i in range(30)] + [(100, f"{shared} own7 more7"), (101, "own7 more7"), (102, None)]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for options in (Decontamination(), Decontamination(bits=3)):
+        got = options.judged(docs, benchmark, lambda x: {"n": F.size(x), "sha": F.sha2(F.array_join(x, ",").cast("binary"), 256)})
+        got = sorted((tuple(r) for r in got.select("doc_id", "n_words", "n_hit", "n", "sha", "contaminated").collect()), key=repr)
+        assert got == brute_contamination(rows, items)
+
+
+def test_filter_lets_little_through_however_large_the_benchmark():
+    """A million shingles at 16 bits each, and what a table of ten million documents' words would pass."""
+    rng = np.random.default_rng(1)
+    h, other = (rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) for n in (1_000_000, 1_000_000))
+    on = np.zeros(1 << 21, np.uint8)
+    mask = np.uint64((1 << 24) - 1)
+    for j in range(4):
+        slot = (h & mask) + np.uint64(j) * ((h >> np.uint64(32) | np.uint64(1)) & mask) & mask
+        np.bitwise_or.at(on, slot >> np.uint64(3), (1 << (slot & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+    assert len(_known(on, h)) == len(h) and len(_known(on, other)) < 0.01 * len(other)
+
+
 def test_decontamination_of_odd_rows(spark, odd, empty):
     items = [(1, "same line"), (2, None), (3, "word word word"), (4, " ".join(f"v{i}" for i in range(20))), (4, " ".join(f"v{i}" for i in range(20))), (5, "É"), (30, "word WORD word"), (31, " ".join(f"v{i}" for i in range(20)))]
     benchmark = spark.createDataFrame(items, "item_id long, text string").withColumn("words", F.lit(1))
@@ -210,6 +237,62 @@ def test_language_id_of_odd_rows(spark, docs, odd, empty):
     assert model.predict(other, ["doc_id"]).first().rejected
 
 
+FOREIGN = (
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "Watu wote wamezaliwa huru, hadhi na haki zao ni sawa. Wote wamejaliwa akili na dhamiri, hivyo yapasa watendeane kindugu.",
+)
+
+
+def test_language_id_rejects_unlearned_languages_and_gibberish_but_no_clean_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = LanguageId().fit(docs.filter("doc_id % 2 = 0"))
+    assert model.predict(docs.filter("doc_id % 2 = 1"), ["doc_id"]).filter("rejected").count() <= 1
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10)))
+    junk = [" ".join(word() for _ in range(n)) for n in (10, 40, 150) for _ in range(20)] + [t[:n] for t in FOREIGN for n in (60, 1000)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(junk)], "doc_id long, text string")
+    assert model.predict(frame, ["doc_id"]).filter("rejected").count() >= 0.95 * len(junk)
+
+
+def test_language_id_equals_brute_force(spark, docs):
+    """Document frequencies, and the nearest centroid of each text, trigram by trigram."""
+    options = LanguageId(sample=200, bits=10)
+    train = docs.filter("doc_id % 3 > 0")
+    model = options.fit(train)
+
+    def grams(text):
+        b = bytes(x | 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or x >= 128 else 32 for x in text.encode())
+        at = [((x * 0x9E3779B1 ^ y * 0x85EBCA77 ^ z * 0xC2B2AE3D) & 0xFFFFFFFF) * 0x27D4EB2F & 0xFFFFFFFF for x, y, z in zip(b, b[1:], b[2:], strict=False) if y != 32]
+        return Counter(h >> 22 for h in at)
+
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    df, n = Counter(), 0
+    for r in train.filter("text is not null and lang is not null").collect():
+        df.update(grams(r.text).keys())
+        n += 1
+    idf = [math.log((1 + n) / (1 + df[h])) + 0.1 for h in range(1024)]
+    assert np.allclose(model.idf, idf, atol=1e-5)
+    got = {r.doc_id: r for r in model.predict(docs, ["doc_id"]).collect()}
+    for i, text in rows:
+        x = np.zeros(1024)
+        for h, c in grams(text).items():
+            x[h] = (1 + math.log(c)) * idf[h]
+        s = model.centroids @ (x / max(np.linalg.norm(x), 1e-12))
+        assert abs(got[i].score - max(s.max(), 0)) < 1e-4 and s[[k for k, lang in enumerate(model.langs) if lang == got[i].lang_pred]].max() > s.max() - 1e-4
+
+
+def test_sample_of_language_id_holds_repeated_rows_once(spark, docs):
+    """A row that is most of the table is one row of the sample."""
+    few = docs.filter("doc_id < 40").select("doc_id", "text", "lang")
+    hot = few.unionByName(spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same text again and again").alias("text"), F.lit("en").alias("lang")))
+    model = LanguageId(sample=10_000).fit(hot)
+    assert set(model.langs) == {r.lang for r in few.select("lang").distinct().collect()}
+    plain = LanguageId(sample=10_000).fit(few)
+    assert model.langs == plain.langs or len(model.langs) <= len(plain.langs) + 1
+
+
 def test_toxicity_learns_terms_and_pairs(spark):
     rng = np.random.default_rng(1)
     plain = [f"p{i}" for i in range(200)]
@@ -332,3 +415,40 @@ def test_pipeline_equals_brute_force(spark):
     pieces = brute_pieces([tuple(r) for r in after.select("doc_id", "text").collect()])
     out = corpus_pipeline.run(spark, SF)
     assert sorted((tuple(r) for r in out.select("doc_id", "piece", "start", "length", "ids_crc32").collect()), key=repr) == pieces
+
+
+def test_pipeline_of_odd_rows_and_clashing_columns(spark, docs, odd, tmp_path):
+    """Nulls, empty and long texts, repeated rows and extra columns go through all stages; texts without a language go."""
+    extra = ("n_lines", "n_dropped", "__lines", "doc", "fingerprint", "items", "piece", "length", "start", "offset", "sequence_id", "component_id", "kept", "lang_pred", "set_a", "count")
+    clean = docs.filter("doc_id >= 100").withColumn("doc_id", F.col("doc_id") + 1000)
+    again = clean.limit(3).collect()
+    frame = odd.unionByName(clean.unionByName(spark.createDataFrame(again, clean.schema)), allowMissingColumns=True).withColumns({c: F.lit(1) for c in extra if c != "__lines"})
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "no such passage as this in any of them")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    step = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        columns, step = step.columns, stage(spark, step, str(tmp_path)).persist()
+        assert step.columns == columns
+    kept = [tuple(r) for r in step.select("doc_id", "text").collect()]
+    ids = [i for i, _ in kept]
+    assert {1, 2, 3, 6}.isdisjoint(ids) and len(ids) == len(set(ids)) and {r.doc_id for r in again} & set(ids)
+    out = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "start", "length", "ids_crc32")
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == brute_pieces(kept)
+
+
+def test_pipeline_of_an_empty_table(spark, empty, tmp_path):
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_a_cluster_has_to_name_a_shared_folder():
+    class Session:
+        class conf:
+            settings = {"spark.master": "spark://host:7077"}
+            get = settings.get
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_dir(Session())
+    Session.conf.settings["spark.checkpoint.dir"] = "hdfs://x/y/"
+    assert shared_dir(Session()) == "hdfs://x/y"

@@ -17,7 +17,7 @@ from tasktide.llm.chat_repair import ROLES, ChatRepair, render
 from tasktide.llm import html_text
 from tasktide.llm.html_text import StyleTree, main_text, walk
 from tasktide.llm.queries import QUERIES, SQL
-from tasktide.llm.vector_search import VectorSearch
+from tasktide.llm.vector_search import Forest, VectorSearch
 from tasktide.llm.warc import Archive
 
 SF = "/root/testdata/sf0.001"
@@ -63,7 +63,7 @@ def test_search_with_ties_bad_vectors_and_shards(spark):
     bad = [(70, None), (71, []), (72, [0.0] * 6), (73, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (74, [float("nan")] * 6), (75, [float("inf"), 1.0, 1.0, 1.0, 1.0, 1.0]), (None, [1.0] * 6)]
     frame = clash(spark.createDataFrame([*rows.items(), *bad, (40, rows[40])], "vec_id long, embedding array<double>"), "size", "keys", "shard", "block", "v")
     expected = brute_nearest(rows, [i for i in rows if i % 10 == 0], 3)
-    for options in (VectorSearch(share=1.0, least=10**9), VectorSearch(share=1.0, least=10**9, rows=7, block=2)):
+    for options in (VectorSearch(recall=1.0), VectorSearch(recall=1.0, least=3, rows=7, block=2), VectorSearch(least=10**9)):
         got = {}
         for r in options.nearest(frame, F.col("vec_id") % 10 == 0, 3).collect():
             got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
@@ -74,6 +74,37 @@ def test_search_with_ties_bad_vectors_and_shards(spark):
     assert VectorSearch().nearest(frame.limit(0), F.lit(True), 3).count() == 0
 
 
+def test_search_ends_early_in_dense_neighbourhoods(spark):
+    """Tight clusters: the nearest are found among few candidates, and a distance decides how far to ascend."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(100, 32))
+    x = (centres[:, None] + 0.05 * rng.normal(size=(100, 20, 32))).reshape(-1, 32)
+    options = VectorSearch()
+    assert options.depth(1.0) == 32 and 20 < options.depth(0.99) and options.depth(0.4) <= 6 and options.depth(-1.0) == 0
+    compared = 0
+
+    class Counted(Forest):
+        def ascend(self, keys, enough):
+            nonlocal compared
+            last, steps, done = {}, super().ascend(keys, enough), None
+            while True:
+                try:
+                    step = steps.send(done)
+                except StopIteration:
+                    break
+                for j, q in enumerate(step[1].tolist()):
+                    last[q] = len(np.unique(np.concatenate([o[b:e] for o, b, e in zip(self.order, step[2][:, j], step[3][:, j], strict=True)])))
+                done = yield step
+            compared += sum(last.values())
+
+    index = options.index(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).toArrow().sort_by("vec_id")
+    keys, ids, asked = options._strings(index), np.arange(len(x)), np.arange(0, len(x), 20)
+    got = options._search(Counted(keys, 32), x, np.linalg.norm(x, axis=1), ids, ids, asked, x[asked], keys[:, asked], 5)
+    expected = brute_nearest(dict(enumerate(x.tolist())), asked.tolist(), 5)
+    assert np.mean([len(set(g[1].tolist()) & {i for _, i in expected[q]}) / 5 for q, g in zip(asked.tolist(), got, strict=True)]) > 0.95
+    assert compared < 0.05 * len(x) * len(asked)
+
+
 def test_search_with_copies_and_repeated_rows_finds_k_others(spark):
     rng = np.random.default_rng(4)
     rows = {i: rng.normal(size=8).tolist() for i in range(300)}
@@ -251,6 +282,25 @@ def test_archive_round_trip(spark, tmp_path):
     assert Archive(f"file://{tmp_path}/c").write(frame.limit(0)).read(spark).count() == 0
 
 
+def test_archive_moves_payloads_of_repeated_digests_only(spark, tmp_path):
+    """Without broadcasts of tables too, a payload that occurs once is written where it is read."""
+    rows = [(i, "u", f"page {i} " * 20) for i in range(400)] + [(1000 + i, "u", "copy") for i in range(50)]
+    frame = spark.createDataFrame(rows, PAGES)
+    archive = Archive(f"file://{tmp_path}/d")
+    keyed = frame.select(F.sha2("html", 256).alias("key"), F.encode("html", "UTF-8").alias("payload"))
+    repeated = keyed.groupBy("key").count().filter("count > 1").select("key")
+    once, more = archive._apart(keyed, repeated)
+    assert once.count() + more.count() == 450 and 50 <= more.count() < 55 and once.select("key").distinct().count() == once.count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = once._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert archive.write(frame).read(spark).filter("record_type = 'revisit'").count() == 49
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert archive._apart(keyed, repeated.limit(0))[1] is None
+
+
 # Conversations
 
 
@@ -275,7 +325,7 @@ def test_repair_has_the_least_cost_and_is_legal(spark, block):
     rng, rows = random.Random(3), []
     for conv in range(40):
         rows += [(conv, i, rng.choice(["system", "user", "assistant", "tool", None]), f"t{i}.") for i in range(rng.randint(1, 6))]
-    options = ChatRepair(block=block)
+    options = ChatRepair(block=block, fan=2)
     got = {r.conv_id: r for r in render(options.repair(clash(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), "block", "at", "m", "enter", "final"))).collect()}
     for conv in range(40):
         mine = [r for r in rows if r[0] == conv]
@@ -296,6 +346,23 @@ def test_repair_of_defined_cases(spark):
     assert len(got[4][1]) > 100_000 and ChatRepair().repair(frame.limit(0)).count() == 0
 
 
+def test_repair_spreads_a_conversation_without_id_or_turns(spark):
+    """Rows without id are one conversation, however many; equal rows too are dealt to blocks of bounded size."""
+    rows = [(None, None, "user", "same")] * 300 + [(None, None, "assistant", f"a{i}") for i in range(150)] + [(1, 0, "user", "u"), (None, 5, None, "x")]
+    frame = clash(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), "tie", "salt", "place", "up", "c")
+    options = ChatRepair(block=16, fan=3)
+    got = options.repair(frame).collect()
+    mine = sorted((r for r in got if r.conv_id is None), key=lambda r: (r.block, r.at))
+    sizes = {}
+    for r in mine:
+        sizes[r.block] = sizes.get(r.block, 0) + (r.turn is not None or r.action != "insert")
+    assert len(mine) >= 451 and max(sizes.values()) <= 16 and len(sizes) >= 29
+    # 150 assistant turns before 300 user turns (by role), then one of unknown role: the least cost merges each kind.
+    assert sum(r.cost for r in mine) == options.insert + 149 + 299 + options.unknown and mine[-1].role == "assistant" and mine[-1].fragment.endswith("x\n<|end|>\n")
+    one = [r for r in got if r.conv_id == 1]
+    assert [(r.block, r.at, r.fragment) for r in one] == [(0, 0, "<|user|>\nu\n<|end|>\n")]
+
+
 def test_repair_leaves_good_conversations_alone(spark):
     got = QUERIES["op3_chat_format"](spark, SF)
     turns = spark.read.parquet(f"{SF}/conversations.parquet")
