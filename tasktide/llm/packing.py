@@ -8,8 +8,9 @@ one. Ties go to the smaller gap.
 
 The tokenizer drops white space and never joins what stands on both sides of it; it takes runs of letters, single
 digits and runs of other signs one by one, in lower case. So a text's ids are those of these units in order; a part
-between white space that holds an apostrophe, "<" or characters beyond Latin-1 letters is one unit. A unit is encoded when a Python worker first sees it and looked up afterwards, in a
-table of fixed size that is emptied when it has had `parts` entries.
+between white space that holds an apostrophe, "<" or characters beyond Latin-1 letters is one unit. A unit is encoded when
+a Python worker first sees it and looked up afterwards, by its hash and then its bytes, in a table of fixed size that is
+emptied when it has had `parts` entries.
 
 Defined results: null and empty texts are one separator; repeated rows are packed as often as they occur; a null doc_id
 stays null; an empty table gives an empty result.
@@ -73,7 +74,10 @@ def units(texts: Texts) -> tuple[Words, np.ndarray, np.ndarray]:
 
 class PartTokenizer:
     """Token ids of many texts, through a table of parts already seen: a part's slot, by the low bits of its hash, has
-    the whole hash and an entry; a later part of the same slot takes it over."""
+    the whole hash and an entry, which has the part's bytes; a later part of the same slot takes it over."""
+
+    #: Most bytes of parts that are remembered.
+    BYTES = 1 << 26
 
     def __init__(self, path: str, parts: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's; threads would also keep memory of their own
@@ -86,10 +90,12 @@ class PartTokenizer:
     def _empty(self) -> None:
         self.key, self.entry = np.zeros(int(self.mask) + 1, np.uint64), np.zeros(int(self.mask) + 1, np.int32)
         self.ids, self.start, self.n_ids, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0, 0
+        self.bytes, self.byte = np.zeros(1 << 18, np.uint8), np.zeros(1 << 14, np.int64)
 
-    def _learn(self, parts: list[str], plain: list[bool]) -> None:
-        """New entries n, n + 1, ... for the parts; entry i has ids[start[i]:start[i + 1]]. Of plain parts each is one
-        word of the tokenizer, so many are encoded as one text and told apart by their word numbers."""
+    def _learn(self, raw: list[bytes], plain: list[bool]) -> None:
+        """New entries n, n + 1, ... for the parts; entry i has ids[start[i]:start[i + 1]] and bytes[byte[i]:byte[i + 1]]. Of
+        plain parts each is one word of the tokenizer, so many are encoded as one text and told apart by their word numbers."""
+        parts = [x.decode("utf-8", "replace") for x in raw]
         alone = [i for i, x in enumerate(plain) if not x]
         many = [i for i, x in enumerate(plain) if x]
         length, found, order = np.zeros(len(parts), np.int64), [], []
@@ -114,14 +120,34 @@ class PartTokenizer:
         size = length[order]
         self.ids[np.repeat((end - length)[order] - (np.cumsum(size) - size), size) + np.arange(total)] = flat
         self.start[self.n + 1 : self.n + 1 + len(parts)] = end
+        last = self.byte[self.n] + np.cumsum([len(x) for x in raw])
+        if last[-1] > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes[: self.byte[self.n]], np.zeros(last[-1], np.uint8)])
+        self.bytes[self.byte[self.n] : last[-1]] = np.frombuffer(b"".join(raw), np.uint8)
+        if self.n + len(parts) + 1 > len(self.byte):
+            self.byte = np.concatenate([self.byte[: self.n + 1], np.zeros(self.n + len(parts), np.int64)])
+        self.byte[self.n + 1 : self.n + 1 + len(parts)] = last
         self.n, self.n_ids = self.n + len(parts), int(end[-1])
 
+    def _others(self, low: np.ndarray, start: np.ndarray, end: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """Numbers of the parts whose bytes aren't those of their entries."""
+        size, at = end - start, self.byte[where]
+        other = self.byte[where + 1] - at != size
+        same = np.flatnonzero(~other)
+        if len(same):
+            size = size[same]
+            first = np.cumsum(size) - size
+            place = np.arange(size.sum())
+            differ = low[place + np.repeat(start[same] - first, size)] != self.bytes[place + np.repeat(at[same] - first, size)]
+            other[same] = np.logical_or.reduceat(differ, first)
+        return np.flatnonzero(other)
+
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each row's begin and the last ends."""
         words, low, plain = units(texts)
         if not len(words.hash):
             return np.zeros(0, np.uint32), np.zeros(len(texts.valid) + 1, np.int64)
-        if self.n > self.parts:
+        if self.n > self.parts or self.byte[self.n] > self.BYTES:
             self._empty()
         slot = (words.hash & self.mask).astype(np.int64)
         where = self.entry[slot]
@@ -130,10 +156,13 @@ class PartTokenizer:
             new, first, index = np.unique(words.hash[miss], return_index=True, return_inverse=True)
             a, b, n = words.start[miss[first]], words.end[miss[first]], self.n
             raw = low.tobytes()
-            self._learn([raw[s:e].decode("utf-8", "replace") for s, e in zip(a.tolist(), b.tolist(), strict=True)], plain[miss[first]].tolist())
+            self._learn([raw[s:e] for s, e in zip(a.tolist(), b.tolist(), strict=True)], plain[miss[first]].tolist())
             where[miss] = n + index
             to = (new & self.mask).astype(np.int64)
             self.key[to], self.entry[to] = new, np.arange(n, self.n)
+        for i in self._others(low, words.start, words.end, where).tolist():  # parts of equal hashes
+            where[i] = self.n
+            self._learn([low[words.start[i] : words.end[i]].tobytes()], [bool(plain[i])])
         size = self.start[where + 1] - self.start[where]
         end = np.cumsum(size)
         ids = self.ids[np.arange(end[-1]) + np.repeat(self.start[where] - (end - size), size)]

@@ -7,6 +7,7 @@ values; all bytes of a non-ASCII character are 0x80 or above, so "everything out
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,9 +28,13 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 NOT_SPACE = np.ones(256, dtype=bool)
 NOT_SPACE[[32, 9, 10, 11, 12, 13]] = False
 
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: Hashes are polynomials modulo this prime, whose base is a random number below it.
+_PRIME = 2**61 - 1
+_BASE = int(np.random.Generator(np.random.PCG64(20240229)).integers(2**60, _PRIME))
+_P, _29, _32 = np.uint64(_PRIME), np.uint64((1 << 29) - 1), np.uint64((1 << 32) - 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64)
+#: A run of more bytes is hashed by BLAKE2.
+_LONG = 1 << 20
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -43,27 +48,64 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _reduced(r: np.ndarray) -> np.ndarray:
+    """r modulo the prime."""
+    r = (r & _P) + (r >> np.uint64(61))
+    return np.where(r >= _P, r - _P, r)
+
+
+def _joined(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """high * 2 ** 32 + low modulo the prime, of which 2 ** 61 is one more."""
+    return _reduced((high >> np.uint64(29)) + ((high & _29) << np.uint64(32)) + (low & _P) + (low >> np.uint64(61)))
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, both below it."""
+    a1, a0, b1, b0 = a >> np.uint64(32), a & _32, b >> np.uint64(32), b & _32
+    low = a0 * b0
+    low = (low & _P) + (low >> np.uint64(61)) + (a1 * b1 << np.uint64(3))  # 2 ** 64 is 8
+    return _joined(a1 * b0 + a0 * b1, low)
+
+
 def _power(n: int, inverse: bool) -> np.ndarray:
-    """base ** i (or its inverse) modulo 2 ** 64 for i < n."""
-    key, base = ("i", pow(_BASE, -1, 2**64)) if inverse else ("p", _BASE)
+    """base ** i (or its inverse) modulo the prime for i < n."""
+    key, base = ("i", pow(_BASE, -1, _PRIME)) if inverse else ("p", _BASE)
     if key not in _powers or len(_powers[key]) < n:
-        a = np.full(max(n, SLICE_BYTES + 64), base, dtype=np.uint64)
-        a[0] = 1
-        np.multiply.accumulate(a, out=a)
+        a, m = np.ones(max(n, SLICE_BYTES + 64), dtype=np.uint64), 1
+        while m < len(a):
+            k = min(m, len(a) - m)
+            a[m : m + k] = _times(a[:k], np.uint64(pow(base, m, _PRIME)))
+            m += k
         if n > 2 * SLICE_BYTES:
             return a[:n]
         _powers[key] = a
     return _powers[key][:n]
 
 
+def _runs(high: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hashes, from the terms' upper and lower parts."""
+    parts = []
+    for terms in (high, low):
+        total = np.zeros(len(terms) + 1, dtype=np.uint64)
+        np.cumsum(terms, out=total[1:])
+        parts.append(total[ends] - total[starts])
+    h = _times(_joined(*parts), _power(len(high) + 1, True)[starts])
+    return mix(h + (ends - starts).astype(np.uint64) * _M1)
+
+
 def runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each run values[start:end] of 64-bit values, the same wherever the run stands."""
-    total = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * _power(len(values), False), out=total[1:])
-    h = total[ends]
-    h -= total[starts]
-    h *= _power(len(values) + 1, True)[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * _M1)
+    terms = _times(_reduced(values), _power(len(values), False))
+    return _runs(terms >> np.uint64(32), terms & _32, starts, ends)
+
+
+def byte_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each run data[start:end] of bytes, the same wherever the run stands."""
+    power, values = _power(len(data), False), data.astype(np.uint64)
+    h = _runs(values * (power >> np.uint64(32)), values * (power & _32), starts, ends)
+    for i in np.flatnonzero(ends - starts > _LONG):  # their sums of terms pass 64 bits
+        h[i] = np.frombuffer(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), np.uint64)[0]
+    return h
 
 
 @dataclass
@@ -113,7 +155,7 @@ class Texts:
         return self.hashed(self.data, s, e)
 
     def hashed(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> Words:
-        return Words(runs(_BYTE[data], s, e) if len(s) else np.zeros(0, np.uint64), np.searchsorted(s, self.offsets), s, e)
+        return Words(byte_runs(data, s, e) if len(s) else np.zeros(0, np.uint64), np.searchsorted(s, self.offsets), s, e)
 
     def terms(self, table: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words, and of the first bytes, of each of the given numbers, of all longer words; their rows."""
@@ -121,10 +163,9 @@ class Texts:
         row = np.repeat(np.arange(len(self.valid)), np.diff(words.first))
         found, rows = [words.hash], [row]
         if len(words.hash):
-            values = _BYTE[self.data]
             for k in prefixes:
                 longer = words.end - words.start > k
-                found.append(mix(runs(values, words.start[longer], words.start[longer] + k) + np.uint64(k)))
+                found.append(mix(byte_runs(self.data, words.start[longer], words.start[longer] + k) + np.uint64(k)))
                 rows.append(row[longer])
         return np.concatenate(found), np.concatenate(rows)
 
