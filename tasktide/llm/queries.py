@@ -14,6 +14,7 @@ from .html_text import StyleTree
 from .language_id import LanguageId, held_out
 from .near_dedup import near_duplicates
 from .packing import Packing
+from .periodic_runs import PeriodicRuns, digests, planted
 from .toxicity import Toxicity
 from .vector_search import VectorSearch
 
@@ -100,3 +101,9 @@ SQL["op9_warc"] = warc.SQL
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles, similarity of 80 in 100."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, similarity=80)
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least 24 words and three periods; a tenth of the texts is made to repeat itself."""
+    return digests(PeriodicRuns().collapse(planted(table(spark, sf_dir, "documents")), ["doc_id"]))

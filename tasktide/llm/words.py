@@ -82,27 +82,37 @@ def _power(n: int, inverse: bool) -> np.ndarray:
     return _powers[key][:n]
 
 
-def _runs(high: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The hashes, from the terms' upper and lower parts."""
-    parts = []
-    for terms in (high, low):
-        total = np.zeros(len(terms) + 1, dtype=np.uint64)
-        np.cumsum(terms, out=total[1:])
-        parts.append(total[ends] - total[starts])
-    h = _times(_joined(*parts), _power(len(high) + 1, True)[starts])
-    return mix(h + (ends - starts).astype(np.uint64) * _M1)
+class Sums:
+    """Hashes of runs, from the upper and lower parts of the terms that they add up."""
+
+    def __init__(self, high: np.ndarray, low: np.ndarray):
+        self.parts = []
+        for terms in (high, low):
+            total = np.zeros(len(terms) + 1, dtype=np.uint64)
+            np.cumsum(terms, out=total[1:])
+            self.parts.append(total)
+        self.inverse = _power(len(high) + 1, True)
+
+    @classmethod
+    def of(cls, values: np.ndarray) -> Sums:
+        """Of 64-bit values."""
+        terms = _times(_reduced(values), _power(len(values), False))
+        return cls(terms >> np.uint64(32), terms & _32)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = _times(_joined(*(total[ends] - total[starts] for total in self.parts)), self.inverse[starts])
+        return mix(h + (ends - starts).astype(np.uint64) * _M1)
 
 
 def runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each run values[start:end] of 64-bit values, the same wherever the run stands."""
-    terms = _times(_reduced(values), _power(len(values), False))
-    return _runs(terms >> np.uint64(32), terms & _32, starts, ends)
+    return Sums.of(values)(starts, ends)
 
 
 def byte_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each run data[start:end] of bytes, the same wherever the run stands."""
     power, values = _power(len(data), False), data.astype(np.uint64)
-    h = _runs(values * (power >> np.uint64(32)), values * (power & _32), starts, ends)
+    h = Sums(values * (power >> np.uint64(32)), values * (power & _32))(starts, ends)
     for i in np.flatnonzero(ends - starts > _LONG):  # their sums of terms pass 64 bits
         h[i] = np.frombuffer(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), np.uint64)[0]
     return h
