@@ -15,6 +15,7 @@ from .language_id import LanguageId, held_out
 from .near_dedup import near_duplicates
 from .packing import Packing
 from .periodic_runs import PeriodicRuns, digests, planted
+from .prefix_trie import PrefixTrie, rebuilt
 from .toxicity import Toxicity
 from .vector_search import VectorSearch
 
@@ -107,3 +108,9 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of at least 24 words and three periods; a tenth of the texts is made to repeat itself."""
     return digests(PeriodicRuns().collapse(planted(table(spark, sf_dir, "documents")), ["doc_id"]))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, which are made to share beginnings."""
+    return PrefixTrie().nodes(*rebuilt(table(spark, sf_dir, "conversations")))
