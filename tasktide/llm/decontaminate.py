@@ -28,12 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
+from .bloom import known as _known
 from .tables import Workspace
 from .words import ALNUM, Words, as_long, slices
 
-#: Bits of a filter for each token.
-_PROBES = 4
-
 _SPAN = "array<struct<start:bigint,end:bigint,items:bigint>>"
 
 
@@ -41,16 +40,6 @@ def _lists(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
 
 
-def _known(on: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Places of the hashes that a filter lets through."""
-    mask = np.uint64(8 * len(on) - 1)
-    low, high, at = h & mask, (h >> np.uint64(32) | np.uint64(1)) & mask, np.arange(len(h))
-    for j in range(_PROBES):
-        slot = low[at] + np.uint64(j) * high[at] & mask
-        at = at[on[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 > 0]
-    return at
-
-
 @dataclass(frozen=True)
 class Decontamination:
     """window: words of a window. shingle: words of a shingle. bits: log2 of a filter's most bits (32 MB; up to 16 million
@@ -88,16 +77,7 @@ class Decontamination:
         return benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(run, "item string, words array<long>, shingles array<long>").distinct().withColumn("window", F.xxhash64("words"))
 
     def _filter(self, tokens: DataFrame) -> np.ndarray:
-        """A Bloom filter of the tokens: 16 bits for each, but not above 2 ** `bits`, four of them on."""
-        size = min(self.bits, max(16, (16 * tokens.count()).bit_length()))
-        low, high, mask = F.col("token"), F.shiftrightunsigned("token", 32).bitwiseOR(1), (1 << size) - 1
-        slots = F.array(*((low.bitwiseAND(mask) + j * high.bitwiseAND(mask)).bitwiseAND(mask) for j in range(_PROBES)))
-        slot = tokens.select(F.explode(slots).alias("slot")).distinct()
-        parts = slot.groupBy(F.shiftright("slot", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(32767)).alias("on")).collect()
-        on = np.zeros(1 << size - 3, np.uint8)
-        for p in parts:
-            on[p.part * 4096 : (p.part + 1) * 4096] = np.frombuffer(bytes(p.on), np.uint8)[: len(on)]
-        return on
+        return bloom.build(tokens, self.bits)
 
     def _counts(self, docs: DataFrame, on: np.ndarray, sizes: list[int]) -> DataFrame:
         """token and n: parts of the number of documents that hold each shingle which the filter lets through."""

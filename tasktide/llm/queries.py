@@ -16,6 +16,7 @@ from .near_dedup import near_duplicates
 from .packing import Packing
 from .periodic_runs import PeriodicRuns, digests, planted
 from .prefix_trie import PrefixTrie, rebuilt
+from .repeated_spans import RepeatedSpans
 from .toxicity import Toxicity
 from .vector_search import VectorSearch
 
@@ -114,3 +115,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trie of all conversations, which are made to share beginnings."""
     return PrefixTrie().nodes(*rebuilt(table(spark, sf_dir, "conversations")))
+
+
+@query
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes that start twice or more in all documents."""
+    cut = RepeatedSpans().cut(table(spark, sf_dir, "documents"), ["doc_id"], digest=True)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.col("kept").alias("kept_sha256"))

@@ -28,14 +28,14 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 NOT_SPACE = np.ones(256, dtype=bool)
 NOT_SPACE[[32, 9, 10, 11, 12, 13]] = False
 
-#: Hashes are polynomials modulo this prime, whose base is a random number below it.
+#: Hashes are polynomials modulo this prime, whose bases, one for each lane, are random numbers below it.
 _PRIME = 2**61 - 1
-_BASE = int(np.random.Generator(np.random.PCG64(20240229)).integers(2**60, _PRIME))
+_BASES = np.random.Generator(np.random.PCG64(20240229)).integers(2**60, _PRIME, 2).tolist()
 _P, _29, _32 = np.uint64(_PRIME), np.uint64((1 << 29) - 1), np.uint64((1 << 32) - 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: A run of more bytes is hashed by BLAKE2.
 _LONG = 1 << 20
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -67,9 +67,9 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _joined(a1 * b0 + a0 * b1, low)
 
 
-def _power(n: int, inverse: bool) -> np.ndarray:
+def _power(n: int, inverse: bool, lane: int = 0) -> np.ndarray:
     """base ** i (or its inverse) modulo the prime for i < n."""
-    key, base = ("i", pow(_BASE, -1, _PRIME)) if inverse else ("p", _BASE)
+    key, base = (lane, inverse), pow(_BASES[lane], -1, _PRIME) if inverse else _BASES[lane]
     if key not in _powers or len(_powers[key]) < n:
         a, m = np.ones(max(n, SLICE_BYTES + 64), dtype=np.uint64), 1
         while m < len(a):
@@ -85,13 +85,13 @@ def _power(n: int, inverse: bool) -> np.ndarray:
 class Sums:
     """Hashes of runs, from the upper and lower parts of the terms that they add up."""
 
-    def __init__(self, high: np.ndarray, low: np.ndarray):
+    def __init__(self, high: np.ndarray, low: np.ndarray, lane: int = 0):
         self.parts = []
         for terms in (high, low):
             total = np.zeros(len(terms) + 1, dtype=np.uint64)
             np.cumsum(terms, out=total[1:])
             self.parts.append(total)
-        self.inverse = _power(len(high) + 1, True)
+        self.inverse = _power(len(high) + 1, True, lane)
 
     @classmethod
     def of(cls, values: np.ndarray) -> Sums:
@@ -99,6 +99,12 @@ class Sums:
         terms = _times(_reduced(values), _power(len(values), False))
         return cls(terms >> np.uint64(32), terms & _32)
 
+    @classmethod
+    def of_bytes(cls, data: np.ndarray, lane: int = 0) -> Sums:
+        """Of bytes; for runs of at most 2 ** 20."""
+        power, values = _power(len(data), False, lane), data.astype(np.uint64)
+        return cls(values * (power >> np.uint64(32)), values * (power & _32), lane)
+
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         h = _times(_joined(*(total[ends] - total[starts] for total in self.parts)), self.inverse[starts])
         return mix(h + (ends - starts).astype(np.uint64) * _M1)
@@ -111,8 +117,7 @@ def runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 def byte_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each run data[start:end] of bytes, the same wherever the run stands."""
-    power, values = _power(len(data), False), data.astype(np.uint64)
-    h = Sums(values * (power >> np.uint64(32)), values * (power & _32))(starts, ends)
+    h = Sums.of_bytes(data)(starts, ends)
     for i in np.flatnonzero(ends - starts > _LONG):  # their sums of terms pass 64 bits
         h[i] = np.frombuffer(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), np.uint64)[0]
     return h

@@ -1,0 +1,72 @@
+"""Exact substring dedup against brute force."""
+
+import hashlib
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from tasktide.llm.queries import QUERIES
+from tasktide.llm.repeated_spans import RepeatedSpans
+
+SF = "/root/testdata/sf0.001"
+
+
+def brute(texts, n):
+    """For each text its spans and what is left."""
+    texts = [(t or "").encode() for t in texts]
+    count = Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
+    out = []
+    for t in texts:
+        gone = bytearray(len(t))
+        for i in range(len(t) - n + 1):
+            if count[t[i : i + n]] > 1:
+                gone[i : i + n] = b"\1" * n
+        spans, i = [], 0
+        while (i := gone.find(1, i)) >= 0:
+            end = gone.find(0, i)
+            end = len(t) if end < 0 else end
+            spans.append((i, end))
+            i = end
+        out.append((spans, bytes(b for b, g in zip(t, gone, strict=True) if not g)))
+    return out
+
+
+def found(df):
+    return sorted(((r[0], [tuple(s) for s in r.spans], bytes(r.kept)) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("seed,options", [(0, RepeatedSpans(20, 8, 2)), (1, RepeatedSpans(24, 16, 4)), (2, RepeatedSpans(20, 12, 12)), (3, RepeatedSpans(30, 9, 1))])
+def test_random_texts(spark, seed, options):
+    """Shared pieces of all lengths about the threshold, few letters, periods, copies and edits."""
+    r = random.Random(seed)
+    pool = ["".join(r.choice("ab" if r.random() < 0.3 else "abcdefgh é") for _ in range(r.randrange(5, 90))) for _ in range(25)]
+    texts = ["".join(r.choice(pool)[r.randrange(3) : r.choice([None, -1, -2])] if r.random() < 0.7 else "".join(r.choice("xyzw") for _ in range(r.randrange(25))) for _ in range(r.randrange(9))) for _ in range(150)]
+    texts += [texts[5], texts[5], "a" * 300, "ab" * 70, "xyz", "", None, "q" * 19]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = sorted(((i, *x) for i, x in enumerate(brute(texts, options.length))), key=str)
+    assert found(options.cut(df.repartition(3), ["doc_id"])) == expected
+    digests = {r[0]: (len(r.spans), r.kept) for r in options.cut(df, ["doc_id"], digest=True).collect()}
+    assert digests == {i: (len(s), hashlib.sha256(k).hexdigest()) for i, s, k in expected}
+
+
+def test_query_equals_brute_force(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    expected = {r.doc_id: (len((r.text or "").encode()), sum(b - a for a, b in s), len(s), hashlib.sha256(k).hexdigest()) for r, (s, k) in zip(rows, brute([r.text for r in rows], 200), strict=True)}
+    assert {r.doc_id: tuple(r)[1:] for r in QUERIES["op13_suffix_array_dedup"](spark, SF).collect()} == expected
+    assert any(x[1] for x in expected.values())
+
+
+def test_odd_rows(spark):
+    long = "".join(random.Random(1).choices("abcdefgh ", k=300_000))
+    texts = [None, "", "short", long, "x" + long[1000:1300] + "y", "é" * 150, "é" * 150, "中" * 100]
+    rows = [(None if i == 2 else i % 5, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("text_a", "text_b", "core", "lo", "hi", "spans", "kept", "ranges", "n_bytes", "__text")})
+    out = RepeatedSpans().cut(df, ["doc_id"])
+    spans, kept = [(1000, 1300)], (long[:1000] + long[1300:]).encode()
+    expected = [(0, [], b""), (1, [], b""), (None, [], b"short"), (3, spans, kept), (4, [(1, 301)], b"xy"), (0, [(0, 300)], b""), (1, [(0, 300)], b""), (2, [(0, 300)], b"")]
+    assert found(out) == sorted(expected, key=str)
+    assert RepeatedSpans().cut(df.limit(0), ["doc_id"]).count() == 0
+    with pytest.raises(ValueError):
+        RepeatedSpans(length=50)

@@ -9,7 +9,7 @@ import pytest
 from tasktide.llm.decontaminate import Decontamination
 from tasktide.llm.near_dedup import near_duplicates
 from tasktide.llm.packing import Packing, PartTokenizer
-from tasktide.llm.words import _BASE, _PRIME, _power, _times, byte_runs, mix, runs
+from tasktide.llm.words import _BASES, _PRIME, _power, _times, byte_runs, mix, runs
 
 SCHEMA = "doc_id long, text string"
 
@@ -25,7 +25,7 @@ def test_arithmetic_modulo_the_prime():
     a, b = rng.integers(0, _PRIME, (2, 2000), dtype=np.uint64)
     a[:4], b[:4] = [0, _PRIME - 1, _PRIME - 1, 1], [7, _PRIME - 1, 1, _PRIME - 1]
     assert _times(a, b).tolist() == [int(x) * int(y) % _PRIME for x, y in zip(a, b, strict=True)]
-    assert _power(300, False).tolist() == [pow(_BASE, i, _PRIME) for i in range(300)]
+    assert _power(300, False).tolist() == [pow(_BASES[0], i, _PRIME) for i in range(300)]
     assert set(_times(_power(300, False), _power(300, True)).tolist()) == {1}
 
 
