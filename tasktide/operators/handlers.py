@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,15 +50,19 @@ def _moment(value: datetime | int | float | str | None, now: datetime | None) ->
 def run_handlers(claimed: DataFrame, handler: Callable | dict[str, Callable], now: datetime | None = None, caller: Callable[[Callable[[], Any]], Any] = lambda run: run()) -> DataFrame:
     """Outcome rows of a handler, or of each task's, called with each claimed record, in Arrow batches on the executors. It
     may run again if an executor is lost: as for any task here, the last outcome counts. caller is called with each run as
-    a function, to do something around it; what it raises is the run's error."""
+    a function, to do something around it; what it raises is the run's error. Records whose column __valid is false are
+    skipped without a call."""
     kind = claimed.schema["source_doc_id"].dataType.simpleString()
     pick = (lambda task: handler[task]) if isinstance(handler, dict) else lambda task: handler
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for record in batch.to_dict("records"):
+            rows: list[tuple] = []
+            for record in batch.to_pylist():
                 began, outcome, error, until, throttle = time.perf_counter(), "completed", None, None, None
+                if not record.pop("__valid", True):
+                    rows.append((record["task"], record["source_doc_id"], "skipped", 0, None, None, None))
+                    continue
                 try:
                     said = caller(lambda record=record: pick(record["task"])(record))
                     throttle = _moment(said.until, now) if isinstance(said, Throttle) else None
@@ -70,9 +75,11 @@ def run_handlers(claimed: DataFrame, handler: Callable | dict[str, Callable], no
                 except Exception as e:  # whatever the handler raises is its outcome
                     outcome, error = "failed", str(e) or "Unknown error"
                 rows.append((record["task"], record["source_doc_id"], outcome, int(1000 * (time.perf_counter() - began)), error, until, throttle))
-            yield pd.DataFrame(rows, columns=["task", "source_doc_id", "outcome", "duration_ms", "error", "until", "throttle"]).astype({"until": "datetime64[us]", "throttle": "datetime64[us]"})
+            key = batch.schema.field("source_doc_id").type
+            types = {"task": pa.string(), "source_doc_id": key, "outcome": pa.string(), "duration_ms": pa.int64(), "error": pa.string(), "until": pa.timestamp("us"), "throttle": pa.timestamp("us")}
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types.values())], list(types))
 
-    return claimed.mapInPandas(run, OUTCOMES.format(key=kind))
+    return claimed.mapInArrow(run, OUTCOMES.format(key=kind))
 
 
 def with_source_row(claimed: DataFrame, source: DataFrame, key: str, columns: list[str] | None = None) -> DataFrame:

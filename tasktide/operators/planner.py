@@ -21,8 +21,9 @@ from ..model import BUSY, TaskDefinition
 KEYS = ["task", "source_doc_id"]
 
 
-def fan_out(source: DataFrame, definitions: list[TaskDefinition], now: datetime) -> DataFrame:
-    """task, source_doc_id, observed, debounce_ms, reset_on_change for each row and matching definition; one scan.
+def fan_out(source: DataFrame, definitions: list[TaskDefinition], now: datetime, document: list[str] | None = None) -> DataFrame:
+    """task, source_doc_id, observed, debounce_ms, reset_on_change for each row and matching definition; one scan. With
+    document, also the row's columns of these names, as a struct.
 
     Definitions of one call have to watch structs of one type; give observed as JSON text with to_json where they don't."""
     filters = Filters(source.schema, now)
@@ -41,7 +42,9 @@ def fan_out(source: DataFrame, definitions: list[TaskDefinition], now: datetime)
     matching = F.filter(F.array(*tasks), lambda t: t.isNotNull())
     # Any task's filter lets a row pass: where all are plain comparisons, their disjunction reaches the scan.
     rows = source.filter(reduce(lambda a, b: a | b, (filters.where(d.filter) for d in definitions)))
-    return rows.select(F.col(key.pop()).alias("source_doc_id"), F.explode(matching).alias("t")).select("t.task", "source_doc_id", "t.observed", "t.debounce_ms", "t.reset_on_change")
+    extra = [] if document is None else [F.struct(*document).alias("document")]
+    exploded = rows.select(F.col(key.pop()).alias("source_doc_id"), *extra, F.explode(matching).alias("t"))
+    return exploded.select("t.task", "source_doc_id", "t.observed", "t.debounce_ms", "t.reset_on_change", *(["document"] if extra else []))
 
 
 def planned(source: DataFrame, definitions: list[TaskDefinition], now: datetime) -> DataFrame:

@@ -48,16 +48,57 @@ def cdc_stream_state(spark, sf_dir):
 
 @query(SQL["reconcile_all"])
 def cdc_cold_start(spark, sf_dir):
-    """Reconciliation, then the stream from a little before: events that are older change nothing."""
+    """Reconciliation, then the stream from a little before. Events are a day older or as old as the overlap: the former are
+    left out, and the latter, which are seen twice, change nothing."""
     known = {d.name: reconcile.Control(d.signature(), 1, False) for d in REGISTRY.by_name.values()}
 
     def start(events, sources, store, empty, checkpoint):
-        old = events.withColumn("ts", F.lit(NOW - timedelta(days=1)).cast("timestamp_ntz"))
-        return streaming.cold_start(old, sources, REGISTRY, store, empty, checkpoint, lambda: NOW, known)[0]
+        seen = F.when(F.col("event_id") % 2 == 0, F.lit(NOW - timedelta(days=1))).otherwise(F.lit(NOW - timedelta(seconds=30)))
+        return streaming.cold_start(events.withColumn("ts", seen.cast("timestamp_ntz")), sources, REGISTRY, store, empty, checkpoint, lambda: NOW, known)[0]
 
     return _streamed(spark, sf_dir, start)
 
 
+@query(SQL["reconcile_all"])
+def reconcile_checkpointed(spark, sf_dir):
+    """A reconcile in ranges of keys that is stopped behind the second one, and goes on from there in another run."""
+    store, before = StateStore(spark, f"{_folder(spark, 'reconcile')}/state", buckets=4), records(spark, sf_dir)
+    store.write(before)
+    sources, per_range = Sources.of_parquet(spark, sf_dir, ["orders"]), -(-table(spark, sf_dir, "orders").count() // 4)
+    asked = iter([False, False, True])
+    reconcile.reconcile_checkpointed(sources, REGISTRY, store, before.limit(0), NOW, per_range, lambda: next(asked))
+    reconcile.reconcile_checkpointed(sources, REGISTRY, store, before.limit(0), NOW, per_range)
+    return _rows(store.read(before.limit(0)))
+
+
+@query(SQL["cdc_debounce_sessions"])
+def stream_debounce(spark, sf_dir):
+    """The same from a live stream in four batches; a heartbeat long after closes the last sessions."""
+    folder, events = _folder(spark, "debounce"), change_events(spark, sf_dir)
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    step = (high - low) / 4
+    for i in range(4):
+        at_end = F.col("ts") <= F.lit(high).cast("timestamp_ntz") if i == 3 else F.col("ts") < F.lit(low + (i + 1) * step).cast("timestamp_ntz")
+        events.filter((F.col("ts") >= F.lit(low + i * step).cast("timestamp_ntz")) & at_end).coalesce(1).write.mode("append").parquet(f"{folder}/events")
+    beat = spark.createDataFrame([(-1, high + timedelta(days=9), "heartbeat", -1, "update")], streaming.EVENT)
+    beat.coalesce(1).write.mode("append").parquet(f"{folder}/events")
+    sessions = streaming.debounced_stream(streaming.change_stream(spark, f"{folder}/events"), "1 hour", "source", "key")
+    run = sessions.writeStream.option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/sessions").format("parquet").trigger(availableNow=True).start()
+    run.awaitTermination()
+    out = spark.read.schema(sessions.schema).parquet(f"{folder}/sessions").filter("source <> 'heartbeat'")
+    return out.select("key", F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("run_at")).alias("run_us"), "events")
+
+
+@query(SQL["claim_due_topk"])
+def claim_due_index(spark, sf_dir):
+    """The first due records from the index of a stored state that was written in several versions."""
+    store, state = StateStore(spark, f"{_folder(spark, 'due')}/state", buckets=8, part=2_000, most=2), records(spark, sf_dir)
+    store.write(state.withColumn("next_run_at", F.lit(NOW - timedelta(days=9000)).cast("timestamp_ntz")))
+    for only in ([0, 1], [2], [3, 4, 5], [6, 7]):
+        store.write(state.filter(store._bucket(F.col("source_doc_id")).isin(only)), only=only)
+    return store.due(NOW, 50).select("task", "source_doc_id")
+
+
 @query(SQL["reconcile_all"])
 def cdc_recover(spark, sf_dir):
     """After lost events everything is planned again, also what counted as reconciled."""

@@ -1,12 +1,14 @@
-"""Sources by name, and the stored state as versions of hash buckets."""
+"""Sources by name, and the stored state."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from .state import Conflict, StateStore, Version
+
+__all__ = ["Conflict", "Sources", "StateStore", "Version"]
 
 
 class Sources:
@@ -24,86 +26,3 @@ class Sources:
         if name not in self.tables:
             raise KeyError(f"unknown source {name}")
         return self.tables[name](self.spark)
-
-
-class StateStore:
-    """The state in hash buckets of the key, as versions. A version names the folder of each bucket's rows; a write makes
-    new folders for the buckets that it is given, and its pointer row last, so what is read and written grows with the keys
-    of a batch and not with the state. A reader sees whole versions only, a failed write leaves the old one in place, and
-    files are never overwritten while they are read. A bucket has one folder, so there is nothing to compact; expire()
-    deletes old versions. Rows of a bucket are in order of next_run_at, so a scan for what is due skips row groups."""
-
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
-
-    def _path(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path.getFileSystem(self.spark._jsc.sc().hadoopConfiguration()), path
-
-    def _names(self, folder: str) -> list[str]:
-        fs, path = self._path(folder)
-        return [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
-
-    def _pointer(self, version: int) -> tuple[int, dict[int, str], int]:
-        row = self.spark.read.schema("buckets map<int,string>, batch long").parquet(f"{self.root}/versions/{version}").first()
-        return version, row.buckets or {}, row.batch
-
-    def _versions(self) -> list[int]:
-        return sorted(int(v) for v in self._names("versions") if v.isdigit() and "_SUCCESS" in self._names(f"versions/{v}"))
-
-    def current(self) -> tuple[int, dict[int, str], int]:
-        """Version, folder of each bucket that has rows, and the last batch written; (0, {}, -1) before the first."""
-        versions = self._versions()
-        return self._pointer(versions[-1]) if versions else (0, {}, -1)
-
-    def _bucket(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
-
-    def buckets_of(self, keys: DataFrame, key: str = "source_doc_id") -> list[int]:
-        """The buckets of some keys, whose type is that of the state's; not more than all buckets."""
-        return sorted(r.b for r in keys.select(self._bucket(F.col(key)).alias("b")).distinct().collect())
-
-    def read(self, empty: DataFrame, only: list[int] | None = None) -> DataFrame:
-        """The state, or its rows in some buckets."""
-        held = self.current()[1]
-        paths = [f"{self.root}/data/{held[b]}/bucket={b}" for b in sorted(held) if only is None or b in set(only)]
-        return self.spark.read.schema(empty.schema).parquet(*paths) if paths else empty
-
-    def write(self, state: DataFrame, batch: int = -1, only: list[int] | None = None) -> None:
-        """A new version: the state, or with only the rows of those buckets, the others staying as they are."""
-        version, held, _ = self.current()
-        folder = f"{version + 1}-{uuid.uuid4().hex[:8]}"
-        rows = state.withColumn("bucket", self._bucket(F.col("source_doc_id")))
-        rows = rows.repartition(max(1, len(only) if only is not None else self.buckets), "bucket").sortWithinPartitions("bucket", "next_run_at")
-        rows.write.partitionBy("bucket").parquet(f"{self.root}/data/{folder}")
-        new = {int(n.partition("=")[2]): folder for n in self._names(f"data/{folder}") if n.startswith("bucket=")}
-        kept = {} if only is None else {b: f for b, f in held.items() if b not in set(only)}
-        self.spark.createDataFrame([(kept | new, batch)], "buckets map<int,string>, batch long").coalesce(1).write.parquet(f"{self.root}/versions/{version + 1}")
-
-    def expire(self, keep: int = 2) -> None:
-        """Delete all but the last versions and the folders that these don't name."""
-        versions = self._versions()
-        named = {f"{f}/bucket={b}" for v in versions[-keep:] for b, f in self._pointer(v)[1].items()}
-        for v in versions[:-keep]:
-            self._delete(f"versions/{v}")
-        newest = max(versions[-1:], default=0)
-        for folder in self._names("data"):
-            if int(folder.partition("-")[0]) > newest:
-                continue  # being written
-            parts = [n for n in self._names(f"data/{folder}") if n.startswith("bucket=")]
-            for n in parts:
-                if f"{folder}/{n}" not in named:
-                    self._delete(f"data/{folder}/{n}")
-            if not any(f"{folder}/{n}" in named for n in parts):
-                self._delete(f"data/{folder}")
-
-    def _delete(self, name: str) -> None:
-        fs, path = self._path(name)
-        fs.delete(path, True)
-
-    def scratch(self) -> str:
-        """A new folder for a round's own tables."""
-        return f"{self.root}/scratch/{uuid.uuid4().hex}"
-
-    def forget(self, folder: str) -> None:
-        self._delete(folder.removeprefix(f"{self.root}/"))

@@ -71,12 +71,13 @@ def start(events: DataFrame, sources: Sources, registry: Registry, store: StateS
     key = empty.schema["source_doc_id"].dataType
 
     def batch(rows: DataFrame, number: int) -> None:
-        if store.current()[2] >= number:
+        if store.current().batch >= number:
             return
         last = latest(wanted(rows, registry)).persist()
         touched = store.buckets_of(last.select(F.col("key").cast(key).alias("source_doc_id")))
         if touched:
-            store.write(apply_events(last, sources, registry, store.read(empty, touched), clock(), key_ranges(last)), number, touched)
+            ranges = key_ranges(last)
+            store.update(lambda state, _: apply_events(last, sources, registry, state, clock(), ranges), empty, number, touched)
         last.unpersist()
 
     writer = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
@@ -87,8 +88,9 @@ def cold_start(events: DataFrame, sources: Sources, registry: Registry, store: S
     """Reconcile all sources, then follow the stream from a little before that began, so that no change falls between; what
     is seen twice changes nothing. The query, and the control rows to store."""
     since = clock()
-    state, controls = reconcile(sources, registry, stored or {}, store.read(empty), since)
-    store.write(state)
+    base = store.current()
+    state, controls = reconcile(sources, registry, stored or {}, store.read(empty, at=base), since)
+    store.write(state, base=base)
     fresh = events.filter(F.col("ts") >= F.lit(since - timedelta(milliseconds=overlap_ms)).cast("timestamp_ntz"))
     return start(fresh, sources, registry, store, empty, checkpoint, clock, **options), controls
 
@@ -99,6 +101,18 @@ def debounced(events: DataFrame, gap: str, *keys: str) -> DataFrame:
     return events.groupBy(*keys, s).agg(F.count("*").alias("events")).select(*keys, F.col("session_window.start").alias("first"), F.col("session_window.end").alias("run_at"), "events")
 
 
+def debounced_stream(events: DataFrame, gap: str, *keys: str, late: str = "0 seconds") -> DataFrame:
+    """debounced() of a live stream: each key's open session is state, which its next event within the gap extends; when the
+    stream's time (the last event's, less `late`) has passed its end, the session is emitted once and its state is gone.
+    Events that are later than `late` are dropped, as their sessions may have been emitted. The time goes on with any event, so
+    an idle source needs a heartbeat."""
+    # A stream's time has to be an instant: times without a zone are taken as UTC, whatever the session's zone.
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    instant = F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col("ts")))
+    sessions = debounced(events.withColumn("ts", instant).withWatermark("ts", late), gap, *keys)
+    return sessions.withColumns({c: F.timestamp_add("MICROSECOND", F.unix_micros(c), epoch) for c in ("first", "run_at")})
+
+
 def lag_s(events: DataFrame, now: datetime) -> DataFrame:
     """Seconds between the last event and now, not below 0."""
     late = F.timestamp_diff("SECOND", F.max("ts"), F.lit(now).cast("timestamp_ntz"))

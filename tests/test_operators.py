@@ -10,8 +10,8 @@ from tasktide import streaming
 from tasktide.model import CleanupPolicy, Evolution, Registry, RetryPolicy, TaskDefinition, record_schema
 from tasktide.operators import cleanup, cron, listing, metrics, planner, reconcile, transitions
 from tasktide.operators.handlers import Defer, Skip, Throttle, process_in_batches, run_handlers
-from tasktide.operators.worker import Worker
-from tasktide.sources import Sources, StateStore
+from tasktide.operators.worker import Worker, key_ranges, outcomes
+from tasktide.sources import Conflict, Sources, StateStore
 
 NOW = datetime(2024, 5, 1)
 LATER = NOW + timedelta(hours=2)
@@ -476,3 +476,193 @@ def test_cold_start_reconciles_and_follows(spark, schema, empty, tmp_path):
     q, controls = streaming.cold_start(streaming.change_stream(spark, folder), Sources(spark, {"src": lambda s: rows}), Registry(TASK), store, empty, f"file://{tmp_path}/check", lambda: LATER)
     q.awaitTermination(120)
     assert q.exception() is None and set(by_id(store.read(empty))) == {1, 2} and controls["t"].reconciled
+
+
+# Stored state
+
+
+def keyed(spark, schema, *keys, **fields):
+    out = made(spark, schema, source_doc_id=keys[0], **fields)
+    for k in keys[1:]:
+        out = out.unionByName(made(spark, schema, source_doc_id=k, **fields))
+    return out
+
+
+def test_what_a_dead_writer_leaves_blocks_nobody(spark, schema, empty, tmp_path, monkeypatch):
+    store = StateStore(spark, f"file://{tmp_path}/state", 4)
+    store.write(keyed(spark, schema, 1, 2))
+
+    def die(self, version):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(StateStore, "_publish", die)
+        with pytest.raises(RuntimeError):
+            store.write(keyed(spark, schema, 7))
+    assert set(by_id(store.read(empty))) == {1, 2} and store.current().number == 1
+    (tmp_path / "state" / "attempts").mkdir(exist_ok=True)
+    (tmp_path / "state" / "attempts" / "half").write_text("{")
+    assert store.write(keyed(spark, schema, 3)).number == 2 and set(by_id(store.read(empty))) == {3}
+    store.write(keyed(spark, schema, 4))
+    store.expire(1)
+    assert len(store._names("data")) == 1 and set(by_id(store.read(empty))) == {4}
+
+
+def test_two_writers_of_one_bucket_lose_nothing(spark, schema, empty, tmp_path):
+    store = StateStore(spark, f"file://{tmp_path}/state", 1)
+    store.write(keyed(spark, schema, 1, 2))
+    base = store.current()
+    mark = lambda key, error: lambda state, _=None: state.withColumn("last_error", F.when(F.col("source_doc_id") == key, error).otherwise(F.col("last_error")))
+    store.write(mark(1, "first")(store.read(empty, [0], base)), None, [0], base)
+    with pytest.raises(Conflict):
+        store.write(mark(2, "second")(store.read(empty, [0], base)), None, [0], base)
+    store.update(mark(2, "second"), empty, only=[0])
+    assert {k: r.last_error for k, r in by_id(store.read(empty)).items()} == {1: "first", 2: "second"}
+
+    def beside(state, version, done=[]):  # another writer comes between, once
+        if not done:
+            done.append(store.update(mark(1, "between"), empty, 5, [0], {"who": "other"}))
+        return mark(2, "third")(state)
+
+    assert store.update(beside, empty, only=[0]).batch == 5 and store.current().notes == {"who": "other"}
+    assert {k: r.last_error for k, r in by_id(store.read(empty)).items()} == {1: "between", 2: "third"}
+
+
+def test_writers_of_other_buckets_join(spark, schema, empty, tmp_path):
+    store = StateStore(spark, f"file://{tmp_path}/state", 16)
+    store.write(keyed(spark, schema, *range(12)))
+    one, two = ([b] for b in store.buckets_of(store.read(empty))[:2])
+    base = store.current()
+    store.write(store.read(empty, one, base).withColumn("status", F.lit("completed")).withColumn("next_run_at", F.lit(None).cast("timestamp_ntz")), 3, one, base, {"a": 1})
+    store.write(store.read(empty, two, base).withColumn("status", F.lit("failed")), None, two, base, {"b": 2})
+    now = store.current()
+    assert now.number == 3 and now.batch == 3 and now.notes == {"a": 1, "b": 2}
+    rows = by_id(store.read(empty))
+    completed = {k for k, r in rows.items() if r.status == "completed"}
+    assert len(rows) == 12 and completed and any(r.status == "failed" for r in rows.values())
+    assert {r.source_doc_id for r in store.due(LATER, 99).collect()} == set(rows) - completed
+    with pytest.raises(Conflict):
+        store.write(store.read(empty, at=base), base=base)
+    assert store.note({"a": None}).notes == {"b": 2}
+
+
+def test_a_worker_and_the_stream_on_one_bucket(spark, schema, empty, tmp_path):
+    """While handlers run, the stream changes the same records: it isn't undone, and outcomes meet the changed rows."""
+    prices = {1: 5, 2: 5}
+    sources = Sources(spark, {"src": lambda s: source(s, *((k, "a", p) for k, p in prices.items()))})
+    task = TaskDefinition("t", "src", "id", {"kind": "a"}, {"price": 1}, handler=lambda r: None)
+    store = StateStore(spark, f"file://{tmp_path}/state", 1)
+    store.write(keyed(spark, schema, 1, 2))
+    worker = Worker(store, sources, Registry(task), empty, lambda: LATER)
+    read, calls = store.read, []
+
+    def reading(e, only=None, at=None):
+        out = read(e, only, at)
+        calls.append(at.number)
+        if change := {1: 1, 3: 2}.get(len(calls)):  # between the claim's read and its write, and before the outcomes' write
+            prices[change] += 1
+            base = store.current()
+            store.write(planner.plan(source(spark, (change, "a", prices[change])), [task], read(e, [0], base), LATER), None, [0], base)
+        return out
+
+    store.read = reading
+    assert worker.round() == 1  # the first record has to wait again
+    store.read = read
+    rows = by_id(store.read(empty))
+    assert {k: (r.observed.price, r.status, r.attempts) for k, r in rows.items()} == {1: (6, "pending", 0), 2: (6, "pending", 0)}
+    assert len(rows[2].history) == 1 and {r.next_run_at for r in rows.values()} == {LATER + timedelta(seconds=1)} and store.current().number == 5
+
+
+@pytest.mark.parametrize("buckets", [4, 32])
+def test_a_claim_opens_few_files_whatever_the_buckets(spark, schema, empty, tmp_path, buckets):
+    """The first of ten thousand records: nine thousand have no time, nine hundred come later, a hundred are due."""
+    store = StateStore(spark, f"file://{tmp_path}/state", buckets, part=50, most=3)
+    rest = [c for c in schema.fieldNames() if c not in ("source_doc_id", "next_run_at")]
+    when = F.when(F.col("i") >= 9900, F.lit(NOW).cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("i") - 9900).cast("decimal(18,6)"))).when(F.col("i") >= 9000, F.lit(NOW + timedelta(days=3)).cast("timestamp_ntz"))
+    state = made(spark, schema).crossJoin(spark.range(10_000).select(F.col("id").alias("i"))).select(*rest, F.col("i").alias("source_doc_id"), when.alias("next_run_at")).select(schema.fieldNames())
+    store.write(state)
+    first = store.due(LATER, 1)
+    assert [r.source_doc_id for r in first.collect()] == [9900] and len(first.inputFiles()) == 1
+    for k in range(9900, 9908):  # the first ones are done, one by one
+        only = store.buckets_of(spark.createDataFrame([(k,)], "source_doc_id long"))
+        store.update(lambda s, _, k=k: s.withColumn("next_run_at", F.when(F.col("source_doc_id") != k, F.col("next_run_at"))), empty, only=only)
+        first = store.due(LATER, 1)
+        assert [r.source_doc_id for r in first.collect()] == [k + 1] and len(first.inputFiles()) <= 8
+    assert [r.source_doc_id for r in store.due(LATER, 500).collect()] == list(range(9908, 10_000))
+    assert store.due(NOW - timedelta(days=1), 5) is None and store.due(LATER, 5, ["other"]).count() == 0
+
+
+def test_reconcile_goes_on_behind_its_checkpoint(spark, schema, empty, tmp_path):
+    rows = spark.range(400).select("id", F.lit("a").alias("kind"), (F.col("id") % 7).cast("long").alias("price"))
+    rows.repartitionByRange(8, "id").write.parquet(f"{tmp_path}/src.parquet")
+    read = []
+
+    def src(s):
+        read.append(1)
+        return s.read.parquet(f"{tmp_path}/src.parquet")
+
+    sources = Sources(spark, {"src": src})
+    start = keyed(spark, schema, 5, 900, updated_at=NOW - timedelta(days=1))
+    store = StateStore(spark, f"file://{tmp_path}/state", 4)
+    store.write(start)
+    asked = iter([False, False, True])
+    controls = reconcile.reconcile_checkpointed(sources, Registry(TASK), store, empty, LATER, 100, lambda: next(asked))
+    place = store.current().notes["reconcile src"]
+    assert not controls["t"].reconciled and place["tasks"] == ["t"] and 150 < place["last"] < 250
+    assert set(by_id(store.read(empty))) == {*range(place["last"] + 1), 900}
+    version = store.current().number
+
+    killed = iter([False])
+    with pytest.raises(StopIteration):  # dies behind one more range
+        reconcile.reconcile_checkpointed(sources, Registry(TASK), store, empty, LATER, 100, lambda: next(killed))
+    assert store.current().notes["reconcile src"]["last"] > place["last"]
+    controls = reconcile.reconcile_checkpointed(sources, Registry(TASK), store, empty, LATER, 100)
+    assert controls["t"].reconciled and "reconcile src" not in store.current().notes and store.current().number > version
+    whole, _ = reconcile.reconcile(sources, Registry(TASK), {}, start, LATER)
+    assert by_id(store.read(empty)) == by_id(whole) and 900 not in by_id(whole)
+    n, again = store.current().number, len(read)
+    assert reconcile.reconcile_checkpointed(sources, Registry(TASK), store, empty, LATER, 100) == controls
+    assert (store.current().number, len(read)) == (n, again)  # nothing to do, nothing read
+
+    other = TaskDefinition("u", "src", "id", {"kind": "a"}, {"price": 1}, evolution=Evolution())
+    store.note({"reconcile src": {"tasks": ["t"], "last": 399}})  # made for other tasks: from the start
+    reconcile.reconcile_checkpointed(sources, Registry(TASK, other), store, empty, LATER, 1000)
+    assert store.read(empty).filter("task = 'u'").count() == 400
+
+
+def test_an_upgrade_is_reset_once_however_often_a_reconcile_is_stopped(spark, schema, empty, tmp_path):
+    v2 = TaskDefinition("t", "src", "id", {"kind": "a"}, {"price": 1}, evolution=Evolution(version=2, on_upgrade="reprocess_all"))
+    sources = Sources(spark, {"src": lambda s: source(s, (1, "a", 5))})
+    store = StateStore(spark, f"file://{tmp_path}/state", 2)
+    store.write(keyed(spark, schema, 1, status="completed", next_run_at=None), notes={"controls": {"t": reconcile._note(reconcile.Control(v2.signature(), 1, False))}})
+    reconcile.reconcile_checkpointed(sources, Registry(v2), store, empty, LATER, should_stop=lambda: True)
+    assert by_id(store.read(empty))[1].status == "pending"
+    store.update(lambda s, _: s.withColumn("status", F.lit("completed")), empty)
+    reconcile.reconcile_checkpointed(sources, Registry(v2), store, empty, LATER)
+    assert by_id(store.read(empty))[1].status == "completed" and reconcile.noted_controls(store.current())["t"].version == 2
+
+
+def test_outcomes_scan_each_source_once(spark, schema, tmp_path):
+    source(spark, (1, "a", 5), (2, "b", 6), (3, "a", 9)).write.parquet(f"{tmp_path}/src.parquet")
+    sources = Sources.of_parquet(spark, str(tmp_path), ["src"])
+    task = TaskDefinition("t", "src", "id", {"kind": "a"}, {"price": 1}, handler=lambda r: None)
+    claimed = keyed(spark, schema, 1, 2, 3, 4)
+    said = outcomes(claimed, sources, Registry(task), NOW, ranges=key_ranges(claimed, Registry(task)))
+    plan = said._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "LessThanOrEqual(id,4)" in plan
+    assert {r.source_doc_id: r.outcome for r in said.collect()} == {1: "completed", 2: "skipped", 3: "skipped", 4: "skipped"}
+
+
+def test_debounce_of_a_live_stream_expires_its_state(spark, tmp_path):
+    at = lambda s: NOW + timedelta(seconds=s)
+    batches = [[(1, at(0), "s", 1, "insert"), (2, at(5), "s", 1, "update")], [(3, at(12), "s", 1, "update"), (4, at(14), "s", 2, "update")], [(5, at(60), "s", 1, "update")], [(6, at(500), "beat", 0, "update")]]
+    folder = f"file://{tmp_path}/events"
+    for b in batches:
+        spark.createDataFrame(b, streaming.EVENT).coalesce(1).write.mode("append").parquet(folder)
+    live = streaming.debounced_stream(streaming.change_stream(spark, folder), "10 seconds", "source", "key")
+    q = live.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/check").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    assert q.exception() is None and len({p["batchId"] for p in q.recentProgress}) >= 4
+    got = sorted((r.source, r.key, r.run_at, r.events) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [("s", 1, at(22), 3), ("s", 1, at(70), 1), ("s", 2, at(24), 1)]
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1  # the heartbeat's own
