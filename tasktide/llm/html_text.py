@@ -20,9 +20,10 @@ each host, and a page's text is made in the task that reads the page, so no page
 these rows. Node counts are map-side sums over a host, path and value.
 
 Defined results: null or empty html gives the empty text; a null or odd url is a host named by the empty string;
-repeated rows keep a row each in the result; unclosed or misnested tags end with the elements around them; below
-`DEPTH` open elements, further ones are no nodes of their own and their text is that of the last; a tag without end is
-text, an attribute value without end stops at the next ">". The time to read a page is linear in its length.
+repeated rows keep a row each in the result; unclosed or misnested tags end with the elements around them; elements nest
+to any depth; a tag without end is text, an attribute value without end stops at the next ">"; a form that holds most of a
+page's text is no form but the page; what is removed leaves a block's end, so the words around it don't join. The time to
+read a page is linear in its length.
 """
 
 from __future__ import annotations
@@ -57,28 +58,45 @@ _NO_CONTENT_ROLES = frozenset("navigation banner contentinfo complementary searc
 #: Class words that name no content where they are a whole class.
 _NO_CONTENT = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar masthead comment comments disqus cookie cookies "
-    "consent gdpr popup modal overlay subscribe newsletter share sharing pagination pager footer".split()
+    "consent gdpr popup modal overlay subscribe newsletter share sharing pagination pager footer replies responses respond".split()
 )
 #: Words that often, not always, do; so do those above as parts of longer names.
 _DOUBTFUL = _NO_CONTENT | frozenset("banner header aside widget notice signup login social related recommended toolbar copyright legal skip".split())
 
-#: Most open elements that are nodes, and quoted attributes of a tag.
-DEPTH, ATTRIBUTES = 100, 256
+#: Words that say where or how something stands, so that a longer name with one of the above says no more than that one.
+_PLACES = frozenset("area bar block bottom box button buttons col column container desktop element fixed global group icon icons inner item items left link links list main mobile module outer page panel posts region right row section site sticky stories top wrap wrapper".split())
+#: Raw elements that show nothing, so the text around them goes on.
+_UNSEEN = frozenset("script style noscript template title".split())
+#: Items of lists and tables, and what they are in.
+_ITEMS = frozenset(_SAME) | _LISTS
 
 #: What a node's name says: kinds of names, from no content to nothing.
 SURE, DOUBTFUL, DOUBTFUL_IN_MAIN, PLAIN = range(4)
 
 
 class _Node:
-    __slots__ = ("tag", "path", "kind", "style", "content", "size", "noise", "main")
+    """An open element. paragraph and item: the places in the stack of the innermost element, itself included, that ends the
+    search for an open paragraph, or for an open item of a list or table; 0 if there is none."""
 
-    def __init__(self, tag: str, path: int, kind: int, noise: bool, main: bool):
+    __slots__ = ("tag", "path", "kind", "style", "content", "size", "noise", "main", "paragraph", "item")
+
+    def __init__(self, tag: str, path: int, kind: int, noise: bool, main: bool, paragraph: int = 0, item: int = 0):
         self.tag, self.path, self.kind, self.noise, self.main, self.style, self.content, self.size = tag, path, kind, noise, main, 0, 0, 0
+        self.paragraph, self.item = paragraph, item
+
 
+def _doubtful(value: str) -> bool:
+    """Whether a class or id is, or ends with, a doubtful word, or says nothing else but places."""
+    for name in value.split():
+        words = _WORD.findall(name)
+        if words and (words[-1] in _DOUBTFUL or (not _DOUBTFUL.isdisjoint(words) and all(w in _DOUBTFUL or w in _PLACES for w in words))):
+            return True
+    return False
 
-def _named(tag: str, attributes: str, within_main: bool) -> tuple[str, int]:
+
+def _named(tag: str, attributes: str, within_main: bool, plain_forms: bool = False) -> tuple[str, int]:
     """The name of an element in its path, and the kind of name."""
-    kind = SURE if tag in _NO_CONTENT_TAGS or (tag == "header" and not within_main) else PLAIN
+    kind = SURE if (tag in _NO_CONTENT_TAGS and not (plain_forms and tag == "form")) or (tag == "header" and not within_main) else PLAIN
     name, doubtful = tag, False
     if "=" in attributes and tag not in ("body", "html", "main"):
         for m in _ATTRIBUTE.finditer(attributes):
@@ -90,17 +108,19 @@ def _named(tag: str, attributes: str, within_main: bool) -> tuple[str, int]:
             name += "." + "-".join(words)
             if not _NO_CONTENT.isdisjoint(value.split()) and (of == "class" or not within_main):
                 kind = SURE
-            elif not _DOUBTFUL.isdisjoint(words) and tag not in _BLOCKS_OF_TEXT and not (of == "id" and within_main):
+            elif tag not in _BLOCKS_OF_TEXT and not (of == "id" and within_main) and _doubtful(value):
                 doubtful = True
     return name, kind if kind == SURE or not doubtful else DOUBTFUL_IN_MAIN if within_main else DOUBTFUL
 
 
 def _tag_end(text: str, at: int, unclosed: dict[str, int]) -> int:
-    """Where the tag whose name ends at `at` ends: at its ">", or before a "<"; -1 if nothing ends it."""
-    n = len(text)
-    for _ in range(ATTRIBUTES):
+    """Where the tag whose name ends at `at` ends: at its ">", or before a "<"; -1 if nothing ends it. Where such searches
+    to the end of a page have read it many times over, the next ">" ends a tag."""
+    n, begin = len(text), at
+    while unclosed.get("read", 0) <= 16 * n:
         at = _PLAIN.match(text, at).end()
         if at == n:
+            unclosed["read"] = unclosed.get("read", 0) + n - begin
             return -1
         if text[at] != "=":
             return at
@@ -115,30 +135,39 @@ def _tag_end(text: str, at: int, unclosed: dict[str, int]) -> int:
 
 
 def walk(text: str, unlike: frozenset[int] | None) -> tuple[list[tuple[str, bool]], list[tuple[int, int, bool, int, int]]]:
+    """_walk(), with forms taken for plain elements where one holds most of the page's text."""
+    *found, form = _walk(text, unlike, False)
+    return _walk(text, unlike, True)[:2] if form else tuple(found)
+
+
+def _walk(text: str, unlike: frozenset[int] | None, plain_forms: bool) -> tuple[list[tuple[str, bool]], list[tuple[int, int, bool, int, int]], bool]:
     """Parts of the page's text that are content, each with whether it lies in an article or main element; a part that is a
-    single space stands for a block's end. And (path, kind of name, block of text, style, content) of each element.
+    single space stands for a block's end. And (path, kind of name, block of text, style, content) of each element; and
+    whether a form holds most of the text.
 
     unlike holds the paths that are judged otherwise than their names alone would be; without it nothing is removed."""
     parts: list[tuple[str, bool]] = []
     nodes: list[tuple[int, int, bool, int, int]] = []
     stack = [_Node("", 1, PLAIN, False, False)]
     opened: dict[str, int] = {}
-    deeper: dict[str, int] = {}
+    form = 0
     unclosed: dict[str, int] = {">": text.rfind(">") + 1}
     ends: dict[str, int] = {}
     at, pos, n = 0, 0, len(text)
 
     def close(depth: int) -> None:
+        nonlocal form
         block = False
         while len(stack) > depth:
             e = stack.pop()
             opened[e.tag] -= 1
-            block |= e.tag not in _INLINE
             up = stack[-1]
+            block |= e.tag not in _INLINE or (e.noise and not up.noise)
+            if e.tag == "form":
+                form = max(form, e.size)
             up.content = crc32(e.content.to_bytes(4, "big"), up.content)
             up.size += e.size
             nodes.append((e.path, e.kind, e.tag in _BLOCKS_OF_TEXT or e.tag in _INLINE, crc32(b"%d" % e.size.bit_length(), e.style), e.content))
-        deeper.clear()
         if block:
             parts.append((" ", False))
 
@@ -173,9 +202,7 @@ def walk(text: str, unlike: frozenset[int] | None) -> tuple[list[tuple[str, bool
         at = pos = end + (text[end] == ">")
         tag = m[1].lower()
         if first == "/":
-            if deeper.get(tag):
-                deeper[tag] -= 1
-            elif opened.get(tag):
+            if opened.get(tag):
                 close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             elif tag not in _INLINE:
                 parts.append((" ", False))
@@ -184,7 +211,7 @@ def walk(text: str, unlike: frozenset[int] | None) -> tuple[list[tuple[str, bool
         if tag in _INLINE:
             if alone or not ("=" in attributes or opened.get(tag)):
                 continue
-            name, kind = _named(tag, attributes, stack[-1].main)
+            name, kind = _named(tag, attributes, stack[-1].main, plain_forms)
             if kind == PLAIN and not opened.get(tag):
                 continue
         else:
@@ -200,39 +227,37 @@ def walk(text: str, unlike: frozenset[int] | None) -> tuple[list[tuple[str, bool
                 elif tag in _TO_THE_END and not alone:
                     pos = n
                     break
+                if tag not in _UNSEEN:
+                    parts.append((" ", False))
                 continue
-            if tag in _CLOSES_P and opened.get("p"):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p":
-                        close(k)
-                        break
-                    if stack[k].tag in _CLOSES_P or stack[k].tag == "li":
-                        break
+            if tag in _CLOSES_P and stack[stack[-1].paragraph].tag == "p":
+                close(stack[-1].paragraph)
             if tag in _SAME:
-                for k in range(len(stack) - 1, 0, -1):
+                # Between two lists each kind of item is open once at most, so the steps are few.
+                k = stack[-1].item
+                while k and stack[k].tag not in _LISTS:
+                    below = stack[k - 1].item
                     if stack[k].tag in _SAME[tag]:
                         close(k)
                         if tag != "tr":
                             break
-                    elif stack[k].tag in _LISTS:
-                        break
+                    k = below
             parts.append((" ", False))
-            name, kind = _named(tag, attributes, stack[-1].main)
+            name, kind = _named(tag, attributes, stack[-1].main, plain_forms)
         top = stack[-1]
         top.style = crc32(name.encode("utf-8", "replace"), top.style)
         if alone:
             continue
-        if len(stack) > DEPTH:
-            deeper[tag] = deeper.get(tag, 0) + 1
-            continue
         path = ((top.path * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 1) ^ crc32(name.encode("utf-8", "replace")) << 15
         noise = top.noise or (unlike is not None and (kind in (SURE, DOUBTFUL)) != (path in unlike))
-        stack.append(_Node(tag, path, kind, noise, (top.main or tag in ("article", "main")) and not noise))
+        here = len(stack)
+        paragraph = here if tag in ("p", "li") or tag in _CLOSES_P else top.paragraph
+        stack.append(_Node(tag, path, kind, noise, (top.main or tag in ("article", "main")) and not noise, paragraph, here if tag in _ITEMS else top.item))
         opened[tag] = opened.get(tag, 0) + 1
     if n > pos:
         put(n)
     close(1)
-    return parts, nodes
+    return parts, nodes, not plain_forms and 2 * form > stack[0].size
 
 
 def main_text(text: str | None, unlike: frozenset[int] = frozenset()) -> str:

@@ -40,6 +40,12 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component to between a half and one: exact, and no square or
+    product of it overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if x.size else x
+
+
 class Forest:
     """Sorted arrays of hash strings (unsigned, the first bit is the highest): one per tree."""
 
@@ -104,7 +110,7 @@ class VectorSearch:
                     if d not in directions:
                         directions[d] = np.random.default_rng(seed + d).normal(size=(d, trees * bits))
                     for a in range(0, len(x), 1000):
-                        on = (x[a : a + 1000] / np.abs(x[a : a + 1000]).max(axis=1, keepdims=True) @ directions[d] > 0).reshape(-1, trees, bits)
+                        on = (_scaled(x[a : a + 1000]) @ directions[d] > 0).reshape(-1, trees, bits)
                         keys = pa.array((on * weight).sum(axis=2).astype(np.uint32).view(np.int32).reshape(-1))
                         n = len(on)
                         yield pa.RecordBatch.from_arrays([part.column(0).slice(a, n), pa.array(np.full(n, d, np.int32)), part.column(1).slice(a, n), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * trees), keys)], ["vec_id", "size", "v", "keys"])
@@ -166,13 +172,13 @@ class VectorSearch:
             out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
             if queries.num_rows and rows.num_rows:
                 d = rows.column("size")[0].as_py()
-                x = _matrix(rows.column("v"), d).astype(float)
+                x = _scaled(_matrix(rows.column("v"), d).astype(float))
                 norm = np.sqrt((x * x).sum(axis=1))
                 forest = Forest(self._strings(rows), self.bits)
                 ids, of_id = np.unique(rows.column("vec_id").to_numpy(), return_inverse=True)
                 for at in range(0, queries.num_rows, 256):
                     part = queries.slice(at, 256)
-                    out += self._search(forest, x, norm, ids, of_id, part.column("vec_id").to_numpy(), _matrix(part.column("v"), d).astype(float), self._strings(part), k)
+                    out += self._search(forest, x, norm, ids, of_id, part.column("vec_id").to_numpy(), _scaled(_matrix(part.column("v"), d).astype(float)), self._strings(part), k)
             return pa.table(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)))
 
         keys = ("size", "shard", "block")

@@ -367,3 +367,50 @@ def test_repair_leaves_good_conversations_alone(spark):
     got = QUERIES["op3_chat_format"](spark, SF)
     turns = spark.read.parquet(f"{SF}/conversations.parquet")
     assert got.filter("action = 'keep'").count() == turns.count()
+
+
+# Extremes
+
+
+MENUS = '<p>body</p><nav>MENU</nav><aside>SIDE</aside><div class="ad">BUY</div><header>TOP</header>'
+
+
+@pytest.mark.parametrize("depth", [0, 10, 100, 101, 1000])
+def test_depth_changes_nothing(spark, depth):
+    assert main_text("<div>" * depth + MENUS) == "body"
+    inside = "<div>" * depth + "side<article>text</article>" + "</div>" * depth + "more"
+    assert main_text(inside) == "text" and main_text("<div class=x>" * depth + "<article><p>text<ul><li>one<li>two</ul></article>") == "text one two"
+
+
+def test_attributes_of_any_number_are_read():
+    many = " ".join(f'data-{i}="a>b"' for i in range(300))
+    assert main_text(f'<div {many} class="ad">BUY</div><p>body</p>') == "body"
+    assert main_text("<a " * 3 + 'b="<" ' * 5) != ""  # not a tag, and no error
+
+
+def test_forms_of_a_whole_page_are_the_page():
+    page = "<p>The whole page of an application lies in its form.</p><p>More text.</p>"
+    assert main_text(f"<body><form id=f>{page}<nav>MENU</nav></form><footer>END</footer></body>") == "The whole page of an application lies in its form. More text."
+    assert main_text(f"{page}<form>Search here</form>") == "The whole page of an application lies in its form. More text."
+
+
+def test_names_of_content_and_of_comments():
+    for name in ("legal-history", "social-sciences", "header-design-guide"):
+        assert main_text(f'<div class="{name}">kept</div>') == "kept"
+    for name in ("legal", "site-header", "social-links", "related-posts", "cookie-banner", "replies", "comments", "box-promo-left"):
+        assert main_text(f'<div class="{name}">GONE</div><p>kept</p>') == "kept"
+
+
+def test_removed_elements_do_not_join_words():
+    assert main_text("<label>Name</label><textarea>x</textarea>z") == "Name z"
+    assert main_text('a<span class="ad">BUY</span>b') == "a b"
+    assert main_text("un<script>x()</script>broken") == "unbroken"
+
+
+def test_search_with_components_of_any_size(spark):
+    """Finite vectors whose squares overflow or vanish take part, and one scale or another gives the same cosines."""
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 0.0]), (2, [1e-200, 1e-200]), (3, [1.0, -1.0]), (4, [5e-324, 5e-324]), (5, [-1.7e308, -1.7e308]), (6, [3.0, 1e-320])]
+    found = VectorSearch().nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 6).collect()
+    expected = {1: math.sqrt(0.5), 2: 1.0, 3: 0.0, 4: 1.0, 5: -1.0, 6: math.sqrt(0.5)}
+    assert {r.vec_id: round(r.score, 12) for r in found} == {i: round(x, 12) for i, x in expected.items()}
+    assert [r.vec_id for r in sorted(found, key=lambda r: r["rank"])] == [2, 4, 1, 6, 3, 5]
