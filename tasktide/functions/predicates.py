@@ -202,6 +202,8 @@ class Filters:
         if op == "$cond":
             test, yes, no = (args["if"], args["then"], args["else"]) if isinstance(args, dict) else args
             return F.when(get(test), get(yes)).otherwise(get(no))
+        if op in _TRIMS and isinstance(args, dict) and "input" in args:
+            return _TRIMS[op](get(args["input"]), get(args["chars"]) if "chars" in args else F.lit(_BLANKS))
         many = list(args) if isinstance(args, (list, tuple)) else [args]
         x = [get(a) for a in many]
         if op == "$add" and len(x) == 2 and isinstance(many[1], (int, float)) and self._is_time(many[0]):
@@ -228,6 +230,10 @@ def _max(*x: Column) -> Column:
     return F.array_max(x[0]) if len(x) == 1 else F.greatest(*x)
 
 
+#: What is trimmed unless other characters are given: white space and the null character.
+_BLANKS = "\0\t\n\v\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
+_TRIMS: dict[str, Callable[[Column, Column], Column]] = {"$trim": F.btrim, "$ltrim": lambda a, c: F.ltrim(a, c), "$rtrim": lambda a, c: F.rtrim(a, c)}
+
 #: Expression operators over evaluated arguments. Comparisons put absent values below all others.
 _OPERATORS: dict[str, Callable[..., Column]] = {
     "$eq": lambda a, b: a.eqNullSafe(b),
@@ -265,12 +271,12 @@ _OPERATORS |= {
     "$abs": F.abs,
     "$ceil": F.ceil,
     "$floor": F.floor,
-    "$round": lambda a, n=None: F.round(a, n if n is not None else 0),
+    "$round": lambda a, n=None: F.bround(a, n if n is not None else 0),  # halves to the even
     "$avg": lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + F.coalesce(v.cast("double"), F.lit(0.0))) / F.nullif(F.size(F.filter(a, lambda v: v.isNotNull())), F.lit(0)),
     "$concat": lambda *x: F.concat(*x),
     "$toLower": lambda a: F.lower(F.coalesce(a, F.lit(""))),
     "$toUpper": lambda a: F.upper(F.coalesce(a, F.lit(""))),
-    "$trim": lambda a: F.trim(a),
+    **{op: (lambda a, trim=trim: trim(a, F.lit(_BLANKS))) for op, trim in _TRIMS.items()},
     "$strLenCP": F.length,
     "$toString": lambda a: a.cast("string"),
     "$toInt": lambda a: a.try_cast("int"),

@@ -78,6 +78,42 @@ def increase(samples: DataFrame, series: list[str]) -> DataFrame:
     return samples.withColumn("increase", F.when(before.isNull(), 0.0).when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before).cast("double"))
 
 
+def ranges(samples: DataFrame, series: list[str], seconds: int, step_s: int, chunk_s: int = 86_400) -> DataFrame:
+    """Counter samples (ts, value) over sliding ranges: for each series and each multiple of step_s whose range, the `seconds`
+    up to it, holds two samples or more: at_s (epoch seconds), n, increase and rate (a second).
+
+    What a counter rose by from sample to sample, restarts taken into account, is summed over the range but for its first
+    sample, and drawn out to the range's ends: up to half the mean distance of samples where an end is further off than 1.1 of
+    it, and not to before the counter was 0. The rise over a sample before is found within chunks of chunk_s, whose last
+    samples are handed on as one row for each, so that a long series isn't one task's; the ranges are map-side sums."""
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+    rows = samples.select(*series, F.col("value").cast("double").alias("value"), us.alias("us")).withColumn("chunk", F.floor(F.col("us") / (chunk_s * 1_000_000)))
+    last = rows.groupBy(*series, "chunk").agg(F.max_by("value", "us").alias("last"))
+    handed = last.withColumn("last", F.lag("last").over(W.partitionBy(*series).orderBy("chunk")))
+    before = F.coalesce(F.lag("value").over(W.partitionBy(*series, "chunk").orderBy("us")), "last")
+    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"h.{c}")) for c in [*series, "chunk"]]
+    joined = rows.alias("r").join(handed.alias("h"), on, "left").select("r.*", "h.last").withColumn("before", before)
+    rise = F.when(F.col("before").isNull(), 0.0).when(F.col("value") < F.col("before"), F.col("value")).otherwise(F.col("value") - F.col("before"))
+    step, length = step_s * 1_000_000, seconds * 1_000_000
+    up = lambda x: F.ceil(x / step)
+    # A range is open at its begin: a sample is in those of the steps from its time on, before its time plus the range's length.
+    steps = joined.select(*series, "value", "us", rise.alias("rise"), F.explode(F.sequence(up(F.col("us")), up(F.col("us") + length) - 1)).alias("step"))
+    found = steps.groupBy(*series, "step").agg(F.count("*").alias("n"), (F.sum("rise") - F.min_by("rise", "us")).alias("rose"), F.min_by("value", "us").alias("first"), F.min("us").alias("a"), F.max("us").alias("b"))
+    at, seen = F.col("step") * step, F.col("b") - F.col("a")
+    mean = seen / (F.col("n") - 1)
+    drawn = lambda gap: F.when(gap >= 1.1 * mean, mean / 2).otherwise(gap)
+    head, tail = drawn(F.col("a") - (at - length)), drawn(at - F.col("b"))
+    head = F.when((F.col("rose") > 0) & (F.col("first") >= 0), F.least(head, seen * F.col("first") / F.col("rose"))).otherwise(head)
+    out = found.filter("n > 1 and b > a").withColumn("increase", F.col("rose") * (seen + head + tail) / seen)
+    return out.select(*series, (F.col("step") * step_s).alias("at_s"), "n", "increase", (F.col("increase") / seconds).alias("rate"))
+
+
+def health_of(ranges: DataFrame, good: Column) -> DataFrame:
+    """Percent of the rates of all series, at each step, that the good ones have; null where nothing rose."""
+    found = ranges.groupBy("at_s").agg(F.sum(F.when(good, F.col("rate")).otherwise(0.0)).alias("good"), F.sum("rate").alias("all"))
+    return found.select("at_s", (100 * F.try_divide("good", "all")).alias("score"))
+
+
 def cluster(instances: DataFrame) -> DataFrame:
     """instances (id, last_seen, metrics array<struct<name, labels map, value>>): the sums by name and labels."""
     each = instances.select(F.explode("metrics").alias("m"))

@@ -27,8 +27,9 @@ CASES = {
     "filter_now": ("orders", "o_orderkey", {"$expr": {"$lt": ["$o_orderdate", "$$NOW"]}}, f"o_orderdate < {SQL_NOW}"),
     "filter_date_add": ("lineitem", "l_orderkey", {"$expr": {"$lt": [{"$add": ["$l_shipdate", 86400000]}, "$$NOW"]}}, f"l_shipdate + INTERVAL 1 DAY < {SQL_NOW}"),
     "filter_date_value": ("orders", "o_orderkey", {"o_orderdate": {"$gte": datetime(1996, 1, 1)}}, "o_orderdate >= TIMESTAMP '1996-01-01'"),
-    "filter_regex_literal_flags": ("part", "p_partkey", {"p_type": re.compile("^promo.*(steel|tin)$", re.I | re.S)}, "regexp_matches(p_type, '^promo.*(steel|tin)$', 'is')"),
-    "filter_string_operators": ("part", "p_partkey", {"$expr": {"$and": [{"$eq": [{"$toLower": "$p_brand"}, "brand#13"]}, {"$gt": [{"$strLenCP": "$p_type"}, 12]}]}}, "lower(p_brand) = 'brand#13' AND length(p_type) > 12"),
+    "filter_regex_literal_flags": ("part", "p_partkey", {"p_type": re.compile("^[es].*(my|ll)$", re.I | re.S)}, "regexp_matches(p_type, '^[es].*(my|ll)$', 'is')"),
+    "filter_string_operators": ("part", "p_partkey", {"$expr": {"$and": [{"$eq": [{"$toLower": "$p_brand"}, "brand#13"]}, {"$gt": [{"$strLenCP": {"$trim": {"input": "$p_type", "chars": "EY"}}}, 4]}]}}, "lower(p_brand) = 'brand#13' AND length(trim(p_type, 'EY')) > 4"),
+    "filter_round": ("lineitem", "l_orderkey", {"$expr": {"$eq": [{"$mod": [{"$round": [{"$divide": ["$l_quantity", 2]}]}, 2]}, 0]}}, "round_even(l_quantity / 2, 0) % 2 = 0"),
     "filter_date_operators": ("orders", "o_orderkey", {"$expr": {"$and": [{"$eq": [{"$year": "$o_orderdate"}, 1996]}, {"$lt": [{"$mod": ["$o_orderkey", 7]}, 3]}]}}, "year(o_orderdate) = 1996 AND o_orderkey % 7 < 3"),
     "filter_division": ("lineitem", "l_orderkey", {"$expr": {"$gt": [{"$divide": ["$l_extendedprice", "$l_quantity"]}, 1500]}}, "l_extendedprice / l_quantity > 1500"),
     "filter_field_to_field": ("lineitem", "l_orderkey", {"$expr": {"$gt": ["$l_discount", "$l_tax"]}}, "l_discount > l_tax"),

@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 from datetime import timedelta
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import streaming
-from ..operators import cron, handlers, listing, metrics, reconcile, transitions
+from ..operators import cron, handlers, listing, metrics, planner, reconcile, transitions
 from ..sources import Sources, StateStore
 from .registry import SQL, query
 from .sample_state import NOW, REGISTRY, SQL_JOBS, SQL_NOW, SQL_RECORDS, change_events, jobs, records, table
@@ -29,21 +31,50 @@ def _folder(spark, name):
 # Streams
 
 
-def _streamed(spark, sf_dir, start):
-    """The stored state after a stream over the change events, as files, has come to its end."""
+def _streamed(spark, sf_dir, start, parts=((0, 1, 2),)):
+    """The stored state after a stream over the change events, as files of three parts of the keys, has come to its end; for
+    each of the given tuples of parts the stream is started once, and stopped."""
     folder = _folder(spark, "stream")
-    change_events(spark, sf_dir).write.parquet(f"{folder}/events")
-    before, events = records(spark, sf_dir), streaming.change_stream(spark, f"{folder}/events", files=10_000)
+    before, events = records(spark, sf_dir), change_events(spark, sf_dir)
     store = StateStore(spark, f"{folder}/state", buckets=4)
     store.write(before)
-    start(events, Sources.of_parquet(spark, sf_dir, ["orders"]), store, before.limit(0), f"{folder}/checkpoint").awaitTermination()
+    for run in parts:
+        for i in run:
+            events.filter(F.pmod(F.xxhash64("key"), F.lit(3)) == i).coalesce(1).write.mode("append").parquet(f"{folder}/events")
+        live = streaming.change_stream(spark, f"{folder}/events")
+        start(live, Sources.of_parquet(spark, sf_dir, ["orders"]), store, before.limit(0), f"{folder}/checkpoint").awaitTermination()
     return _rows(store.read(before.limit(0)))
 
 
+def _planner(events, sources, store, empty, checkpoint):
+    return streaming.start(events, sources, REGISTRY, store, empty, checkpoint, lambda: NOW)
+
+
 @query(SQL["cdc_apply_batch"])
 def cdc_stream_state(spark, sf_dir):
-    """A micro-batch that reads and writes the buckets of its keys: the same state as the batch path's."""
-    return _streamed(spark, sf_dir, lambda events, sources, store, empty, checkpoint: streaming.start(events, sources, REGISTRY, store, empty, checkpoint, lambda: NOW))
+    """Micro-batches that read and write the buckets of their keys: the same state as the batch path's."""
+    return _streamed(spark, sf_dir, _planner)
+
+
+@query(SQL["cdc_apply_batch"])
+def cdc_resume(spark, sf_dir):
+    """The stream stops after two batches and is started again from its checkpoint."""
+    return _streamed(spark, sf_dir, _planner, ((0, 1), (2,)))
+
+
+@query(SQL["reconcile_all"])
+def cdc_lost_history(spark, sf_dir):
+    """A log in three files by event number, of which the second is gone: the stream finds the hole and reconciles."""
+    folder, before, events = _folder(spark, "lost"), records(spark, sf_dir), change_events(spark, sf_dir)
+    store = StateStore(spark, f"{folder}/state", buckets=4)
+    store.write(before)
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    third = (high - low) // 3
+    for a, b in ((low, low + third), (low + 2 * third, high + 1)):
+        events.filter(F.col("event_id").between(a, b - 1)).coalesce(1).write.mode("append").parquet(f"{folder}/events")
+    live = streaming.change_stream(spark, f"{folder}/events")
+    streaming.start(live, Sources.of_parquet(spark, sf_dir, ["orders"]), REGISTRY, store, before.limit(0), f"{folder}/checkpoint", lambda: NOW, sequenced=True).awaitTermination()
+    return _rows(store.read(before.limit(0)))
 
 
 @query(SQL["reconcile_all"])
@@ -124,10 +155,14 @@ def batch_counts(spark, sf_dir):
     return spark.createDataFrame([(counts["processed"], counts["performed"])], "processed long, performed long")
 
 
-@query("SELECT 'orders' AS source, unnest(['open_orders', 'urgent_orders']) AS task")
+@query("SELECT 'orders' AS source, task, CASE task WHEN 'open_orders' THEN count(*) FILTER (o_orderstatus = 'O') ELSE count(*) FILTER (o_orderpriority = '1-URGENT') END AS records FROM orders, (VALUES ('open_orders'), ('urgent_orders')) t(task) GROUP BY task")
 def tasks_of_sources(spark, sf_dir):
-    rows = [(s, t) for s, tasks in listing.tasks_by_source(REGISTRY).items() for t in tasks]
-    return spark.createDataFrame(rows, "source string, task string")
+    """Each source's tasks, and how many of its rows each of them is for."""
+    out = []
+    for source, tasks in listing.tasks_by_source(REGISTRY).items():
+        rows = planner.fan_out(table(spark, sf_dir, source), [REGISTRY.by_name[t] for t in tasks], NOW)
+        out.append(rows.groupBy("task").agg(F.count("*").alias("records")).select(F.lit(source).alias("source"), "task", "records"))
+    return reduce(DataFrame.unionByName, out)
 
 
 # Jobs

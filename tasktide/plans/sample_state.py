@@ -70,7 +70,8 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as scheduled jobs, with one run in the log for most."""
     s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
     day = lambda n: F.lit(NOW).cast("timestamp_ntz") + F.make_dt_interval(n)
-    run = F.struct(day((-(k % 9)).cast("int")).alias("started_at"), day((-(k % 9)).cast("int")).alias("finished_at"), F.when(k % 4 == 0, "boom").alias("error"))
+    started = day((-(k % 9)).cast("int"))
+    run = F.struct(started.alias("started_at"), (started + F.make_dt_interval(hours=(k % 5 * 11).cast("int"))).alias("finished_at"), F.when(k % 4 == 0, "boom").alias("error"))
     return s.select(
         F.col("s_name").alias("id"), F.lit("1d").alias("interval"), day((k % 7 - 4).cast("int")).alias("run_since"), (k % 5 == 0).alias("run_immediately"), F.when(k % 3 == 0, day((k % 2 * 2 - 1).cast("int"))).alias("locked_till"),
         F.when(k % 6 == 0, F.array().cast("array<struct<started_at:timestamp_ntz,finished_at:timestamp_ntz,error:string>>")).otherwise(F.array(run)).alias("run_log"),
@@ -81,6 +82,7 @@ SQL_JOBS = f"""jobs AS (
   SELECT s_name AS id, {SQL_NOW} + (s_suppkey % 7 - 4) * INTERVAL 1 DAY AS run_since, s_suppkey % 5 = 0 AS run_immediately,
     CASE WHEN s_suppkey % 3 = 0 THEN {SQL_NOW} + (s_suppkey % 2 * 2 - 1) * INTERVAL 1 DAY END AS locked_till,
     CASE WHEN s_suppkey % 6 <> 0 THEN {SQL_NOW} - (s_suppkey % 9) * INTERVAL 1 DAY END AS started_at,
+    CASE WHEN s_suppkey % 6 <> 0 THEN {SQL_NOW} - (s_suppkey % 9) * INTERVAL 1 DAY + (s_suppkey % 5) * 11 * INTERVAL 1 HOUR END AS finished_at,
     CASE WHEN s_suppkey % 6 <> 0 AND s_suppkey % 4 = 0 THEN 'boom' END AS error
   FROM supplier)"""
 

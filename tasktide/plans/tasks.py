@@ -401,12 +401,12 @@ def cleanup_all(spark, sf_dir):
     return _rows(cleanup.clean_all(records(spark, sf_dir), lambda name: _live(spark, sf_dir), REGISTRY, NOW))
 
 
-@query("SELECT * FROM (VALUES ('open_orders', FALSE), ('urgent_orders', TRUE)) t(task, reconciled)")
+@query(f"WITH {SQL_RECORDS} SELECT task, task <> 'open_orders' AS reconciled, count(*) AS records FROM records GROUP BY task")
 def trigger_signature_diff(spark, sf_dir):
-    """A changed filter makes its task unreconciled; an equal one does not."""
+    """A changed filter makes its task unreconciled, an equal one does not; and the records that each of them has."""
     stored = {OPEN.name: reconcile.Control("another filter", 1, True), URGENT.name: reconcile.Control(URGENT.signature(), 1, True)}
-    found = reconcile.trigger_changes(REGISTRY, stored)
-    return spark.createDataFrame([(k, c.reconciled) for k, c in found.items()], "task string, reconciled boolean")
+    controls = reconcile.to_frame(spark, reconcile.trigger_changes(REGISTRY, stored)).select("task", "reconciled")
+    return records(spark, sf_dir).groupBy("task").agg(F.count("*").alias("records")).join(F.broadcast(controls), "task")  # a row for each task
 
 
 @query(_SQL + f"SELECT {_MERGED} FROM both_ WHERE NOT (task = 'urgent_orders' AND NOT planned AND updated_at < {SQL_NOW})")
@@ -428,7 +428,7 @@ def reconcile_resume(spark, sf_dir):
 _DUE = f"(locked_till IS NULL OR locked_till < {SQL_NOW}) AND (run_since <= {SQL_NOW} OR run_immediately)"
 
 
-@query(f"WITH {SQL_JOBS} SELECT id, row_number() OVER (ORDER BY run_immediately DESC, run_since ASC, started_at ASC NULLS FIRST, id) AS place FROM jobs WHERE {_DUE}")
+@query(f"WITH {SQL_JOBS} SELECT id, row_number() OVER (ORDER BY run_immediately DESC, run_since ASC, finished_at ASC NULLS FIRST, id) AS place FROM jobs WHERE {_DUE}")
 def cron_due_order(spark, sf_dir):
     """All due jobs and their places."""
     d = cron.due(jobs(spark, sf_dir), NOW)
@@ -438,7 +438,7 @@ def cron_due_order(spark, sf_dir):
 
 @query(
     f"WITH {SQL_JOBS} SELECT id, CASE WHEN locked_till > {SQL_NOW} THEN 'running' WHEN run_immediately THEN 'scheduled' WHEN error IS NOT NULL THEN 'failed' ELSE 'idle' END AS status, "
-    "CASE WHEN started_at IS NOT NULL THEN CAST(0 AS BIGINT) END AS duration_ms FROM jobs WHERE regexp_matches(id, 'SUPPLIER', 'i') ORDER BY run_since ASC NULLS LAST, id LIMIT 50"
+    "CAST(epoch_ms(finished_at) - epoch_ms(started_at) AS BIGINT) AS duration_ms FROM jobs WHERE regexp_matches(id, 'SUPPLIER', 'i') ORDER BY run_since ASC NULLS LAST, id LIMIT 50"
 )
 def cron_list_status(spark, sf_dir):
     return cron.listing(jobs(spark, sf_dir), NOW, search="supplier").select("id", "status", "duration_ms")
@@ -460,7 +460,7 @@ def cron_start(spark, sf_dir):
 
 @query(
     f"WITH {SQL_JOBS} SELECT id, CAST(epoch_ms(CASE WHEN {_DUE} THEN {SQL_NOW} + INTERVAL 1 DAY + INTERVAL 1 MINUTE ELSE run_since END) AS BIGINT) AS next_ms, CAST(epoch_ms(CASE WHEN NOT coalesce({_DUE}, FALSE) THEN locked_till END) AS BIGINT) AS lock_ms, "
-    f"CASE WHEN {_DUE} THEN CASE WHEN id LIKE '%1' THEN 'broken' END ELSE error END AS error, CAST(epoch_ms(CASE WHEN {_DUE} THEN {SQL_NOW} + INTERVAL 1 MINUTE ELSE started_at END) AS BIGINT) AS finished_ms, "
+    f"CASE WHEN {_DUE} THEN CASE WHEN id LIKE '%1' THEN 'broken' END ELSE error END AS error, CAST(epoch_ms(CASE WHEN {_DUE} THEN {SQL_NOW} + INTERVAL 1 MINUTE ELSE finished_at END) AS BIGINT) AS finished_ms, "
     f"CASE WHEN {_DUE} THEN 1 ELSE 0 END + CASE WHEN started_at IS NULL THEN 0 ELSE 1 END AS runs FROM jobs"
 )
 def cron_finish(spark, sf_dir):
@@ -529,10 +529,11 @@ def metric_depths(spark, sf_dir):
 _START = "CAST(epoch_ms(time_bucket(INTERVAL {s} SECOND, ts, TIMESTAMP '1970-01-01')) AS BIGINT) AS start_ms"
 
 
-@query(f"SELECT task, CAST(epoch({SQL_NOW}) AS BIGINT) AS seconds FROM (VALUES ('open_orders'), ('urgent_orders')) t(task)")
+@query(f"WITH {SQL_RECORDS} SELECT task, CAST(epoch(max(updated_at)) AS BIGINT) AS seconds FROM records GROUP BY task")
 def metric_last_reconciled(spark, sf_dir):
-    controls = {d.name: reconcile.Control(d.signature(), 1, True, NOW) for d in TASKS}
-    return metrics.last_reconciled(reconcile.to_frame(spark, controls))
+    """Tasks that were reconciled when their records last changed."""
+    found = records(spark, sf_dir).groupBy("task").agg(F.max("updated_at").alias("last_reconciled_at"))
+    return metrics.last_reconciled(found)
 
 
 def _windowed(df):
@@ -572,6 +573,38 @@ def metric_increase(spark, sf_dir):
     return metrics.increase(table(spark, sf_dir, "events"), ["user_id"]).select("event_id", "user_id", F.col("increase").cast("decimal(18,4)").alias("increase"))
 
 
+#: Samples of each type's counter, with restarts wherever it falls, and in ranges of five minutes at every full minute: what
+#: each rose by since the one before, its first and last sample, and how far these are from the range's ends.
+_RANGES = """c AS (SELECT event_type, ts, value, epoch_us(ts) AS us, lag(value) OVER (PARTITION BY event_type ORDER BY ts) AS p FROM events),
+s AS (SELECT *, CASE WHEN p IS NULL THEN 0 WHEN value < p THEN value ELSE value - p END AS rise FROM c),
+e AS (SELECT *, unnest(range((us + 59999999) // 60000000, (us + 359999999) // 60000000)) AS step FROM s),
+g AS (SELECT event_type, step, count(*) AS n, sum(rise) - arg_min(rise, us) AS rose, arg_min(value, us) AS first, min(us) AS a, max(us) AS b FROM e GROUP BY ALL HAVING count(*) > 1),
+d AS (SELECT *, (b - a) / (n - 1.0) AS mean, a - (step * 60000000 - 300000000) AS head, step * 60000000 - b AS tail FROM g),
+h AS (SELECT *, CASE WHEN head >= 1.1 * mean THEN mean / 2 ELSE head END AS before, CASE WHEN tail >= 1.1 * mean THEN mean / 2 ELSE tail END AS after FROM d),
+r AS (SELECT event_type, step, n, rose * ((b - a) + CASE WHEN rose > 0 AND first >= 0 THEN least(before, (b - a) * first / rose) ELSE before END + after) / (b - a) AS increase FROM h)"""
+
+
+def _ranges(spark, sf_dir):
+    return metrics.ranges(table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp_ntz").alias("ts"), "value"), ["event_type"], 300, 60)
+
+
+@query(f"WITH {_RANGES} SELECT event_type, CAST(step * 60 AS BIGINT) AS at_s, n, CAST(increase AS DECIMAL(18,4)) AS increase FROM r")
+def metric_increase_5m(spark, sf_dir):
+    """By how much counters rose in the five minutes up to every minute, drawn out to the range's ends."""
+    return _ranges(spark, sf_dir).select("event_type", "at_s", "n", F.col("increase").cast("decimal(18,4)").alias("increase"))
+
+
+@query(f"WITH {_RANGES} SELECT event_type, CAST(step * 60 AS BIGINT) AS at_s, CAST(increase / 300 AS DECIMAL(18,6)) AS rate FROM r")
+def metric_rate_5m(spark, sf_dir):
+    return _ranges(spark, sf_dir).select("event_type", "at_s", F.col("rate").cast("decimal(18,6)").alias("rate"))
+
+
+@query(f"WITH {_RANGES} SELECT CAST(step * 60 AS BIGINT) AS at_s, CAST(100 * sum(CASE WHEN event_type <> 'error' THEN increase ELSE 0 END) / nullif(sum(increase), 0) AS DECIMAL(18,4)) AS score FROM r GROUP BY step")
+def metric_health_5m(spark, sf_dir):
+    """The share of what didn't fail in the rates of all counters."""
+    return metrics.health_of(_ranges(spark, sf_dir), F.col("event_type") != "error").select("at_s", F.col("score").cast("decimal(18,4)").alias("score"))
+
+
 def _instances(spark, sf_dir):
     """An instance has one metric for each type of its events, and the number of all its events."""
     e = table(spark, sf_dir, "events").withColumn("id", F.col("event_id") % 7)

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..model import Registry
-from ..operators.cleanup import clean_source
+from ..operators.cleanup import clean_all, clean_source, cleanup_is_due
 from ..operators.planner import plan
-from ..operators.reconcile import Control, reconcile
+from ..operators.reconcile import Control, noted, noted_controls, reconcile, recover
 from ..sources import Sources, StateStore
 
 EVENT = "event_id long, ts timestamp_ntz, source string, key long, operation string"
@@ -64,22 +64,63 @@ def apply_events(events: DataFrame, sources: Callable[[str], DataFrame], registr
     return state
 
 
-def start(events: DataFrame, sources: Sources, registry: Registry, store: StateStore, empty: DataFrame, checkpoint: str, clock: Callable[[], datetime], available_now: bool = True, every: str = "500 milliseconds") -> StreamingQuery:
+def missing(rows: DataFrame, token: int | None) -> tuple[int, int] | None:
+    """How many numbers are not there between the token (by default the first event) and the last event, and that event's
+    number; None if no event is behind the token. event_id numbers a log's events without gaps."""
+    behind = F.col("event_id") > F.lit(token) if token is not None else F.lit(True)
+    s = rows.filter(behind).agg(F.min("event_id").alias("low"), F.max("event_id").alias("high"), F.count_distinct("event_id").alias("n")).first()
+    return None if s.n == 0 else (s.high - (token if token is not None else s.low - 1) - s.n, s.high)
+
+
+def start(events: DataFrame, sources: Sources, registry: Registry, store: StateStore, empty: DataFrame, checkpoint: str, clock: Callable[[], datetime], available_now: bool = True, every: str = "500 milliseconds", sequenced: bool = False, cleanup_ms: int | None = None) -> StreamingQuery:
     """Run the planner on a stream. A batch that fails is run again from the checkpoint; one that was written before a crash
     is known by its number and skipped, and a merge of the same rows changes nothing anyway. A batch reads and writes the
-    buckets of the state that its keys are in, and of a source what may hold these keys."""
+    buckets of the state that its keys are in, and of a source what may hold these keys.
+
+    sequenced: event_id numbers the events of the log, whose files come in that order. The number of the last event is
+    committed with the state as its token. What is not behind the token was applied before, also by another query with
+    another checkpoint, and is left out. Where numbers are missing behind it, changes were lost (their files have expired,
+    say): the batch is committed as a reconcile of all tasks over their whole sources, with the token behind it.
+
+    cleanup_ms: every so often a batch is followed by the cleanup of all tasks; when the next one is due is committed with the
+    state, so it is kept over restarts. An idle source needs a heartbeat."""
     key = empty.schema["source_doc_id"].dataType
 
-    def batch(rows: DataFrame, number: int) -> None:
-        if store.current().batch >= number:
+    def planned(rows: DataFrame, number: int) -> None:
+        base, said = store.current(), {}
+        if base.batch >= number:
             return
+        if sequenced:
+            token = base.notes.get("token")
+            found = missing(rows, token)
+            if found is None:
+                return
+            said = {"token": found[1]}
+            if token is not None:
+                rows = rows.filter(F.col("event_id") > token)
+            if found[0]:
+                stored, now = noted_controls(base), clock()
+                controls = recover(sources, registry, stored, empty, now)[1]
+                said |= {"lost": base.notes.get("lost", 0) + found[0]} | noted(stored | controls)
+                store.update(lambda state, _: recover(sources, registry, stored, state, now)[0], empty, number, notes=said)
+                return
         last = latest(wanted(rows, registry)).persist()
         touched = store.buckets_of(last.select(F.col("key").cast(key).alias("source_doc_id")))
         if touched:
             ranges = key_ranges(last)
-            store.update(lambda state, _: apply_events(last, sources, registry, state, clock(), ranges), empty, number, touched)
+            store.update(lambda state, _: apply_events(last, sources, registry, state, clock(), ranges), empty, number, touched, said)
+        elif said:
+            store.note(said)
         last.unpersist()
 
+    def batch(rows: DataFrame, number: int) -> None:
+        planned(rows, number)
+        if cleanup_ms is not None:
+            now, notes = clock(), store.current().notes
+            cleaned = datetime.fromisoformat(notes["cleaned"]) if "cleaned" in notes else None
+            if cleanup_is_due(cleaned, now, cleanup_ms):
+                store.update(lambda state, _: clean_all(state, sources, registry, now), empty, notes={"cleaned": now.isoformat(), "cleanups": notes.get("cleanups", 0) + 1})
+
     writer = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
 

@@ -280,3 +280,12 @@ def test_operators_can_be_registered(spark):
     for name in ("double", "$double", "$add"):
         with pytest.raises(ValueError):
             register_operator(name, lambda a: a)
+
+
+def test_trimming_and_rounding(spark):
+    row = spark.createDataFrame([("\t\u00a0xaby \n", 2.5, 3.5, -0.125)], "s string, a double, b double, c double")
+    value = lambda e: row.select(Filters(row.schema).expression(e).alias("v")).first().v
+    assert value({"$trim": {"input": "$s"}}) == "xaby" and value({"$trim": "$s"}) == "xaby"
+    assert value({"$ltrim": {"input": "$s"}}) == "xaby \n" and value({"$rtrim": {"input": "$s"}}) == "\t\u00a0xaby"
+    assert value({"$trim": {"input": {"$trim": {"input": "$s"}}, "chars": "xy"}}) == "ab"
+    assert (value({"$round": "$a"}), value({"$round": ["$b"]}), value({"$round": ["$c", 2]})) == (2.0, 4.0, -0.12)

@@ -666,3 +666,46 @@ def test_debounce_of_a_live_stream_expires_its_state(spark, tmp_path):
     got = sorted((r.source, r.key, r.run_at, r.events) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == [("s", 1, at(22), 3), ("s", 1, at(70), 1), ("s", 2, at(24), 1)]
     assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1  # the heartbeat's own
+
+
+def run_log(spark, folder, store, rows, empty, check, clock, *batches, registry=None, **options):
+    """Append each batch as a file of the log, then run the stream to its end."""
+    for b in batches:
+        spark.createDataFrame(b, streaming.EVENT).coalesce(1).write.mode("append").parquet(folder)
+    q = streaming.start(streaming.change_stream(spark, folder), Sources(spark, {"src": lambda s: rows}), registry or Registry(TASK), store, empty, check, clock, **options)
+    q.awaitTermination(180)
+    assert q.exception() is None
+    return store.current().notes
+
+
+def test_the_token_finds_lost_events_and_skips_known_ones(spark, schema, empty, tmp_path):
+    rows = source(spark, *((i, "a", i) for i in range(8)))
+    event = lambda n, key: (n, NOW, "src", key, "update")
+    folder, store = f"file://{tmp_path}/log", StateStore(spark, f"file://{tmp_path}/state", 2)
+    store.write(empty)
+    run = lambda check, *batches: run_log(spark, folder, store, rows, empty, f"file://{tmp_path}/{check}", lambda: LATER, *batches, sequenced=True)
+    assert run("one", [event(1, 0), event(2, 1)], [event(3, 2)])["token"] == 3 and set(by_id(store.read(empty))) == {0, 1, 2}
+    assert run("one", [event(3, 2), event(4, 3)])["token"] == 4 and set(by_id(store.read(empty))) == {0, 1, 2, 3}  # an overlap
+    n = store.current().number
+    store.update(lambda s, _: s.withColumn("status", F.lit("completed")), empty, batch=-1)
+    notes = run("other")  # another checkpoint: the whole log again, but nothing is behind the token
+    assert notes["token"] == 4 and "lost" not in notes and store.current().number == n + 1
+    assert {r.status for r in store.read(empty).collect()} == {"completed"}
+    notes = run("other", [event(7, 7)])  # 5 and 6 are gone
+    assert (notes["token"], notes["lost"]) == (7, 2) and set(by_id(store.read(empty))) == set(range(8))
+    assert reconcile.noted_controls(store.current())["t"].reconciled and reconcile.noted_controls(store.current())["t"].last_reconciled_at == LATER
+
+
+def test_the_stream_cleans_up_on_its_own_schedule(spark, schema, empty, tmp_path):
+    rows = source(spark, (1, "a", 5))
+    folder, check = f"file://{tmp_path}/log", f"file://{tmp_path}/check"
+    store = StateStore(spark, f"file://{tmp_path}/state", 4)
+    store.write(keyed(spark, schema, 50, 51, updated_at=NOW - timedelta(days=1)))
+    at = [LATER]
+    run = lambda *b: run_log(spark, folder, store, rows, empty, check, lambda: at[0], *b, cleanup_ms=3_600_000)
+    assert run([(1, NOW, "src", 1, "insert")])["cleanups"] == 1 and set(by_id(store.read(empty))) == {1}
+    store.update(lambda s, _: s.unionByName(keyed(spark, schema, 52, updated_at=NOW - timedelta(days=1))), empty)
+    at[0] = LATER + timedelta(minutes=59)
+    assert run([(2, NOW, "src", 1, "update")])["cleanups"] == 1 and set(by_id(store.read(empty))) == {1, 52}
+    at[0] = LATER + timedelta(minutes=60)
+    assert run([(3, NOW, "src", 1, "update")])["cleanups"] == 2 and set(by_id(store.read(empty))) == {1}
