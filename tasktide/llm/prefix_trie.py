@@ -230,3 +230,26 @@ def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     takers = convs.select("conv_id", h.alias("h"), (F.col("conv_id") - F.col("conv_id") % 5).alias("giver"))
     heads = takers.join(givers, "giver").filter("at < h").select("conv_id", "at", "role", "text")
     return heads.unionByName(rows.filter(F.col("at") >= h).select("conv_id", "at", "role", "text")), convs
+
+
+#: The trie of rebuilt conversations for DuckDB, prefixes being lists of turns. The checksum is worked out bit by bit.
+SQL = """WITH o AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS giver, xor(list_reduce(
+        list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda t, z: xor(t >> 1, 3988292384 * (t & 1)))), 4294967295) % 9 AS h
+      FROM (SELECT DISTINCT conv_id FROM o)),
+b AS (SELECT c.conv_id, pos, role, text FROM c JOIN o ON o.conv_id = giver WHERE pos < h
+      UNION ALL SELECT c.conv_id, pos, role, text FROM c JOIN o USING (conv_id) WHERE pos >= h),
+p AS (SELECT conv_id, row_number() OVER w AS depth, list([role, text]) OVER w AS path, text FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
+      UNION ALL SELECT conv_id, 0, [], '' FROM c),
+l AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id),
+n AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * strlen(any_value(text)) AS saved FROM p GROUP BY path, depth),
+k AS (SELECT path[1:depth - 1] AS path, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path, depth)),
+s AS (SELECT path[1:up] AS path, up AS depth, sum(saved) AS saved_tokens, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves
+      FROM (SELECT *, unnest(range(depth + 1)) AS up FROM v) GROUP BY ALL),
+e AS (SELECT path, depth, string_agg(conv_id, ',' ORDER BY conv_id) AS ends FROM p JOIN l USING (conv_id, depth) GROUP BY path, depth)
+SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM v JOIN s USING (path, depth) LEFT JOIN e USING (path, depth) LEFT JOIN n u ON u.depth = v.depth - 1 AND u.path = v.path[1:v.depth - 1]"""

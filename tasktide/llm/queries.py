@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, warc
+from . import line_dedup, prefix_trie, repeated_spans, warc
 from .chat_repair import ChatRepair
 from .decontaminate import Decontamination
 from .html_text import StyleTree
@@ -117,9 +117,15 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PrefixTrie().nodes(*rebuilt(table(spark, sf_dir, "conversations")))
 
 
+SQL["op12_prefix_trie"] = prefix_trie.SQL
+
+
 @query
 def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strings of 200 bytes that start twice or more in all documents."""
     cut = RepeatedSpans().cut(table(spark, sf_dir, "documents"), ["doc_id"], digest=True)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.col("kept").alias("kept_sha256"))
+
+
+SQL["op13_suffix_array_dedup"] = repeated_spans.SQL

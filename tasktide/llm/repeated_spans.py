@@ -275,3 +275,16 @@ class RepeatedSpans:
         joined = given.join(ranges, _TEXT, "left").select(*types, "__n", "__text", "__done", "ranges")
         cut_ = joined.mapInArrow(cut, f"{head}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept {'string' if digest else 'binary'}")
         return cut_.select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(columns)), "n_bytes", "spans", "kept")
+
+
+#: What op13 returns, for DuckDB, over the documents' bytes in hexadecimal digits.
+SQL = """WITH d AS (SELECT row_number() OVER () AS r, CAST(doc_id AS BIGINT) AS doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT r, i, md5(substr(x, 2 * i + 1, 400)) AS m FROM (SELECT r, x, unnest(range(length(x) // 2 - 199)) AS i FROM d)),
+t AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+g AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM w SEMI JOIN t USING (m)),
+h AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS span FROM g),
+s AS (SELECT r, span, min(i) AS a, max(i) + 200 AS b FROM h GROUP BY ALL),
+k AS (SELECT r, substr(x, 2 * lag(b, 1, 0) OVER o + 1, 2 * (a - lag(b, 1, 0) OVER o)) AS before, a, b, x FROM s JOIN d USING (r) WINDOW o AS (PARTITION BY r ORDER BY a)),
+z AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(before, '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept FROM k GROUP BY r)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN z USING (r)"""

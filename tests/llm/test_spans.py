@@ -4,10 +4,11 @@ import hashlib
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tasktide.llm.queries import QUERIES
+from tasktide.llm.queries import QUERIES, SQL
 from tasktide.llm.repeated_spans import RepeatedSpans
 
 SF = "/root/testdata/sf0.001"
@@ -58,6 +59,15 @@ def test_query_equals_brute_force(spark):
     assert any(x[1] for x in expected.values())
 
 
+def test_query_equals_sql(spark):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    rows = db.execute(SQL["op13_suffix_array_dedup"])
+    names = [d[0] for d in rows.description]
+    expected = sorted(map(str, rows.fetchall()))
+    assert sorted(str(tuple(r[n] for n in names)) for r in QUERIES["op13_suffix_array_dedup"](spark, SF).collect()) == expected
+
+
 def test_odd_rows(spark):
     long = "".join(random.Random(1).choices("abcdefgh ", k=300_000))
     texts = [None, "", "short", long, "x" + long[1000:1300] + "y", "é" * 150, "é" * 150, "中" * 100]

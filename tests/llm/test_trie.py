@@ -5,12 +5,13 @@ import random
 import zlib
 from collections import defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tasktide.llm import prefix_trie
 from tasktide.llm.prefix_trie import PrefixTrie, rebuilt, running
-from tasktide.llm.queries import QUERIES
+from tasktide.llm.queries import QUERIES, SQL
 from tasktide.llm.tables import Workspace
 
 SF = "/root/testdata/sf0.001"
@@ -71,6 +72,15 @@ def test_collisions_are_split(spark, seed):
     assert found(PrefixTrie(bits=2).nodes(turns, convs)) == brute(rows)
 
 
+def test_query_equals_sql(spark):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
+    rows = db.execute(SQL["op12_prefix_trie"])
+    names = [d[0] for d in rows.description]
+    expected = sorted(map(str, rows.fetchall()))
+    assert sorted(str(tuple(r[n] for n in names)) for r in QUERIES["op12_prefix_trie"](spark, SF).collect()) == expected
+
+
 def test_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(prefix_trie, "_CHUNK", 3)
     rows = [(None, 0, "user", "no conversation"), (7, None, None, None), (7, 0, "user", "b"), (7, 0, "user", "b"), (7, 0, "assistant", "é中🙂" * 3000), (-3, 1, "", ""), (10, 5, "user", "x")]
