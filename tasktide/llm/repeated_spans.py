@@ -200,11 +200,14 @@ class RepeatedSpans:
         cores = work.keep(self._classes(self._all(docs), F.lit(1)), "cores")
         token = F.col("core").alias("token")
         filters = bloom.build(cores.select(token), self.bits), bloom.build(cores.filter("mixed").select(token), self.bits)
-        rows = work.keep(self._repeated(docs, *filters), "rows").join(cores, "core")
+        kept = work.keep(self._repeated(docs, *filters), "rows")
+        rows = kept.join(cores, "core")
         found = [rows.filter("not mixed").select(*_TEXT, "lo", "hi")]
 
+        # Grouped before they are joined, so that a very common core is combined where its rows are.
         one = F.first(F.struct(*_TEXT, "lo", "hi", "mark", "context")).alias("x")
-        contexts = rows.filter("mixed").groupBy("core", "extent").agg(F.count("*").alias("n"), one)
+        contexts = kept.filter("octet_length(context) > 0").groupBy("core", "extent").agg(F.count("*").alias("n"), one)
+        contexts = contexts.join(cores.filter("mixed").select("core"), "core", "left_semi")
         contexts = work.keep(contexts.select(F.monotonically_increasing_id().alias("ref"), "core", "extent", "n", "x.*"), "contexts")
         several = contexts.filter("n > 1").select("core", "extent")
         found.append(rows.filter("mixed").join(several, ["core", "extent"], "left_semi").select(*_TEXT, "lo", "hi"))
@@ -236,9 +239,12 @@ class RepeatedSpans:
         head = ", ".join(f"{c} {t}" for c, t in types.items())
         out = lambda x: hashlib.sha256(x).hexdigest() if digest else x
 
+        def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return (batch.slice(k, 256) for batch in batches for k in range(0, batch.num_rows, 256))
+
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Texts without ranges are done here."""
-            for batch in batches:
+            for batch in small(batches):
                 names = batch.column("text_a").to_numpy().view(np.uint64)
                 kept = np.zeros(batch.num_rows, bool)
                 kept[bloom.known(on, names)] = True
@@ -253,7 +259,7 @@ class RepeatedSpans:
             given = given.withColumns({"__n": F.coalesce(F.octet_length("__text"), F.lit(0)).cast("long"), "__done": F.lit(None).cast("string")})
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small(batches):
                 spans, kept = [], []
                 ranges = batch.column("ranges")
                 bounds = np.append(ranges.offsets.to_numpy(), 0) if len(ranges) else np.zeros(1, int)
