@@ -3,7 +3,8 @@
 A filter is a dict: bare keys are field paths with a value or a dict of field operators, all of which have to hold; keys
 with $ combine filters, or hold an expression ($expr). Predicates are total: they are true or false, never null. An
 absent or null field is below every value, so $lt, $lte and $ne hold for it; strict_sql=True gives SQL's three values.
-With `now` fixed, the result is a pure function of a row. Catalyst pushes the resulting comparisons down to the scan.
+Fields within VARIANT columns may be missing, null or of any type (see variants.py). With `now` fixed, the result is a pure
+function of a row. Catalyst pushes the resulting comparisons down to the scan.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .variants import VariantField, variant_path
+
 #: Type names of $type and the Spark types they hold for.
 TYPES = {
     "string": (T.StringType,),
@@ -120,9 +123,29 @@ class Filters:
     def _regex(self, path: str, pattern: str, options: str) -> Column:
         if set(options) - set(_FLAGS):
             raise ValueError(f"{path}: unsupported $options {options!r}")
+        if inside := variant_path(self.schema, path):
+            return VariantField(F.col(self.prefix + inside[0]), inside[1]).matches(f"(?{options}){pattern}" if options else pattern)
         return self._total(self.column(path).rlike(f"(?{options}){pattern}" if options else pattern))
 
+    def _variant(self, field: VariantField, op: str, value: Any) -> Column:
+        """A field operator on a field within a VARIANT column."""
+        if op in ("$in", "$nin"):
+            if not isinstance(value, (list, tuple)):
+                raise ValueError(f"{field.path}: {op} takes a list")
+            return field.among(list(value)) if op == "$in" else ~field.among(list(value))
+        if op == "$exists":
+            return field.exists() if value else ~field.exists()
+        if op == "$type":
+            return field.is_type(value)
+        if op == "$size":
+            return field.size(int(value))
+        if op not in ("$eq", "$ne", "$gt", "$gte", "$lt", "$lte"):
+            raise ValueError(f"unsupported operator {op} on field {field.path}")
+        return field.compare(op, value)
+
     def _field(self, path: str, op: str, value: Any, around: dict) -> Column:
+        if op != "$regex" and (inside := variant_path(self.schema, path)):
+            return self._variant(VariantField(F.col(self.prefix + inside[0]), inside[1]), op, value)
         col = self.column(path)
         if op in ("$eq", "$ne", "$gt", "$gte", "$lt", "$lte"):
             self._check(path, value)

@@ -62,6 +62,27 @@ NESTED = {
 }
 
 
+#: Over a VARIANT column: props.k is a text for purchases, null for errors, missing for signups, a number for other events. In
+#: SQL n is the number and s the text, null where there is none.
+VARIANT = {
+    "variant_gt": ({"props.k": {"$gt": 50}}, "n > 50 OR s IS NOT NULL"),
+    "variant_lte": ({"props.k": {"$lte": 50}}, "n <= 50 OR event_type IN ('error', 'signup')"),
+    "variant_lt_text": ({"props.k": {"$lt": "5"}}, "s < '5' OR s IS NULL"),
+    "variant_in": ({"props.k": {"$in": [7, 8, "9", None]}}, "n IN (7, 8) OR s = '9' OR event_type = 'error'"),
+    "variant_ne": ({"props.k": {"$ne": 7}}, "n IS DISTINCT FROM 7"),
+    "variant_exists": ({"props.k": {"$exists": True}}, "event_type <> 'signup'"),
+    "variant_missing": ({"props.k": {"$exists": False}, "props.other.deep": {"$exists": False}}, "event_type = 'signup'"),
+    "variant_type": ({"$or": [{"props.k": {"$type": "string"}}, {"props.k": {"$type": "null"}}]}, "event_type IN ('purchase', 'error')"),
+    "variant_regex": ({"props.k": {"$regex": "^[1-3]"}}, "regexp_matches(s, '^[1-3]')"),
+}
+
+
+def variant(spark, sf_dir):
+    number = F.get_json_object("props", "$.k")
+    text = F.when(F.col("event_type") == "purchase", F.concat(F.lit('{"k": "'), number, F.lit('"}'))).when(F.col("event_type") == "error", '{"k": null}').when(F.col("event_type") == "signup", "{}").otherwise(F.col("props"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("k"), "event_type", F.parse_json(text).alias("props"))
+
+
 def nullable(spark, sf_dir):
     k = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select(k.alias("k"), F.when(k % 3 != 0, k % 5).alias("a"), F.when(k % 4 != 0, F.col("o_orderstatus")).alias("s"))
@@ -88,6 +109,10 @@ for _name, (_filter, _sql) in NULLABLE.items():
     _add(_name, nullable, "k", _filter, f"WITH t AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 5 END AS a, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus END AS s FROM orders) SELECT k FROM t WHERE {_sql}")
 for _name, (_filter, _sql) in NESTED.items():
     _add(_name, nested, "k", _filter, f"SELECT o_orderkey AS k FROM orders WHERE {_sql}")
+for _name, (_filter, _sql) in VARIANT.items():
+    _k = "json_extract_string(props, '$.k')"
+    _t = f"SELECT event_id AS k, event_type, CASE WHEN event_type NOT IN ('purchase', 'error', 'signup') THEN CAST({_k} AS BIGINT) END AS n, CASE event_type WHEN 'purchase' THEN {_k} END AS s FROM events"
+    _add(f"filter_{_name}", variant, "k", _filter, f"WITH t AS ({_t}) SELECT k FROM t WHERE {_sql}")
 
 
 def prefixed(spark, sf_dir):

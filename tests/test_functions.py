@@ -289,3 +289,22 @@ def test_trimming_and_rounding(spark):
     assert value({"$ltrim": {"input": "$s"}}) == "xaby \n" and value({"$rtrim": {"input": "$s"}}) == "\t\u00a0xaby"
     assert value({"$trim": {"input": {"$trim": {"input": "$s"}}, "chars": "xy"}}) == "ab"
     assert (value({"$round": "$a"}), value({"$round": ["$b"]}), value({"$round": ["$c", 2]})) == (2.0, 4.0, -0.12)
+
+
+def test_fields_of_variants(spark):
+    """One order over all types; missing is not null; whole numbers beyond doubles."""
+    texts = ["{}", '{"p": null}', '{"p": -3}', '{"p": 1.5}', '{"p": 9007199254740993}', '{"p": ""}', '{"p": "critical"}', '{"p": {"q": 1}}', '{"p": [1, "x"]}', '{"p": false}', '{"p": true}']
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", F.parse_json("t").alias("v"), F.struct(F.parse_json("t").alias("w")).alias("s"))
+    got = lambda q: [r.i for r in rows.filter(Filters(rows.schema).where(q)).orderBy("i").collect()]
+    assert got({"v.p": "critical"}) == [6] and got({"s.w.p": "critical"}) == [6] and got({"v.p": 1.5}) == [3] and got({"v.p": None}) == [1]
+    assert got({"v.p": {"$gt": 1}}) == [3, 4, 5, 6, 7, 8, 9, 10] and got({"v.p": {"$lt": 1}}) == [0, 1, 2]
+    assert got({"v.p": {"$gte": "a"}}) == [6, 7, 8, 9, 10] and got({"v.p": {"$lte": ""}}) == [0, 1, 2, 3, 4, 5]
+    assert got({"v.p": {"$gt": 9007199254740992}}) == [4, 5, 6, 7, 8, 9, 10] and got({"v.p": 9007199254740992}) == []
+    assert got({"v.p": {"$lt": True}}) == list(range(10)) and got({"v.p": {"$ne": None}}) == [0, *range(2, 11)]
+    assert got({"v.p": {"$exists": False}}) == [0] and got({"v.p": {"$in": [None, True, "critical"]}}) == [1, 6, 10] and got({"v.p": {"$nin": [None, 1.5]}}) == [0, 2, *range(4, 11)]
+    kinds = {"null": [1], "int": [2], "double": [3], "long": [4], "number": [2, 3, 4], "string": [5, 6], "object": [7], "array": [8], "bool": [9, 10]}
+    assert {k: got({"v.p": {"$type": k}}) for k in kinds} == kinds
+    assert got({"v.p": {"$size": 2}}) == [8] and got({"v.p.q": 1}) == [7] and got({"v.p.1": "x"}) == [8] and got({"v.p": {"$regex": "^CRIT", "$options": "i"}}) == [6]
+    assert got({"$nor": [{"v.p": {"$gte": -3}}]}) == [0, 1]
+    with pytest.raises(ValueError):
+        got({"v.p": {"$type": "regex"}})
