@@ -62,6 +62,18 @@ def cdc_resume(spark, sf_dir):
     return _streamed(spark, sf_dir, _planner, ((0, 1), (2,)))
 
 
+@query(SQL["cdc_apply_batch"].replace("PARTITION BY key ORDER BY", "PARTITION BY key, event_id // ((SELECT max(event_id) + 4 FROM events) // 4) ORDER BY"))
+def cdc_follow(spark, sf_dir):
+    """A log read by numbers in four batches, of which two are applied by another run: in SQL a key's last event of each batch
+    counts."""
+    store, before, log = StateStore(spark, f"{_folder(spark, 'follow')}/state", buckets=4), records(spark, sf_dir), change_events(spark, sf_dir)
+    store.write(before)
+    per_batch = (log.agg(F.max("event_id")).first()[0] + 4) // 4
+    for batches in (2, None):
+        streaming.follow(log, Sources.of_parquet(spark, sf_dir, ["orders"]), REGISTRY, store, before.limit(0), lambda: NOW, per_batch, batches)
+    return _rows(store.read(before.limit(0)))
+
+
 @query(SQL["reconcile_all"])
 def cdc_lost_history(spark, sf_dir):
     """A log in three files by event number, of which the second is gone: the stream finds the hole and reconciles."""

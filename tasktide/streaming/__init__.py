@@ -72,6 +72,53 @@ def missing(rows: DataFrame, token: int | None) -> tuple[int, int] | None:
     return None if s.n == 0 else (s.high - (token if token is not None else s.low - 1) - s.n, s.high)
 
 
+def _commit(rows: DataFrame, sources: Sources, registry: Registry, store: StateStore, empty: DataFrame, now: datetime, batch: int | None, notes: dict[str, Any]) -> None:
+    """One commit: the state after a batch of events, and the notes."""
+    last = latest(wanted(rows, registry)).persist()
+    touched = store.buckets_of(last.select(F.col("key").cast(empty.schema["source_doc_id"].dataType).alias("source_doc_id")))
+    if touched:
+        ranges = key_ranges(last)
+        store.update(lambda state, _: apply_events(last, sources, registry, state, now, ranges), empty, batch, touched, notes)
+    elif notes:
+        store.note(notes)
+    last.unpersist()
+
+
+def _commit_lost(lost: int, sources: Sources, registry: Registry, store: StateStore, empty: DataFrame, now: datetime, batch: int | None, notes: dict[str, Any]) -> None:
+    """One commit: all tasks planned over their whole sources, as that many events are lost, and the notes."""
+    base = store.current()
+    stored = noted_controls(base)
+    controls = recover(sources, registry, stored, empty, now)[1]
+    said = notes | {"lost": base.notes.get("lost", 0) + lost} | noted(stored | controls)
+    store.update(lambda state, _: recover(sources, registry, stored, state, now)[0], empty, batch, notes=said)
+
+
+def follow(log: DataFrame, sources: Sources, registry: Registry, store: StateStore, empty: DataFrame, clock: Callable[[], datetime], per_batch: int = 1000, batches: int | None = None, after: int | None = None) -> int:
+    """Apply a log's events in order of their numbers, per_batch numbers at a time, to its end or for so many batches; how many
+    there were. It begins behind the token that is committed with the state, in a new state behind the number `after` (by
+    default with the first event), so a run that stops or dies goes on where its last commit was; there is no other
+    checkpoint. Only numbers of the batch and used columns are read. A gap in the numbers is committed as a reconcile of all
+    tasks."""
+    done = 0
+    while batches is None or done < batches:
+        token = store.current().notes.get("token", after)
+        rest = log.select(*(f.split()[0] for f in EVENT.split(", ")))
+        rest = rest if token is None else rest.filter(F.col("event_id") > F.lit(token))
+        ends = rest.agg(F.min("event_id").alias("low"), F.max("event_id").alias("high")).first()
+        if ends.high is None:
+            break
+        token = ends.low - 1 if token is None else token
+        upto = min(max(token + per_batch, ends.low), ends.high)
+        rows, now = rest.filter(F.col("event_id") <= F.lit(upto)), clock()
+        lost = upto - token - rows.agg(F.count_distinct("event_id")).first()[0]
+        if lost:
+            _commit_lost(lost, sources, registry, store, empty, now, None, {"token": upto})
+        else:
+            _commit(rows, sources, registry, store, empty, now, None, {"token": upto})
+        done += 1
+    return done
+
+
 def start(events: DataFrame, sources: Sources, registry: Registry, store: StateStore, empty: DataFrame, checkpoint: str, clock: Callable[[], datetime], available_now: bool = True, every: str = "500 milliseconds", sequenced: bool = False, cleanup_ms: int | None = None) -> StreamingQuery:
     """Run the planner on a stream. A batch that fails is run again from the checkpoint; one that was written before a crash
     is known by its number and skipped, and a merge of the same rows changes nothing anyway. A batch reads and writes the
@@ -82,10 +129,8 @@ def start(events: DataFrame, sources: Sources, registry: Registry, store: StateS
     another checkpoint, and is left out. Where numbers are missing behind it, changes were lost (their files have expired,
     say): the batch is committed as a reconcile of all tasks over their whole sources, with the token behind it.
 
-    cleanup_ms: every so often a batch is followed by the cleanup of all tasks; when the next one is due is committed with the
-    state, so it is kept over restarts. An idle source needs a heartbeat."""
-    key = empty.schema["source_doc_id"].dataType
-
+    cleanup_ms: every so often a batch is followed by the cleanup of all tasks; when the last one was is committed with the state,
+    so the schedule is kept over restarts. An idle source needs a heartbeat."""
     def planned(rows: DataFrame, number: int) -> None:
         base, said = store.current(), {}
         if base.batch >= number:
@@ -99,19 +144,9 @@ def start(events: DataFrame, sources: Sources, registry: Registry, store: StateS
             if token is not None:
                 rows = rows.filter(F.col("event_id") > token)
             if found[0]:
-                stored, now = noted_controls(base), clock()
-                controls = recover(sources, registry, stored, empty, now)[1]
-                said |= {"lost": base.notes.get("lost", 0) + found[0]} | noted(stored | controls)
-                store.update(lambda state, _: recover(sources, registry, stored, state, now)[0], empty, number, notes=said)
+                _commit_lost(found[0], sources, registry, store, empty, clock(), number, said)
                 return
-        last = latest(wanted(rows, registry)).persist()
-        touched = store.buckets_of(last.select(F.col("key").cast(key).alias("source_doc_id")))
-        if touched:
-            ranges = key_ranges(last)
-            store.update(lambda state, _: apply_events(last, sources, registry, state, clock(), ranges), empty, number, touched, said)
-        elif said:
-            store.note(said)
-        last.unpersist()
+        _commit(rows, sources, registry, store, empty, clock(), number, said)
 
     def batch(rows: DataFrame, number: int) -> None:
         planned(rows, number)

@@ -709,3 +709,33 @@ def test_the_stream_cleans_up_on_its_own_schedule(spark, schema, empty, tmp_path
     assert run([(2, NOW, "src", 1, "update")])["cleanups"] == 1 and set(by_id(store.read(empty))) == {1, 52}
     at[0] = LATER + timedelta(minutes=60)
     assert run([(3, NOW, "src", 1, "update")])["cleanups"] == 2 and set(by_id(store.read(empty))) == {1}
+
+
+def test_a_log_is_followed_by_its_numbers(spark, schema, empty, tmp_path):
+    rows = source(spark, *((i, "a", i) for i in range(12)))
+    spark.createDataFrame([(i, NOW, "src", i, "update") for i in range(3, 10)], streaming.EVENT).coalesce(1).write.parquet(f"{tmp_path}/log")
+    log = lambda: spark.read.parquet(f"{tmp_path}/log")
+    sources, registry = Sources(spark, {"src": lambda s: rows}), Registry(TASK)
+    store = StateStore(spark, f"file://{tmp_path}/state", 2)
+    store.write(empty)
+    run = lambda **options: streaming.follow(log(), sources, registry, store, empty, lambda: LATER, **{"per_batch": 2} | options)
+    assert run(batches=1) == 1 and set(by_id(store.read(empty))) == {3, 4} and store.current().notes["token"] == 4
+    update, calls = store.update, []
+
+    def dying(*args, **options):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("driver lost")
+        return update(*args, **options)
+
+    store.update = dying
+    with pytest.raises(RuntimeError):
+        run()
+    store.update = update
+    assert store.current().notes["token"] == 6 and set(by_id(store.read(empty))) == {3, 4, 5, 6}
+    assert run() == 2 and run() == 0 and set(by_id(store.read(empty))) == set(range(3, 10)) and "lost" not in store.current().notes
+    spark.createDataFrame([(20, NOW, "src", 11, "update")], streaming.EVENT).write.mode("append").parquet(f"{tmp_path}/log")
+    assert run() == 1 and store.current().notes["lost"] == 10 and set(by_id(store.read(empty))) == set(range(12))
+    other = StateStore(spark, f"file://{tmp_path}/other", 2)
+    other.write(empty)
+    assert streaming.follow(log(), sources, registry, other, empty, lambda: LATER, after=8, batches=1, per_batch=1) == 1 and set(by_id(other.read(empty))) == {9}
