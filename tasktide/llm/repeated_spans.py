@@ -283,9 +283,10 @@ class RepeatedSpans:
         return cut_.select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(columns)), "n_bytes", "spans", "kept")
 
 
-#: What op13 returns, for DuckDB, over the documents' bytes in hexadecimal digits.
+#: What op13 returns, for DuckDB, over the documents' bytes in hexadecimal digits; strings are cut out of pieces of 1,000 starts.
 SQL = """WITH d AS (SELECT row_number() OVER () AS r, CAST(doc_id AS BIGINT) AS doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-w AS (SELECT r, i, md5(substr(x, 2 * i + 1, 400)) AS m FROM (SELECT r, x, unnest(range(length(x) // 2 - 199)) AS i FROM d)),
+p AS (SELECT r, 1000 * j AS base, substr(x, 2000 * j + 1, 2398) AS y FROM (SELECT r, x, unnest(range(length(x) // 2000 + 1)) AS j FROM d)),
+w AS (SELECT r, base + i AS i, md5(substr(y, 2 * i + 1, 400)) AS m FROM (SELECT r, base, y, unnest(range(length(y) // 2 - 199)) AS i FROM p)),
 t AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
 g AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM w SEMI JOIN t USING (m)),
 h AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS span FROM g),
