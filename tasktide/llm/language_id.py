@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Workspace
+from .tables import Workspace, small_batches
 from .words import Texts, slices
 
 UNKNOWN = "und"
@@ -100,7 +100,8 @@ class LanguageId:
                     n += len(texts.valid)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(size), -1)), pa.array(np.append(df, n))], ["gram", "n"])
 
-        found = dict(rows.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect())
+        with small_batches(train.sparkSession):
+            found = dict(rows.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect())
         total = found.pop(-1, 0)
         df = np.zeros(size)
         df[list(found)] = list(found.values())

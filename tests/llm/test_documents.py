@@ -20,7 +20,7 @@ from tasktide.llm.language_id import LanguageId, keep_identified
 from tasktide.llm.near_dedup import NearDedup, drop_near_duplicates, near_duplicates
 from tasktide.llm.packing import Packing, pack
 from tasktide.llm.queries import QUERIES, SQL
-from tasktide.llm.tables import shared_dir
+from tasktide.llm.tables import BATCH_BYTES, Workspace, shared_dir
 from tasktide.llm.toxicity import PREFIXES, Toxicity, ToxicityModel
 from tasktide.llm.words import ALNUM, NOT_SPACE, slices
 
@@ -452,3 +452,24 @@ def test_a_cluster_has_to_name_a_shared_folder():
         shared_dir(Session())
     Session.conf.settings["spark.checkpoint.dir"] = "hdfs://x/y/"
     assert shared_dir(Session()) == "hdfs://x/y"
+
+
+def test_rows_go_to_python_in_batches_bounded_by_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["rows", "bytes"])
+
+    def groups(group):
+        return pa.table({"rows": [group.num_rows]})
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, work = spark.conf.get(key), Workspace(spark, "batches")
+    docs = spark.range(0, 400, 1, 1).select("id", F.repeat(F.lit("ab "), 10_000).alias("text"))
+    got = work.keep(docs.select("text").mapInArrow(sizes, "rows long, bytes long"), "sizes").collect()
+    assert sum(r.rows for r in got) == 400 and max(r.bytes for r in got) < 2 * BATCH_BYTES
+    whole = docs.groupBy((F.col("id") % 2).alias("k")).applyInArrow(groups, "rows long")
+    assert [r.rows for r in work.keep(whole, "groups").collect()] == [200, 200]
+    assert spark.conf.get(key) == before
+    with pytest.raises(Exception, match="exists"):
+        work.keep(docs, "sizes")
+    assert spark.conf.get(key) == before
