@@ -9,8 +9,8 @@ one. Ties go to the smaller gap.
 The tokenizer drops white space and never joins what stands on both sides of it; it takes runs of letters, single
 digits and runs of other signs one by one, in lower case. So a text's ids are those of these units in order; a part
 between white space that holds an apostrophe, "<" or characters beyond Latin-1 letters is one unit. A unit is encoded when
-a Python worker first sees it and looked up afterwards, by its hash and then its bytes, in a table of fixed size that is
-emptied when it has had `parts` entries.
+a Python worker first sees it and looked up afterwards, by its hash and then its bytes, in a table that keeps all it has
+seen and is emptied when that is more than `parts` units.
 
 Defined results: null and empty texts are one separator; repeated rows are packed as often as they occur; a null doc_id
 stays null; an empty table gives an empty result.
@@ -30,53 +30,108 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import words
 from .tables import Workspace
-from .words import LOWER, NOT_SPACE, Texts, Words, slices
+from .words import LOWER, NOT_SPACE, Texts, mix, slices
 
 #: Not to be cut at: white space that a tokenizer might see otherwise.
 _PART = NOT_SPACE.copy()
 _PART[[11, 12]] = True
 
-#: Kinds of bytes: 1 letters, of ASCII or of two bytes with the lead C3, 2 digits, 3 other visible ASCII, 0 all else.
-#: An apostrophe can begin a suffix and "<" a special token, so parts with these aren't cut further.
-_KIND = np.zeros(256, np.uint8)
+#: Kinds of bytes: 0 white space, 1 letters, of ASCII or of two bytes with the lead C3, 2 digits, 3 other visible ASCII, 4
+#: all else. An apostrophe can begin a suffix and "<" a special token, so parts with these aren't cut further.
+_KIND = np.full(256, 4, np.uint8)
+_KIND[~_PART] = 0
 _KIND[33:127] = 3
 _KIND[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = 1
 _KIND[48:58] = 2
-_KIND[[39, 60]] = 0
-
-
-def units(texts: Texts) -> tuple[Words, np.ndarray, np.ndarray]:
-    """What the tokenizer looks at one by one: runs of letters, digits, runs of other signs, in lower case; parts with
-    other characters stay whole. Also the bytes, and which units are not whole parts of that kind."""
-    data = texts.data
-    s, e = texts.spans(_PART)
-    kind = _KIND[data]
-    before = np.append(np.uint8(0), data[:-1]) if len(data) else data
-    trail = (data >= 0x80) & (data < 0xC0)
-    odd = (kind == 0) | (trail & ((before != 0xC3) | (data == 0x97) | (data == 0xB7)))
-    sums = np.append(0, np.cumsum(odd))
-    whole = sums[e] > sums[s]
-    change = np.zeros(len(data) + 1, np.int8)
-    np.add.at(change, s[whole], 1)
-    np.add.at(change, e[whole], -1)
-    in_whole = np.cumsum(change[:-1]).astype(bool)
-    inside = _PART[data]
-    begin = inside & ~in_whole & ((kind == 2) | (kind != np.append(np.uint8(0), kind[:-1]))) if len(data) else inside
-    begin[s] = True
-    last = np.append(begin[1:] | ~inside[1:], True) & inside if len(data) else inside
-    low = LOWER[data]
-    low = np.where(trail & (before == 0xC3) & (data <= 0x9E), low + np.uint8(32), low)
-    low = np.where(in_whole, data, low)
-    begin = np.flatnonzero(begin)
-    return texts.hashed(low, begin, np.flatnonzero(last) + 1), low, ~in_whole[begin]
+_KIND[[39, 60]] = 4
+_KINDS, _LOWER = _KIND.tobytes(), LOWER.tobytes()
+
+#: The first i bytes of a little-endian number of eight.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_SIZE = np.uint64(0x9E3779B97F4A7C15)
+
+
+@dataclass
+class Units:
+    """What the tokenizer looks at one by one: low[start:start + size]. head and more are the first and second eight bytes
+    as numbers, filled up with zeros; not plain are parts that stay whole."""
+
+    low: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    head: np.ndarray
+    more: np.ndarray
+    hash: np.ndarray
+    plain: np.ndarray
+
+    @classmethod
+    def of(cls, texts: Texts) -> Units:
+        """Runs of letters, digits, runs of other signs, in lower case; parts with other characters stay whole."""
+        data, n = texts.data, len(texts.data)
+        raw = data.tobytes()
+        kind = np.frombuffer(bytearray(raw.translate(_KINDS)), np.uint8)
+        low = np.zeros(n + 16, np.uint8)
+        low[:n] = np.frombuffer(raw.translate(_LOWER), np.uint8)
+        cut = texts.offsets[texts.offsets < n]
+        odd = kind == 4
+        trail = (data >= 0x80) & (data < 0xC0)
+        if trail.any():
+            lead = data == 0xC3
+            after = np.append(False, lead[:-1])
+            after[cut] = False
+            after &= trail
+            odd |= trail & ~after | (data == 0x97) | (data == 0xB7) | lead & ~np.append(after[1:], False)  # C3 may be cut off
+            low[:n][after & (data <= 0x9E)] += 32
+        if odd.any():
+            s, e = texts.spans(_PART)
+            whole = np.logical_or.reduceat(odd, s)
+            change = np.zeros(n + 1, np.int8)
+            change[s[whole]] += 1
+            change[e[whole]] -= 1
+            inside = np.cumsum(change[:-1], dtype=np.int8).view(bool)
+            kind[inside] = 4
+            low[:n][inside] = data[inside]
+        edge = kind == 2
+        edge[1:] |= kind[1:] != kind[:-1]
+        edge[cut] = True
+        start = np.flatnonzero(edge)
+        kinds = kind[start]
+        size, used = np.diff(start, append=n), kinds != 0
+        return cls._keyed(low, start[used], size[used], kinds[used] != 4)
+
+    @classmethod
+    def _keyed(cls, low: np.ndarray, start: np.ndarray, size: np.ndarray, plain: np.ndarray) -> Units:
+        eight = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))
+        head, more = eight[start] & _FIRST[np.minimum(size, 8)], np.zeros(len(start), np.uint64)
+        code = mix(head + size.astype(np.uint64) * _SIZE)
+        longer = np.flatnonzero(size > 8)
+        if len(longer):
+            more[longer] = eight[start[longer] + 8] & _FIRST[np.minimum(size[longer] - 8, 8)]
+            code[longer] = mix(code[longer] ^ more[longer])
+        units = cls(low, start, size, head, more, code, plain)
+        longest = np.flatnonzero(size > 16)
+        if len(longest):
+            body, first = units.bytes(longest)
+            code[longest] = words.byte_runs(body, first[:-1], first[1:])
+        return units
+
+    def bytes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of some units, one behind the other, and where each's begin and the last's end."""
+        size = self.size[at]
+        first = np.append(0, np.cumsum(size))
+        return self.low[np.repeat(self.start[at] - first[:-1], size) + np.arange(first[-1])], first
+
+    def take(self, at: np.ndarray) -> Units:
+        return Units(self.low, *(x[at] for x in (self.start, self.size, self.head, self.more, self.hash, self.plain)))
 
 
 class PartTokenizer:
-    """Token ids of many texts, through a table of parts already seen: a part's slot, by the low bits of its hash, has
-    the whole hash and an entry, which has the part's bytes; a later part of the same slot takes it over."""
+    """Token ids of many texts, through a table of parts already seen. A part has an entry, which has its hash, its bytes and
+    its ids; the entry's number is in the first slot that was free when it came, from the one on that its hash names."""
 
-    #: Most bytes of parts that are remembered.
+    #: Most bytes, of parts of more than 16, that are remembered.
     BYTES = 1 << 26
 
     def __init__(self, path: str, parts: int):
@@ -84,89 +139,116 @@ class PartTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.parts = Tokenizer.from_file(path), parts
-        self.mask = np.uint64((1 << parts.bit_length()) - 1)
+        self.slots = 2 << parts.bit_length()
         self._empty()
 
     def _empty(self) -> None:
-        self.key, self.entry = np.zeros(int(self.mask) + 1, np.uint64), np.zeros(int(self.mask) + 1, np.int32)
-        self.ids, self.start, self.n_ids, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0, 0
-        self.bytes, self.byte = np.zeros(1 << 18, np.uint8), np.zeros(1 << 14, np.int64)
-
-    def _learn(self, raw: list[bytes], plain: list[bool]) -> None:
-        """New entries n, n + 1, ... for the parts; entry i has ids[start[i]:start[i + 1]] and bytes[byte[i]:byte[i + 1]]. Of
-        plain parts each is one word of the tokenizer, so many are encoded as one text and told apart by their word numbers."""
-        parts = [x.decode("utf-8", "replace") for x in raw]
-        alone = [i for i, x in enumerate(plain) if not x]
-        many = [i for i, x in enumerate(plain) if x]
-        length, found, order = np.zeros(len(parts), np.int64), [], []
-        for k in range(0, len(many), 4096):
-            groups = [many[j : j + 256] for j in range(k, min(k + 4096, len(many)), 256)]
-            for group, x in zip(groups, self.tokenizer.encode_batch([" ".join(map(parts.__getitem__, g)) for g in groups], add_special_tokens=False), strict=True):
-                length[group] = np.bincount(np.array(x.word_ids, np.int64), minlength=len(group))
-                found.append(np.array(x.ids, np.uint32))
-                order += group
-        for i, x in zip(alone, self.tokenizer.encode_batch([parts[i] for i in alone], add_special_tokens=False), strict=True):
-            length[i] = len(x.ids)
-            found.append(np.array(x.ids, np.uint32))
-            order.append(i)
-        order = np.array(order)
-        end = self.n_ids + np.cumsum(length)
-        if end[-1] > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.n_ids], np.zeros(end[-1], np.uint32)])
-        if self.n + len(parts) + 1 > len(self.start):
-            self.start = np.concatenate([self.start[: self.n + 1], np.zeros(self.n + len(parts), np.int64)])
-        total = int(length.sum())
-        flat = np.concatenate(found)
-        size = length[order]
-        self.ids[np.repeat((end - length)[order] - (np.cumsum(size) - size), size) + np.arange(total)] = flat
-        self.start[self.n + 1 : self.n + 1 + len(parts)] = end
-        last = self.byte[self.n] + np.cumsum([len(x) for x in raw])
-        if last[-1] > len(self.bytes):
-            self.bytes = np.concatenate([self.bytes[: self.byte[self.n]], np.zeros(last[-1], np.uint8)])
-        self.bytes[self.byte[self.n] : last[-1]] = np.frombuffer(b"".join(raw), np.uint8)
-        if self.n + len(parts) + 1 > len(self.byte):
-            self.byte = np.concatenate([self.byte[: self.n + 1], np.zeros(self.n + len(parts), np.int64)])
-        self.byte[self.n + 1 : self.n + 1 + len(parts)] = last
-        self.n, self.n_ids = self.n + len(parts), int(end[-1])
-
-    def _others(self, low: np.ndarray, start: np.ndarray, end: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """Entry i has ids[start[i]:start[i + 1]] and, of more than 16 bytes, bytes[byte[i]:byte[i + 1]]."""
+        self.n, self.placed, self.slot = 0, 0, np.full(self.slots, -1, np.int32)
+        self.hash, self.head, self.more = (np.zeros(1 << 14, np.uint64) for _ in range(3))
+        self.size, self.start, self.byte = (np.zeros(1 << 14, np.int64) for _ in range(3))
+        self.ids, self.bytes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.uint8)
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        """Write values into an array, which grows where it has to."""
+        held, end = getattr(self, name), at + len(values)
+        if end > len(held):
+            held = np.concatenate([held[:at], np.zeros(max(end, 2 * len(held)) - at, held.dtype)])
+            setattr(self, name, held)
+        held[at:end] = values
+
+    def _ids(self, parts: Units) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of the parts, in pieces, and how many each part has; plain parts come first. Of these each is one word of the
+        tokenizer, so many are encoded as one text and told apart by their word numbers."""
+        body, first = parts.bytes(np.arange(len(parts.size)))
+        body, first = body.tobytes(), first.tolist()
+        raw = [body[a:b] for a, b in zip(first, first[1:], strict=False)]
+        plain, ids, sizes = int(parts.plain.sum()), [], []
+        for k in range(0, plain, 4096):
+            groups = [raw[j : min(j + 256, plain)] for j in range(k, min(k + 4096, plain), 256)]
+            texts = [b" ".join(group).decode("utf-8", "replace") for group in groups]
+            for group, x in zip(groups, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+                sizes.append(np.bincount(np.array(x.word_ids, np.int64), minlength=len(group)))
+                ids.append(np.array(x.ids, np.uint32))
+        for x in self.tokenizer.encode_batch([x.decode("utf-8", "replace") for x in raw[plain:]], add_special_tokens=False):
+            sizes.append(np.array([len(x.ids)]))
+            ids.append(np.array(x.ids, np.uint32))
+        return ids, sizes
+
+    def _learn(self, parts: Units) -> None:
+        """New entries n, n + 1, ... for the parts, plain ones first."""
+        n, count, n_ids, n_bytes = self.n, len(parts.size), int(self.start[self.n]), int(self.byte[self.n])
+        ids, sizes = self._ids(parts)
+        for name in ("hash", "head", "more", "size"):
+            self._put(name, n, getattr(parts, name))
+        self._put("ids", n_ids, np.concatenate(ids))
+        self._put("start", n + 1, n_ids + np.cumsum(np.concatenate(sizes)))
+        self._put("bytes", n_bytes, parts.bytes(np.flatnonzero(parts.size > 16))[0])
+        self._put("byte", n + 1, n_bytes + np.cumsum(np.where(parts.size > 16, parts.size, 0)))
+        self.n = n + count
+
+    def _place(self, first: int) -> None:
+        """Slots for the entries from the first on, while at least half of the slots stay free."""
+        todo = np.arange(first, min(self.n, first + len(self.slot) // 2 - self.placed), dtype=np.int32)
+        self.placed += len(todo)
+        at = self._first_slot(self.hash[todo])
+        while len(todo):
+            free = self.slot[at] < 0
+            self.slot[at[free]] = todo[free]
+            left = self.slot[at] != todo
+            todo, at = todo[left], (at[left] + 1) & (len(self.slot) - 1)
+
+    def _first_slot(self, code: np.ndarray) -> np.ndarray:
+        return (code & np.uint64(len(self.slot) - 1)).astype(np.int64)
+
+    def _find(self, code: np.ndarray) -> np.ndarray:
+        """Entries of the hashes; -1: none."""
+        at = self._first_slot(code)
+        where = self.slot[at].astype(np.int64)
+        todo = np.flatnonzero((where >= 0) & (self.hash[where] != code))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & (len(self.slot) - 1)
+            found = self.slot[at[todo]]
+            where[todo] = found
+            todo = todo[(found >= 0) & (self.hash[found] != code[todo])]
+        return where
+
+    def _others(self, parts: Units, where: np.ndarray) -> np.ndarray:
         """Numbers of the parts whose bytes aren't those of their entries."""
-        size, at = end - start, self.byte[where]
-        other = self.byte[where + 1] - at != size
-        same = np.flatnonzero(~other)
+        other = (self.head[where] != parts.head) | (self.size[where] != parts.size) | (self.more[where] != parts.more)
+        same = np.flatnonzero(~other & (parts.size > 16))
         if len(same):
-            size = size[same]
-            first = np.cumsum(size) - size
-            place = np.arange(size.sum())
-            differ = low[place + np.repeat(start[same] - first, size)] != self.bytes[place + np.repeat(at[same] - first, size)]
-            other[same] = np.logical_or.reduceat(differ, first)
+            body, first = parts.bytes(same)
+            place = np.arange(len(body)) + np.repeat(self.byte[where[same]] - first[:-1], parts.size[same])
+            other[same] = np.logical_or.reduceat(body != self.bytes[place], first[:-1])
         return np.flatnonzero(other)
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each row's begin and the last ends."""
-        words, low, plain = units(texts)
-        if not len(words.hash):
+        parts = Units.of(texts)
+        if not len(parts.start):
             return np.zeros(0, np.uint32), np.zeros(len(texts.valid) + 1, np.int64)
         if self.n > self.parts or self.byte[self.n] > self.BYTES:
             self._empty()
-        slot = (words.hash & self.mask).astype(np.int64)
-        where = self.entry[slot]
-        miss = np.flatnonzero(self.key[slot] != words.hash)
+        where = self._find(parts.hash)
+        miss = np.flatnonzero(where < 0)
         if len(miss):
-            new, first, index = np.unique(words.hash[miss], return_index=True, return_inverse=True)
-            a, b, n = words.start[miss[first]], words.end[miss[first]], self.n
-            raw = low.tobytes()
-            self._learn([raw[s:e] for s, e in zip(a.tolist(), b.tolist(), strict=True)], plain[miss[first]].tolist())
-            where[miss] = n + index
-            to = (new & self.mask).astype(np.int64)
-            self.key[to], self.entry[to] = new, np.arange(n, self.n)
-        for i in self._others(low, words.start, words.end, where).tolist():  # parts of equal hashes
+            n = self.n
+            _, first, index = np.unique(parts.hash[miss], return_index=True, return_inverse=True)
+            order = np.argsort(~parts.plain[miss[first]], kind="stable")
+            number = np.empty(len(order), np.int64)
+            number[order] = np.arange(len(order))
+            self._learn(parts.take(miss[first[order]]))
+            self._place(n)
+            where[miss] = n + number[index]
+        for i in self._others(parts, where).tolist():  # parts of equal hashes
             where[i] = self.n
-            self._learn([low[words.start[i] : words.end[i]].tobytes()], [bool(plain[i])])
-        size = self.start[where + 1] - self.start[where]
+            self._learn(parts.take(np.array([i])))
+        start = self.start[where]
+        size = self.start[where + 1] - start
         end = np.cumsum(size)
-        ids = self.ids[np.arange(end[-1]) + np.repeat(self.start[where] - (end - size), size)]
-        return ids, np.append(0, end)[words.first]
+        ids = self.ids[np.arange(end[-1]) + np.repeat(start - (end - size), size)]
+        return ids, np.append(0, end)[np.searchsorted(parts.start, texts.offsets)]
 
 
 @cache

@@ -9,7 +9,7 @@ import pytest
 from tasktide.llm.decontaminate import Decontamination
 from tasktide.llm.near_dedup import near_duplicates
 from tasktide.llm.packing import Packing, PartTokenizer
-from tasktide.llm.words import _BASES, _PRIME, _power, _times, byte_runs, mix, runs
+from tasktide.llm.words import _BASES, _PRIME, Texts, _power, _times, byte_runs, mix, runs
 
 SCHEMA = "doc_id long, text string"
 
@@ -73,3 +73,53 @@ def test_tokens_of_words_with_one_hash(spark, monkeypatch):
         for _, _, batch in packing.slices(pa.array(texts)):
             ids, at = small.encode(batch)
             assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == expected
+
+
+def encoded(tokenizer, texts):
+    from tasktide.llm.packing import slices
+
+    out = []
+    for _, _, batch in slices(pa.array(texts), 500):
+        ids, at = tokenizer.encode(batch)
+        out += [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)]
+    return out
+
+
+def test_parts_are_tokenized_once_while_the_table_has_room():
+    """Before, a part took over the slot of another one, which was tokenized again when it came back."""
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(8)
+    lexicon = ["".join(x) for x in {tuple(rng.choice(list("abcdeü"), n)) for n in rng.integers(1, 30, 3000)}]
+    texts = [" ".join(lexicon[i : i + 40]) for i in range(0, len(lexicon), 40)]
+    tokenizer, small = PartTokenizer(Packing().tokenizer, len(lexicon)), PartTokenizer(Packing().tokenizer, 100)
+    whole = Tokenizer.from_file(Packing().tokenizer)
+    expected = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(3):
+        assert encoded(tokenizer, texts) == expected == encoded(small, texts)
+        assert tokenizer.n == len(lexicon)
+
+
+@pytest.mark.parametrize("hashes", [1, 4])
+def test_tokens_of_short_words_with_few_hashes(monkeypatch, hashes):
+    from tokenizers import Tokenizer
+
+    from tasktide.llm import packing
+
+    monkeypatch.setattr(packing, "mix", lambda h: h & np.uint64(hashes - 1))
+    texts = ["a\0 b a\0\0 aa", "one two one 12 l'été, don't", "x" * 8, "x" * 9 + " " + "x" * 16, "x" * 17 + "!" * 17, None, "", " é ÀÉ×ß "]
+    whole = Tokenizer.from_file(Packing().tokenizer)
+    expected = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    tokenizer = PartTokenizer(Packing().tokenizer, 20)
+    for _ in range(3):
+        assert encoded(tokenizer, texts) == expected
+
+
+def test_tokens_of_bytes_that_are_no_utf8():
+    from tokenizers import Tokenizer
+
+    rows = [b"ab\xc3", b"\x80b", b"q \xc3 x", b"\xff\xfe z", b"\xc3\xa9\xc3", b"ok"]
+    texts = Texts(np.frombuffer(b"".join(rows), np.uint8), np.append(0, np.cumsum([len(x) for x in rows])), np.ones(len(rows), bool))
+    ids, at = PartTokenizer(Packing().tokenizer, 20).encode(texts)
+    whole = Tokenizer.from_file(Packing().tokenizer)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [whole.encode(x.decode("utf-8", "replace"), add_special_tokens=False).ids for x in rows]
